@@ -77,8 +77,8 @@ class Views:
             (F.col("event_id") % 4).alias("query_id"), F.col("user_id").alias("video_id"),
             m[F.col("event_type")].alias("modality"), F.col("event_id").alias("unit_id"),
             start.alias("start_time"), (start + 1 + F.col("value") / 100).alias("end_time"),
-            F.least(F.col("value") / 500, F.lit(1.0)).alias("score"),
-            F.least(F.col("value") / 500, F.lit(1.0)).alias("raw_score"))
+            F.least(F.col("value") / 517.3, F.lit(1.0)).alias("score"),
+            F.least(F.col("value") / 517.3, F.lit(1.0)).alias("raw_score"))
 
     def intervals(self, *modalities: str) -> DataFrame:
         c = self.candidates.where(F.col("modality").isin(*modalities))
@@ -178,7 +178,7 @@ CTES: dict[str, tuple[str, str]] = {
         CASE event_type WHEN 'click' THEN 'visual' WHEN 'view' THEN 'asr' WHEN 'purchase' THEN 'ocr' ELSE 'face' END AS modality,
         event_id AS unit_id, (epoch_us(ts) - {EPOCH_US}) / 3600000000.0::DOUBLE AS start_time,
         (epoch_us(ts) - {EPOCH_US}) / 3600000000.0::DOUBLE + 1 + value / 100 AS end_time,
-        least(value / 500, 1.0) AS score, least(value / 500, 1.0) AS raw_score FROM events"""),
+        least(value / 517.3::DOUBLE, 1.0) AS score, least(value / 517.3::DOUBLE, 1.0) AS raw_score FROM events"""),
     "ia": ("candidates", """SELECT video_id, unit_id, start_time AS "start", end_time AS "end", score FROM candidates
         WHERE modality IN ('visual', 'asr')"""),
     "ib": ("candidates", """SELECT video_id, unit_id, start_time AS "start", end_time AS "end", score FROM candidates

@@ -43,7 +43,7 @@ def cosine(a, b) -> Column:
 
 def alpha_blend(text, image, alpha: float = 0.5) -> Column:
     mixed = F.zip_with(l2_normalize(text), l2_normalize(image), lambda t, i: t * alpha + i * (1 - alpha))
-    return let(mixed, l2_normalize)
+    return let(mixed, lambda m: l2_normalize(m))
 
 
 def valid_vector(v, dim: int | None = None) -> Column:
