@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DECISION_ORDER, FUSION_WEIGHTS
 from ..functions.text import char_profile, normalize_text, quality_of, search_form, tokenize
 from ..functions.vector import dot, l2_normalize, let
-from .skew import top_k
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -25,14 +24,16 @@ def frame_multiquery_agg(hits: DataFrame, n_queries: DataFrame, by: list[str]) -
 
 
 def segment_topn_mean(frames: DataFrame, by: list[str], n: int = 3) -> DataFrame:
-    """Segment score: mean of its best ``n`` frames; with frame count and the best frame's bounds."""
-    best = top_k(frames, by, [F.desc("score"), F.asc("frame_idx")], n)
-    count = frames.groupBy(*by).agg(F.count("*").alias("frame_count"))
-    g = best.groupBy(*by).agg(
-        F.avg("score").alias("score"),
-        F.min_by(F.struct("timestamp_ms", "segment_start_ms", "segment_end_ms"), "rank").alias("__b"))
-    return g.join(count, by).select(*by, "score", "frame_count", F.col("__b.timestamp_ms").alias("best_ms"),
-                                    F.col("__b.segment_start_ms").alias("start_ms"), F.col("__b.segment_end_ms").alias("end_ms"))
+    """Segment score: mean of its best ``n`` frames; with frame count and the best frame's bounds.
+
+    Ranking and aggregation share one shuffle: a segment holds a few seconds of frames.
+    """
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("frame_idx"))
+    g = frames.withColumn("__r", F.row_number().over(w)).groupBy(*by).agg(
+        F.avg(F.when(F.col("__r") <= n, F.col("score"))).alias("score"), F.count("*").alias("frame_count"),
+        F.min_by(F.struct("timestamp_ms", "segment_start_ms", "segment_end_ms"), "__r").alias("__b"))
+    return g.select(*by, "score", "frame_count", F.col("__b.timestamp_ms").alias("best_ms"),
+                    F.col("__b.segment_start_ms").alias("start_ms"), F.col("__b.segment_end_ms").alias("end_ms"))
 
 
 def weight_of(modality: str = "modality", weights: dict | None = None) -> Column:

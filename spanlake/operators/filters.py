@@ -1,7 +1,7 @@
 """Row predicates and query-table guards."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -111,12 +111,12 @@ def valid_visual_hits(df: DataFrame, cosine: str = "score") -> DataFrame:
 
 
 def consistent_segments(df: DataFrame, by: list[str]) -> DataFrame:
-    """Drop every row of a segment whose rows disagree about its bounds."""
-    bad = (df.groupBy(*by).agg(
-        (F.min("segment_start_ms") != F.max("segment_start_ms")).alias("__s"),
-        (F.min("segment_end_ms") != F.max("segment_end_ms")).alias("__e"))
-        .where("__s OR __e").select(*by))
-    return df.join(bad, by, "left_anti")
+    """Drop every row of a segment whose rows disagree about its bounds. A segment is a few seconds of
+    frames, so one window over it is small and shares its shuffle with the aggregation that follows."""
+    w = Window.partitionBy(*by)
+    same = ((F.min("segment_start_ms").over(w) == F.max("segment_start_ms").over(w))
+            & (F.min("segment_end_ms").over(w) == F.max("segment_end_ms").over(w)))
+    return df.withColumn("__same", same).where("__same").drop("__same")
 
 
 def has_embedding_filter(units: DataFrame) -> DataFrame:

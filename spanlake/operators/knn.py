@@ -74,7 +74,8 @@ def _score(q_table: pa.Table, units, by, keep, emb, metric, k, schema) -> pa.Tab
     qm, um = _matrix(q_table.column("__qv")), _matrix(units.column(emb))
     if metric == "cosine":
         qm, um = _unit_rows(qm), _unit_rows(um)
-    scores = qm @ um.T
+    # equal vectors must tie wherever they lie, so the last bits of the product are dropped
+    scores = np.round(qm @ um.T, 12)
     groups = _group_ids([units.column(c) for c in by], units.num_rows)
     qi, ui = partial_top_k(scores, groups, k)
     arrays = []
