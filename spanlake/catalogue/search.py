@@ -147,3 +147,154 @@ def _(v):
     return D.attach_group_to_entity(a, g)
 
 
+
+
+# --- evidence plans -----------------------------------------------------------------------------
+
+from ..plans import evidence as E  # noqa: E402
+
+_FUSE = """WITH r AS (SELECT query_id, CAST(floor(start_time / 6) AS BIGINT) * 1000 + video_id AS moment_id, modality AS tool, unit_id, score,
+   row_number() OVER (PARTITION BY query_id, modality ORDER BY score DESC, unit_id) AS rk, CASE modality WHEN 'visual' THEN 1.0::DOUBLE WHEN 'asr' THEN 0.85123 ELSE 0.71234 END AS weight,
+   min(score) OVER (PARTITION BY query_id, modality) AS lo, max(score) OVER (PARTITION BY query_id, modality) AS hi FROM candidates),
+  c AS (SELECT query_id, moment_id, tool, max({c}) AS c FROM r GROUP BY 1, 2, 3)
+  SELECT query_id, moment_id, count(*) AS tools, sum(c) {n} AS score FROM c GROUP BY 1, 2"""
+
+
+def _contrib(v):
+    from ..operators.skew import top_k
+    c = v.candidates.selectExpr("query_id", "CAST(floor(start_time / 6) AS BIGINT) * 1000 + video_id AS moment_id", "modality AS tool", "unit_id", "score",
+                                "CASE modality WHEN 'visual' THEN 1.0D WHEN 'asr' THEN 0.85123D ELSE 0.71234D END AS weight")
+    return c, top_k
+
+
+@query("fuse_rrf", "query_id:l moment_id:l tools:l score:d", views="candidates", sql=_FUSE.replace("{c}", "CASE WHEN rk <= 300 THEN weight / (60 + rk) END").replace("{n}", "").replace("FROM r GROUP", "FROM r WHERE rk <= 300 GROUP"))
+def _(v):
+    c, top_k = _contrib(v)
+    return E.fuse_rrf(top_k(c, ["query_id", "tool"], [F.desc("score"), F.asc("unit_id")], 300))
+
+
+@query("fuse_combsum", "query_id:l moment_id:l tools:l score:d", views="candidates", sql=_FUSE.replace("{c}", "weight * (score - lo) / (hi - lo)").replace("{n}", ""))
+def _(v):
+    return E.fuse_combsum(_contrib(v)[0])
+
+
+@query("fuse_combmnz", "query_id:l moment_id:l tools:l score:d", views="candidates", sql=_FUSE.replace("{c}", "weight * (score - lo) / (hi - lo)").replace("{n}", "* count(*)"))
+def _(v):
+    return E.fuse_combmnz(_contrib(v)[0])
+
+
+@query("support_bonus_cap", "unit_id:l bonus:d", views="candidates", sql="SELECT unit_id, least(unit_id % 13 / 13.0::DOUBLE, score * 0.4) AS bonus FROM candidates")
+def _(v):
+    return v.candidates.select("unit_id", E.support_bonus_cap(F.col("score"), F.col("unit_id") % 13 / 13.0, F.lit(0.4)).alias("bonus"))
+
+
+@query("verifier_blend", "unit_id:l s:d", views="candidates", sql="""
+  SELECT unit_id, CASE WHEN unit_id % 5 = 0 THEN 0 WHEN unit_id % 3 = 0 THEN score ELSE 0.2 * score + 0.8 * (unit_id % 13) / 13.0::DOUBLE END AS s FROM candidates""")
+def _(v):
+    ver = F.when(F.col("unit_id") % 3 != 0, F.col("unit_id") % 13 / 13.0)
+    return v.candidates.select("unit_id", E.verifier_blend(F.col("score"), ver, F.lit(0.8), F.col("unit_id") % 5 != 0).alias("s"))
+
+
+@query("step_quality_gate", "o_orderkey:l decision:s reason:s", sql="""
+  SELECT o_orderkey, CASE reason WHEN 'quality_gate_passed' THEN 'accepted' WHEN 'insufficient_results' THEN 'skipped' WHEN 'support_did_not_match_primary' THEN 'skipped' ELSE 'rolled_back' END AS decision, reason FROM (
+   SELECT o_orderkey, CASE WHEN k % 3 = 0 AND k % 4 < 1 THEN 'constraint_too_restrictive' WHEN k % 6 < 1 THEN 'insufficient_results' WHEN k % 3 <> 0 AND k % 6 > 1 AND (k % 50) / 1000.0 < 0.01 THEN 'flat_score_distribution'
+    WHEN k % 3 = 1 AND (k % 5 = 0 OR k % 5 < (k % 6) * 0.5) THEN 'support_did_not_match_primary' WHEN k % 7 > 0 AND (k % 10) / 10.0 > 0.6 THEN 'top_k_disruption_exceeded' ELSE 'quality_gate_passed' END AS reason
+   FROM (SELECT o_orderkey, o_orderkey AS k FROM orders))""")
+def _(v):
+    m = v.table("orders").selectExpr("o_orderkey", "o_orderkey % 4 AS n_out", "o_orderkey % 6 AS raw_count", "(o_orderkey % 50) / 1000.0D AS spread", "o_orderkey % 5 AS matched",
+                                     "o_orderkey % 7 AS n_in", "(o_orderkey % 10) / 10.0D AS disruption",
+                                     "CASE o_orderkey % 3 WHEN 0 THEN 'constraint' WHEN 1 THEN 'support' ELSE 'primary' END AS role")
+    return E.step_quality_gate(m, E.Gate(min_match_rate=0.5, max_top_k_disruption=0.6), F.col("role"))
+
+
+def _plain_queries(v):
+    return v.table("part").selectExpr("p_partkey AS query_id", "concat(CASE p_partkey % 5 WHEN 0 THEN 'logo of ' WHEN 1 THEN '她提到 ' WHEN 2 THEN 'THEN a ' WHEN 3 THEN 'face of ' ELSE '' END, p_name) AS text",
+                                      "p_partkey % 2 = 1 AS has_image", "CASE p_partkey % 3 WHEN 0 THEN array('asr','ocr','visual') WHEN 1 THEN array('asr','face','visual') ELSE array('asr') END AS available")
+
+
+@query("classify_query", "query_id:l intent:s plan_id:s n:l tools:s weight:d top_k:l", sql="""
+  WITH q AS (SELECT p_partkey AS query_id, p_partkey % 5 AS m, p_partkey % 3 AS a, p_partkey % 2 = 1 AS img FROM part),
+  p AS (SELECT *, CASE WHEN a = 2 THEN 'asr' WHEN m = 3 AND img AND a = 1 THEN 'face' WHEN m = 0 THEN CASE a WHEN 0 THEN 'ocr' ELSE 'asr' END WHEN m = 3 AND img THEN 'asr' WHEN m = 1 THEN 'asr' ELSE 'visual' END AS pr FROM q),
+  s AS (SELECT *, list_filter([pr, 'visual', 'asr', 'ocr'], lambda x: list_contains(CASE a WHEN 0 THEN ['asr','ocr','visual'] WHEN 1 THEN ['asr','face','visual'] ELSE ['asr'] END, x)) AS raw FROM p),
+  t AS (SELECT *, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS ch FROM s)
+  SELECT query_id, CASE WHEN m = 2 THEN 'temporal' ELSE pr || '_retrieval' END AS intent, 'fast' AS plan_id, 1 AS n, pr || '.search' AS tools, 1.0 AS weight, 80 AS top_k FROM t
+  UNION ALL SELECT query_id, CASE WHEN m = 2 THEN 'temporal' ELSE pr || '_retrieval' END, 'balanced', len(ch), array_to_string(list_transform(ch, lambda x: x || '.search'), '|'),
+   list_sum(list_transform(ch, lambda x: CASE x WHEN 'visual' THEN 1.0 WHEN 'face' THEN 1.0 WHEN 'asr' THEN 0.85 ELSE 0.7 END)), list_sum(list_transform(ch, lambda x: CASE x WHEN 'visual' THEN 100 WHEN 'face' THEN 80 WHEN 'asr' THEN 90 ELSE 70 END)) FROM t
+  UNION ALL SELECT query_id, CASE WHEN m = 2 THEN 'temporal' ELSE pr || '_retrieval' END, 'deep', len(ch) + 1, array_to_string(list_transform(ch, lambda x: x || '.search'), '|') || CASE WHEN m = 2 AND a <> 2 THEN '|visual.search' ELSE '|confidence.filter' END,
+   list_sum(list_transform(ch, lambda x: CASE x WHEN 'visual' THEN 1.1 WHEN 'face' THEN 1.1 WHEN 'asr' THEN 0.9 ELSE 0.75 END)) + CASE WHEN m = 2 AND a <> 2 THEN 1.2 ELSE 1.0 END,
+   list_sum(list_transform(ch, lambda x: CASE x WHEN 'visual' THEN 140 WHEN 'face' THEN 100 WHEN 'asr' THEN 120 ELSE 100 END)) + CASE WHEN m = 2 AND a <> 2 THEN 60 ELSE 50 END FROM t""")
+def _(v):
+    s = E.classify_query(_plain_queries(v))
+    g = s.groupBy("query_id", "intent", "plan_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("no", "tool"))).alias("t"), F.sum("weight").alias("weight"), F.sum("top_k").alias("top_k"))
+    return g.withColumn("tools", F.array_join(F.transform("t", lambda x: x["tool"]), "|"))
+
+
+@query("classify_query_identity", "query_id:l plan_id:s no:l step_id:s tool:s role:s top_k:l", views="mention_texts", sql="""
+  WITH q AS (SELECT query_id FROM mention_texts), p AS (SELECT * FROM (VALUES ('fast', 1, 'identity-primary', 'visual.search', 'primary', 100), ('fast', 2, 'identity-face', 'face.search', 'support', 100),
+   ('balanced', 1, 'identity-primary', 'visual.search', 'primary', 150), ('balanced', 2, 'identity-face', 'face.search', 'support', 100), ('balanced', 3, 'identity-verifier', 'vlm.rerank', 'verifier', 20),
+   ('deep', 1, 'identity-primary', 'visual.search', 'primary', 300), ('deep', 2, 'identity-face', 'face.search', 'support', 100), ('deep', 3, 'identity-verifier', 'vlm.rerank', 'verifier', 30)) x(plan_id, "no", step_id, tool, role, top_k))
+  SELECT query_id, plan_id, "no", step_id, tool, role, top_k FROM q, p""")
+def _(v):
+    q = v.mention_texts.selectExpr("*", "false AS has_image", "array('asr', 'face', 'visual') AS available")
+    return E.classify_query(q, v.entities)
+
+
+@query("unregistered_mentions", "query_id:l name:s fallback:s", sql="""
+  SELECT p_partkey AS query_id, split_part(p_name, ' ', 1) AS name, CASE WHEN p_partkey % 4 = 0 THEN 'a person' ELSE split_part(p_name, ' ', 2) END AS fallback FROM part
+  WHERE p_partkey % 3 <> 0 AND split_part(p_name, ' ', 1) NOT IN ('small', 'red')""")
+def _(v):
+    p = v.table("part")
+    m = p.selectExpr("p_partkey AS query_id", "split(p_name, ' ')[0] AS name", "CASE WHEN p_partkey % 4 = 0 THEN 'a person' END AS fallback")
+    q = p.selectExpr("p_partkey AS query_id", "p_name AS text", "p_partkey % 3 = 0 AS has_image")
+    e = p.selectExpr("split(p_name, ' ')[0] AS name").where("name IN ('small', 'red')").groupBy("name").agg(F.count("*").alias("entity_id"))
+    return E.unregistered_mentions(m, q, e)
+
+
+@query("select_rerank_pool", "query_id:l pos:l rank:l", views="candidates", sql="""
+  SELECT query_id, unit_id AS pos, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rk FROM candidates WHERE unit_id % 3 IN (0, 1)) WHERE rk <= 20""")
+def _(v):
+    n = v.candidates.selectExpr("query_id", "unit_id AS pos", "score", "CASE unit_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'ambiguous' ELSE 'rejected' END AS face_status")
+    return E.select_rerank_pool(n, 20, ("confirmed", "ambiguous"))
+
+
+def channel_tool(v, modality):
+    """Candidates of one channel as a search tool."""
+    def run(queries, step, nodes):
+        from ..operators.skew import top_k
+        c = v.candidates.where(F.col("modality") == modality).join(queries.select("query_id"), "query_id", "left_semi")
+        ev = F.array(F.struct(F.col("modality"), F.concat(F.lit("u"), F.col("unit_id").cast("string")).alias("detail"), F.col("start_time").alias("best_time")))
+        return top_k(c, ["query_id"], [F.desc("score"), F.asc("unit_id")], step.top_k).select(
+            "query_id", "video_id", "rank", "start_time", "end_time", "score", (F.col("score") > 0.1).alias("above_threshold"), ev.alias("evidence"))
+    return run
+
+
+@query("merge_moments", "query_id:l video_id:l start_time:d end_time:d tools:l evidence:l")
+def _(v):
+    q = v.candidates.select("query_id").distinct()
+    nodes = E.empty_moments(q, "bigint")
+    step = E.Step("s1", "visual.search", top_k=300)
+    r = channel_tool(v, "visual")(q, step, nodes).unionByName(channel_tool(v, "asr")(q, step, nodes).withColumn("rank", F.col("rank") + 300))
+    r = r.withColumns({"role": F.lit("primary"), "tool": F.expr("concat(evidence[0].modality, '.search')"), "contribution": 1.0 / (60 + F.col("rank")), "support_cap": F.lit(0.4), "blend": F.lit(0.8)})
+    m = E.merge_moments(nodes, r).where("kind = 'node'")
+    return m.withColumns({"tools": F.size("primary"), "evidence": F.size("evidence")})
+
+
+def demo_plan():
+    return E.Plan(steps=(
+        E.Step("s1", "visual.search", top_k=100), E.Step("s2", "asr.search", role="support", depends_on=("s1",), weight=0.85, top_k=90),
+        E.Step("s3", "ocr.search", role="fallback", fallback_for="s1", top_k=70),
+        E.Step("s4", "vlm.rerank", operation="rerank", role="verifier", depends_on=("s1",), top_k=20),
+        E.Step("s5", "confidence.filter", operation="filter", role="constraint", depends_on=("s1",), top_k=50, parameters={"min_score": 0.001})), fusion="combmnz")
+
+
+def rerank_tool(queries, step, nodes):
+    """A stand-in scorer: the verdict is a function of the moment alone."""
+    s = F.abs(F.hash("video_id", "start_time")) % 1000 / 1000.0
+    return nodes.select("query_id", "video_id", F.col("pos").alias("rank"), "start_time", "end_time", F.col("rep_score").alias("score"), s.alias("rerank_score"), F.col("pos").alias("moment_ref"))
+
+
+@query("execute_plan", "query_id:l rank:l moment_id:s final_score:d source_count:l stop_reason:s")
+def _(v):
+    tools = {f"{m}.search": channel_tool(v, m) for m in ("visual", "asr", "ocr", "face")} | {"vlm.rerank": rerank_tool}
+    results, _trace = E.execute_plan(v.candidates.select("query_id").distinct(), demo_plan(), tools)
+    return results
