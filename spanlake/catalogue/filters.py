@@ -159,7 +159,7 @@ def _(v):
 
 @query("semantic_eligible", "doc_id:l eligible:b reason:s")
 def _(v):
-    d = v.text_units.withColumn("q", semantic_eligible("text", F.col("end_ms") - F.col("start_ms")))
+    d = semantic_eligible(v.text_units, "text", F.col("end_ms") - F.col("start_ms"), "q")
     return d.select("doc_id", F.col("q.eligible"), F.col("q.reason"))
 
 

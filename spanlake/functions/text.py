@@ -25,8 +25,9 @@ LOW_INFO = (
 EMOTION_TAGS = ("neutral", "happy", "sad", "angry", "fearful", "disgusted", "surprised")
 EVENT_TAGS = ("speech", "bgm", "music", "laughter", "applause", "cry", "sneeze", "breath", "cough", "sing", "noise", "silence")
 
-# Characters that NFKC leaves alone, so such rows never reach Python.
-_STABLE = r"[^\u0000-\u007FÀ-ÿ、。一-鿿]"
+# Characters that NFKC or case folding may change; a row without any never reaches Python.
+# (Classes of one or two ranges: Java scans those an order of magnitude faster than longer unions.)
+_UNSTABLE = r"[\u0080-¿Ā-\x{10FFFF}]"
 CJK = r"[㐀-鿿]"
 
 
@@ -46,12 +47,12 @@ def _casefold(s: pd.Series) -> pd.Series:
 
 def nfkc(text) -> Column:
     t = F.coalesce(_c(text), F.lit(""))
-    return F.coalesce(_nfkc(F.when(t.rlike(_STABLE), t)), t)
+    return F.coalesce(_nfkc(F.when(t.rlike(_UNSTABLE), t)), t)
 
 
 def casefold(text) -> Column:
     t = _c(text)
-    return F.coalesce(_casefold(F.when(t.rlike(_STABLE), t)), F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
+    return F.coalesce(_casefold(F.when(t.rlike(_UNSTABLE), t)), F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
 
 
 def strip(text) -> Column:
@@ -60,12 +61,11 @@ def strip(text) -> Column:
 
 def normalize_text(text) -> Column:
     """NFKC, traditional folded to simplified, repeated leading fillers removed, spaces collapsed."""
-    def without_fillers(t):
-        rest = strip(F.regexp_replace(t, rf"(?iU)^(?:(?:{FILLER})[，,、。.!?\s]*){{2,}}", ""))
-        return F.coalesce(F.nullif(rest, F.lit("")), t)
-
-    folded = F.translate(strip(nfkc(text)), TRADITIONAL, SIMPLIFIED)
-    return strip(F.regexp_replace(let(folded, without_fillers), r"(?U)\s+", " "))
+    t = strip(nfkc(text))
+    t = F.when(t.rlike("[一-鿿]"), F.translate(t, TRADITIONAL, SIMPLIFIED)).otherwise(t)
+    # fillers go only when something else follows them; the atomic group keeps the match from giving any back
+    t = F.regexp_replace(t, rf"(?iU)^(?>(?:(?:{FILLER})[，,、。.!?\s]*){{2,}})(?=[\s\S]*\S)", "")
+    return strip(F.regexp_replace(t, r"(?U)\s+", " "))
 
 
 def search_form(normalized) -> Column:
@@ -88,8 +88,8 @@ def quality_of(normalized, compact, duration_ms=None) -> Column:
     for word in sorted(LOW_INFO, key=lambda w: -len(w)):
         rest = F.replace(rest, F.lit(word), F.lit(""))
     rest = F.regexp_replace(rest, f"(?i)(?:{FILLER})", "")
-    cjk = F.length(F.regexp_replace(c, r"[^一-鿿]", ""))
-    latin = F.length(F.regexp_replace(c, "[^a-zA-Z0-9]", ""))
+    cjk = F.length(F.regexp_replace(c, r"[^一-鿿]+", ""))
+    latin = F.length(F.regexp_replace(c, r"\P{Alnum}+", ""))
     words = F.regexp_count(n, F.lit(r"(?i)[a-z0-9]+(?:['’][a-z0-9]+)*"))
     reason = (F.when(c == "", "empty")
               .when(c.isin(*LOW_INFO) | c.rlike(f"(?i)^(?:{FILLER})$") | (rest == ""), "filler")
@@ -100,10 +100,16 @@ def quality_of(normalized, compact, duration_ms=None) -> Column:
     return let(reason.otherwise("ok"), lambda r: F.struct((r == "ok").alias("eligible"), r.alias("reason")))
 
 
-def semantic_eligible(text, duration_ms=None) -> Column:
-    n = normalize_text(text)
-    both = F.struct(n.alias("n"), search_form(n).alias("c"))
-    return let(both, lambda s: quality_of(s["n"], s["c"], duration_ms))
+def with_normalized(df, text: str = "text", normalized: str = "__n", compact: str = "__c"):
+    """Adds the normalised text and its search form as columns, each computed once per row."""
+    return df.withColumn(normalized, normalize_text(text)).withColumn(compact, search_form(normalized))
+
+
+def semantic_eligible(df, text: str = "text", duration_ms=None, out: str = "quality"):
+    """Adds struct(eligible, reason)."""
+    from ..operators.skew import spread
+    d = with_normalized(spread(df, text), text)
+    return d.withColumn(out, quality_of("__n", "__c", duration_ms)).drop("__n", "__c")
 
 
 def truncate_text_utf8(text, chars: int = 2000, max_bytes: int = 5000) -> Column:
@@ -226,7 +232,7 @@ def evidence_text(details, limit: int = 2000) -> Column:
 def char_profile(normalized) -> dict[str, Column]:
     n = _c(normalized)
     return {
-        "cjk_chars": F.length(F.regexp_replace(n, r"[^一-鿿]", "")),
-        "latin_chars": F.length(F.regexp_replace(n, "[^a-zA-Z]", "")),
-        "digit_chars": F.length(F.regexp_replace(n, "[^0-9]", "")),
+        "cjk_chars": F.length(F.regexp_replace(n, r"[^一-鿿]+", "")),
+        "latin_chars": F.length(F.regexp_replace(n, r"\P{Alpha}+", "")),
+        "digit_chars": F.length(F.regexp_replace(n, "[^0-9]+", "")),
     }

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DECISION_ORDER, FUSION_WEIGHTS
-from ..functions.text import char_profile, normalize_text, quality_of, search_form, tokenize
-from ..functions.vector import dot, l2_normalize, let
+from ..functions.text import char_profile, quality_of, tokenize, with_normalized
+from ..functions.vector import dot, l2_normalize
+from .skew import spread
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -173,17 +174,15 @@ def bm25_terms(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame
 
 def bm25_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents per term, with the corpus size and mean length on every row."""
-    t = docs.select(tokenize(text).alias("tokens"))
+    t = spread(docs.select(text), text).select(tokenize(text).alias("tokens"))
     corpus = t.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
     df = t.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.withColumns({"n_docs": corpus.select("n_docs").scalar(), "avgdl": corpus.select("avgdl").scalar()})
 
 
 def text_profile(units: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    n = normalize_text(text)
-    q = let(F.struct(n.alias("n"), search_form(n).alias("c")), lambda s: F.struct(s["n"].alias("n"), quality_of(s["n"], s["c"])["eligible"].alias("ok")))
-    d = units.select(*by, q.alias("q")).select(*by, F.col("q.n").alias("n"), F.col("q.ok").alias("ok"))
-    d = d.select(*by, "ok", (F.col("n") == "").alias("empty"), *[c.alias(k) for k, c in char_profile("n").items()])
+    d = with_normalized(spread(units.select(*by, text), text), text)
+    d = d.select(*by, quality_of("__n", "__c")["eligible"].alias("ok"), (F.col("__n") == "").alias("empty"), *[c.alias(k) for k, c in char_profile("__n").items()])
     return d.groupBy(*by).agg(
         F.count("*").alias("chunks"), F.count_if("empty").alias("empty_chunks"), F.sum("cjk_chars").alias("cjk_chars"),
         F.sum("latin_chars").alias("latin_chars"), F.sum("digit_chars").alias("digit_chars"), F.count_if("ok").alias("eligible_chunks"))

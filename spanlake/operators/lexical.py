@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokenize
 from .knn import _group_ids, partial_top_k
-from .skew import top_k
+from .skew import spread, top_k
 
 MAX_TASK_TERMS = 200_000     # (query, term) rows that may travel with a task
 MAX_TASK_CELLS = 8_000_000   # queries x distinct terms of the weight matrix
@@ -28,37 +28,39 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize(text))).alias("term"))
 
 
-def bm25_weights(units: DataFrame, terms: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
-    """idf of every query term over ``units``, and the mean document length."""
+def corpus_stats(units: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """One pass over ``units``: df of every query term, and on the row of the empty term the number of
+    documents and their total length. No document is shuffled, only (term, count) pairs."""
     docs = units.select(tokenize(text).alias("t"))
-    n, avgdl = docs.agg(F.count("*"), F.avg(F.size("t"))).first()
-    wanted = terms.select("term").distinct()
-    # every term must be found again with df = 0, hence the left join; df itself needs no document shuffle
-    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.select("term", idf.alias("idf")), float(avgdl or 0.0)
+    rows = docs.select(F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    return rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
 
 
 def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("video_id",), keep=("segment_idx",), text: str = "text",
                 k1: float = 1.2, b: float = 0.75, max_task_terms: int = MAX_TASK_TERMS, max_task_cells: int = MAX_TASK_CELLS) -> DataFrame:
     """Per (query, ``by``) the ``k`` best units with a positive score; ties by ``keep``."""
     by, keep = tuple(by), tuple(keep)
+    units = spread(units.select(*by, *keep, text), *keep)
     terms = query_terms(queries, text)
-    idf, avgdl = bm25_weights(units, terms, text)
-    weighted = terms.join(idf, "term")
+    stats = corpus_stats(units, terms, text)
     order = [F.desc("score"), *[F.col(c) for c in keep]]
-    head = weighted.select("query_id", "term", "idf").limit(max_task_terms + 1).toArrow()
-    vocabulary = head.column("term").unique().to_pylist()
+    head = terms.limit(max_task_terms + 1).toArrow()
     ids = head.column("query_id").unique()
-    if head.num_rows > max_task_terms or len(vocabulary) * len(ids) > max_task_cells:
-        scored = _shuffled(weighted, units, by, keep, text, k1, b, avgdl)
-        return top_k(scored, ["query_id", *by], order, k)
-
+    if head.num_rows > max_task_terms or len(head.column("term").unique()) * len(ids) > max_task_cells:
+        return top_k(_shuffled(terms, stats, units, by, keep, text, k1, b), ["query_id", *by], order, k)
+
+    # at most one row per query term just counted
+    df = {r["term"]: r for r in stats.toArrow().to_pylist()}
+    total = df.pop("", {"df": 0, "dl": 0})
+    n_docs, avgdl = total["df"], (total["dl"] or 0) / max(total["df"], 1)
+    vocabulary = sorted(df)
     index = {t: i for i, t in enumerate(vocabulary)}
     weight = np.zeros((len(vocabulary), len(ids)))
     position = {q: i for i, q in enumerate(ids.to_pylist())}
-    for q, t, w in zip(head.column("query_id").to_pylist(), head.column("term").to_pylist(), head.column("idf").to_pylist()):
-        weight[index[t], position[q]] = w
+    for q, t in zip(head.column("query_id").to_pylist(), head.column("term").to_pylist()):
+        if t in index:
+            weight[index[t], position[q]] = np.log1p((n_docs - df[t]["df"] + 0.5) / (df[t]["df"] + 0.5))
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     u = units.select(*by, *keep, tokenize(text).alias("__t"))
     out_type = StructType([queries.schema["query_id"], *[u.schema[c] for c in by + keep], StructField("score", DoubleType())])
@@ -92,11 +94,15 @@ def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("vide
     return top_k(u.mapInArrow(run, out_type), ["query_id", *by], order, k)
 
 
-def _shuffled(weighted, units, by, keep, text, k1, b, avgdl):
+def _shuffled(terms, stats, units, by, keep, text, k1, b):
     """Scores by joining postings with query terms."""
     key = [*by, *keep]
+    total = stats.where("term = ''")
+    n, avgdl = total.select("df").scalar(), total.select(F.col("dl") / F.col("df")).scalar()
+    idf = stats.where("term <> ''").select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = terms.join(idf, "term")
     u = units.select(*key, tokenize(text).alias("__t")).withColumn("dl", F.size("__t"))
-    post = u.select(*key, "dl", F.explode("__t").alias("term")).join(weighted.select("term").distinct(), "term", "left_semi")
+    post = u.select(*key, "dl", F.explode("__t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     post = post.groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
-    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(max(avgdl, 1e-12))))
+    norm = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     return post.join(weighted, "term").groupBy("query_id", *key).agg(F.round(F.sum(F.col("idf") * norm), 9).alias("score"))

@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_tags, merge_labels, normalize_search_text, normalize_text, quality_of, search_form, strip
+from ..functions.text import extract_tags, merge_labels, normalize_search_text, normalize_text, quality_of, strip, with_normalized
 from ..functions.vector import let
-from .skew import carry, fold_sorted, islands, number_rows
+from ..session import cut_lineage
+from .skew import carry, fold_sorted, islands, number_rows, spread
 from .windows import adjacent_duplicates, longest_unpunctuated_span
 
 # Sentence-ending and pausing punctuation, and the lengths (ms) at which each may split.
@@ -323,10 +324,11 @@ def build_chunks(items: DataFrame, keys: list[str] | None = None, normal_gap: in
     for c, t in cols.items():
         if c not in items.columns:
             items = items.withColumn(c, F.lit(None).cast(t))
-    d = items.withColumns({"text": normalize_text("text"), "end_ms": F.greatest("start_ms", "end_ms")}).where("text <> ''")
-    d = d.withColumns({"chars": F.length(search_form("text")).cast("long"), "closed": F.col("text").rlike("[.!?。！？]$")})
+    d = with_normalized(spread(items, *keys, "item_id")).where("__n <> ''").withColumns({"text": F.col("__n"), "end_ms": F.greatest("start_ms", "end_ms")})
     order = [F.col("start_ms"), F.col("end_ms"), F.col("item_id")]
-    e = carry(d.select(*keys, "item_id", "start_ms", "end_ms", "chars", "closed", "unit_id"), keys, order, width,
+    # lengths and times only: this narrow table is read several times below, the texts are not
+    e = cut_lineage(d.select(*keys, "item_id", "start_ms", "end_ms", F.length("__c").cast("long").alias("chars"), F.col("text").rlike("[.!?。！？]$").alias("closed"), "unit_id"))
+    e = carry(e, keys, order, width,
               max_before={"__pe": F.col("end_ms")}, lag={"__pc": F.col("closed")})
     opens = F.col("__pe").isNull() | F.col("__pc") | (F.col("start_ms") - F.col("__pe") > max(normal_gap, short_gap))
     e = carry(e, keys, order, width, sum_upto={"island": opens.cast("long")})
@@ -350,9 +352,7 @@ def build_chunks(items: DataFrame, keys: list[str] | None = None, normal_gap: in
                  F.col("__i")[0]["unit_id"].alias("unit_id"))
     g = number_rows(g, keys, [F.col("start_ms"), F.col("end_ms"), F.col("source_item_ids")[0]], width, "chunk_id")
     dur = F.col("end_ms") - F.col("start_ms")
-    n = normalize_text("text")
-    both = F.struct(n.alias("n"), search_form(n).alias("c"))
-    g = g.withColumn("__q", let(both, lambda s: quality_of(s["n"], s["c"], dur)))
+    g = with_normalized(g).withColumn("__q", quality_of("__n", "__c", dur))
     flags = F.array_compact(F.array(
         F.when(~F.col("text").rlike(r"[.!?。！？]\s*$"), "non_terminal_boundary"), F.when(dur > 12000, "long_chunk"),
         F.when(~F.col("__q.eligible"), F.concat(F.lit("embedding_ineligible:"), F.col("__q.reason")))))
