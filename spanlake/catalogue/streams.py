@@ -45,7 +45,7 @@ def _(v):
 
 @query("stream_tracks", "video_id:l first_det:l start_ms:l end_ms:l detections:l")
 def _(v):
-    d = v.frames.selectExpr("video_id", "vec_id AS det_id", "CAST(floor(frame_idx / 4) * 0.5 + floor(frame_idx / 40) * 3 AS DOUBLE) AS t", "(vec_id % 100) / 100.0D AS det_score",
+    d = v.frames.selectExpr("video_id", "vec_id AS det_id", "CAST(1000 + floor(frame_idx / 4) * 0.5 + floor(frame_idx / 40) * 3 AS DOUBLE) AS t", "(vec_id % 100) / 100.0D AS det_score",
                             "(vec_id * 7 % 101) / 101.0D AS quality", "array(10.0D * (label % 5), 0.0D, 10.0D * (label % 5) + 8, 8.0D) AS bbox", "embedding")
     d = d.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
     return J.run_to_files(J.tracks(stream_of(v, d, "det"), "video_id"), fresh(v, "trk"))

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .vector import let
 
@@ -35,12 +36,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
@@ -114,7 +115,7 @@ def semantic_eligible(df, text: str = "text", duration_ms=None, out: str = "qual
 
 def truncate_text_utf8(text, chars: int = 2000, max_bytes: int = 5000) -> Column:
     """At most ``chars`` characters, then at most ``max_bytes`` UTF-8 bytes on a character boundary."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else x.encode()[:max_bytes].decode(errors="ignore"))
 

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 
 def _d(v) -> Column:
@@ -66,12 +67,12 @@ def visual_confidence(c) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c + 1.0) / 2.0))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode_f32_blob(blobs: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to a vector."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode_f32_blob(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

@@ -126,9 +126,9 @@ def knn_join(
         n_shards = max(1, math.ceil(u.count() / unit_block_rows))
         n_blocks = math.ceil(q.count() / max_task_queries)
         ub = u.withColumn("__shard", F.pmod(F.xxhash64(*by, *keep), F.lit(n_shards))).withColumn(
-            "__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long"))
+            "__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
         qb = q.withColumn("__block", F.pmod(F.xxhash64(*query_keys), F.lit(n_blocks))).withColumn(
-            "__shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).cast("long"))
+            "__shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
 
         def run_pair(left: pa.Table, right: pa.Table) -> pa.Table:
             return _score(left, right, by, keep, emb, metric, k, schema)

@@ -6,6 +6,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from ..functions.text import extract_tags, merge_labels, normalize_search_text, normalize_text, quality_of, strip, with_normalized
 from ..functions.vector import let
@@ -46,7 +47,7 @@ def punctuation_spans(text: str, duration_ms: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-@F.pandas_udf("array<struct<l:int,r:int>>")
+@F.pandas_udf(ArrayType(StructType().add("l", IntegerType()).add("r", IntegerType())))
 def _spans(text: pd.Series, duration: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [{"l": a, "r": b} for a, b in punctuation_spans(t, d)] for t, d in zip(text, duration)])
 
@@ -140,7 +141,7 @@ def word_pieces(text: str, words: list[str], pairs: list[tuple[int, int]]) -> li
     return pieces
 
 
-PIECES = "array<struct<start_ms:bigint,end_ms:bigint,text:string,reason:string>>"
+PIECES = ArrayType(StructType().add("start_ms", LongType()).add("end_ms", LongType()).add("text", StringType()).add("reason", StringType()))
 
 
 def _pairs(ts):
@@ -376,7 +377,7 @@ def chunk_stats(items: DataFrame, chunks: DataFrame, keys: list[str] | None = No
 
 # --- choosing between two decodes ----------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 

@@ -66,6 +66,7 @@ def capped_sessions(intervals: DataFrame, key: str, gap: float, cap: float, late
 def tracks(detections: DataFrame, key: str, fps: float = 2.0, max_gap: float = 1.5, cos: float = 0.35, lateness: str = "5 seconds") -> DataFrame:
     """Detection stream (key, det_id, ts timestamp, t seconds, det_score, quality, bbox, embedding) to finished tracks.
 
+    ``t`` is ``ts`` in seconds and starts above 0 (Spark counts the epoch itself as late).
     Detections are held until the watermark passes them and are then placed in time order; a track leaves
     ``max_gap`` after its end. State is the open tracks and the detections inside the lateness window.
     """

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
 from .operators.transcript import LONG_MS, punctuation_spans
 
@@ -28,7 +29,7 @@ def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     """Column function text -> array<float>. ``load`` builds the model once per task, not per batch."""
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load()
         for s in batches:
@@ -65,7 +66,7 @@ def detect(files: DataFrame, key: list[str], load: Callable[[], Callable[[bytes]
 
 def reranker_udf(load: Callable[[], Callable[[list[str], list[str]], list[float]]]):
     """Column function (query, evidence) -> probability; null stands for a failed call."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
         for q, e in batches:
@@ -74,13 +75,13 @@ def reranker_udf(load: Callable[[], Callable[[list[str], list[str]], list[float]
     return score
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def vec_mean(v: pd.Series) -> list:
     """Mean vector as a user aggregate, for groups already small; large groups use ``vector_mean``."""
     return np.mean(np.stack(v.to_numpy()), axis=0, dtype=np.float64).tolist()
 
 
-@udtf(returnType="idx int, start_ms bigint, end_ms bigint, text string")
+@udtf(returnType=StructType().add("idx", IntegerType()).add("start_ms", LongType()).add("end_ms", LongType()).add("text", StringType()))
 class SplitItem:
     """One long transcript item to its punctuation pieces (a short one passes unchanged)."""
 
