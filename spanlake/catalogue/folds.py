@@ -25,7 +25,17 @@ def _(v):
     return M.group_ocr_score_first(limited(v).where("modality = 'ocr'"), ["query_id", "video_id"], gap=2.0)
 
 
-@query("fuse_results", "query_id:l video_id:l start_time:d end_time:d score:d channels:s rank:l")
+@query("fuse_results", "query_id:l video_id:l gid:s score:d channels:s rank:l", views="candidates", sql="""
+  WITH m AS (SELECT query_id, video_id, CAST(floor(start_time / 15) AS BIGINT) AS g, modality, max(score) AS best, min(start_time) AS s, max(end_time) AS e FROM candidates GROUP BY 1, 2, 3, 4),
+  f AS (SELECT query_id, video_id, CAST(g AS VARCHAR) AS gid, min(s) AS s, max(e) AS e, sum(w * best) / sum(w) AS score, string_agg(modality, '|' ORDER BY modality) AS channels FROM (
+    SELECT *, CASE modality WHEN 'face' THEN 0.55::DOUBLE WHEN 'visual' THEN 0.30 WHEN 'ocr' THEN 0.20 ELSE 0.15 END AS w FROM m) GROUP BY query_id, video_id, g)
+  SELECT query_id, video_id, gid, score, channels, rk AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s, video_id, e, gid) AS rk FROM f) WHERE rk <= 100""")
+def _(v):
+    g = v.candidates.withColumn("gid", F.floor(F.col("start_time") / 15).cast("string"))
+    return M.fuse_results(g, limit=100).withColumn("channels", F.array_join("modalities", "|"))
+
+
+@query("fuse_grouped_moments", "query_id:l video_id:l start_time:d end_time:d score:d channels:s rank:l")
 def _(v):
     r = M.fuse_results(M.group_moments(limited(v)), limit=100)
     return r.withColumn("channels", F.array_join("modalities", "|"))

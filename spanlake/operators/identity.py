@@ -15,7 +15,7 @@ from .intervals import interval_intersect
 from .knn import knn_join
 from .relations import entity_mention, join_overlays
 from .skew import fold_sorted, islands, number_rows, top_k
-from .windows import rank_utterances, voice_topk
+from .windows import voice_topk, with_closeness
 
 
 def _kinds(df: DataFrame, cols: list[str]) -> str:
@@ -238,13 +238,14 @@ def nonoverlap_preview(ranked: DataFrame, keys: list[str], order: list, n: int =
 def speaker_preview(utterances: DataFrame, centroids: DataFrame, labels: DataFrame | None = None, n: int = 5) -> DataFrame:
     """Preview utterances per speaker: the chosen representative first, then by closeness to the centroid."""
     keys = ["video_id", "track_id"]
-    ranked = rank_utterances(utterances, centroids, 2**31 - 1)
+    ranked = with_closeness(utterances, centroids)
     if labels is not None:
         ranked = ranked.join(labels.select(*keys, F.col("representative").alias("__rep")), keys, "left")
         first = F.coalesce(F.col("utterance_idx") == F.col("__rep"), F.lit(False))
     else:
         first = F.lit(False)
-    return nonoverlap_preview(ranked, keys, [F.when(first, 0).otherwise(1), F.col("rank")], n)
+    order = [F.when(first, 0).otherwise(1), -F.col("closeness"), F.col("start_ms") - F.col("end_ms"), F.col("utterance_idx")]
+    return nonoverlap_preview(ranked, keys, order, n)
 
 
 def voice_search(query_vecs: DataFrame, utterances: DataFrame, overlays: DataFrame, texts: DataFrame | None = None,
@@ -258,8 +259,8 @@ def voice_search(query_vecs: DataFrame, utterances: DataFrame, overlays: DataFra
     own = None if exclude is None else exclude.select("query_id", "video_id", "utterance_idx")
     # the query's own utterances take places in a per-video list, so the list is that much longer
     spare = 0 if own is None else own.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    n_vec = query_vecs.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    hits = knn_join(query_vecs, u, (limit + spare) * n_vec, by=(), keep=("video_id", "utterance_idx"))
+    # an utterance of the final list is among the best limit + spare of the vector it scores highest on
+    hits = knn_join(query_vecs, u, limit + spare, by=(), keep=("video_id", "utterance_idx"))
     best = best_per_utterance(hits)
     if own is not None:
         best = best.join(own, ["query_id", "video_id", "utterance_idx"], "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vector import dot, l2_normalize
 from .skew import carry, group_stats, number_rows, top_k
 
 STRONG_END = r"[.!?。！？]$"
@@ -169,12 +170,16 @@ def gallery_order(groups: DataFrame, limit: int) -> DataFrame:
     return top_k(groups, ["video_id"], [F.desc("importance"), F.asc("start_ms"), F.asc("group_idx")], limit)
 
 
+def with_closeness(utterances: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Cosine of each utterance to its speaker's centroid, rounded so that equal scores tie on every layout."""
+    d = utterances.join(centroids, ["video_id", "track_id"])
+    return d.withColumn("closeness", F.round(dot(l2_normalize("embedding"), F.col("centroid")), 9))
+
+
 def rank_utterances(utterances: DataFrame, centroids: DataFrame, limit: int) -> DataFrame:
     """Utterances of each speaker by closeness to the speaker's centroid, then length, then index."""
-    from ..functions.vector import dot, l2_normalize
-    d = utterances.join(centroids, ["video_id", "track_id"]).withColumn(
-        "closeness", F.round(dot(l2_normalize("embedding"), F.col("centroid")), 9))  # equal scores must tie on every layout
-    return top_k(d, ["video_id", "track_id"], [F.desc("closeness"), F.desc(F.col("end_ms") - F.col("start_ms")), F.asc("utterance_idx")], limit)
+    order = [F.desc("closeness"), F.desc(F.col("end_ms") - F.col("start_ms")), F.asc("utterance_idx")]
+    return top_k(with_closeness(utterances, centroids), ["video_id", "track_id"], order, limit)
 
 
 def voice_topk(hits: DataFrame, limit: int) -> DataFrame:

@@ -148,5 +148,7 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
     if len(parts) > 1:
         # the threshold reads the candidates twice; they are few after the limits, the searches are not
         cands = global_dynamic_threshold(cut_lineage(cands), floor=p.dynamic_floor, ratio=p.dynamic_ratio)
+    # grouping passes its rows through Python, so only what fusion reads goes in
+    cands = cands.select("query_id", "video_id", "modality", "unit_id", "start_time", "end_time", "score", "raw_score", "best_ms", "above_threshold", "decision")
     grouped = group_moments(cands, p.merge_gap, p.max_result_seconds)
     return fuse_results(grouped, p.weights, primary, 500 if p.name == "recall" else limit)
