@@ -1,9 +1,12 @@
 """Interval joins as equi-joins on time buckets.
 
-Both sides list the buckets of ``width`` they touch, the join matches equal
-(key, bucket) pairs, the exact predicate decides, and a pair is kept only in its
-first common bucket, so no pair appears twice and no nested loop is needed. A
-dense bucket is an ordinary skewed join key, which AQE splits.
+An interval of about ``width`` lies in buckets of that size, one four times as
+long in buckets four times as large, and so on, so every interval touches few
+buckets of its own level. A pair meets at the level of its longer member: each
+side lists its own level, and the shorter one also the larger levels that occur
+on the other side. The join matches equal (key, level, bucket), the exact
+predicate decides, and a pair counts only in its first common bucket. There is
+no nested loop, and a dense bucket is an ordinary skewed join key, which AQE splits.
 """
 from __future__ import annotations
 
@@ -14,24 +17,43 @@ from ..functions.vector import cosine
 from .skew import carry, islands, top_k
 
 
-def _bucket(c, width: float) -> Column:
-    return F.floor((F.col(c) if isinstance(c, str) else c) / F.lit(width)).cast("long")
+STEP = 4  # each level's buckets are this many times as large as the level below
 
 
-def _explode(df: DataFrame, lo: Column, hi: Column, width: float, first: str) -> DataFrame:
-    b0 = _bucket(lo, width)
-    return df.withColumn(first, b0).withColumn("__b", F.explode(F.sequence(b0, F.greatest(b0, _bucket(hi, width)))))
+def _level(lo: Column, hi: Column, width: float) -> Column:
+    ratio = (hi - lo) / F.lit(float(width))
+    return F.when(ratio <= 1, 0).otherwise(F.ceil(F.log(float(STEP), ratio))).cast("int")
+
+
+def _bucket(c: Column, level: Column, width: float) -> Column:
+    return F.floor(c / (F.lit(float(width)) * F.pow(F.lit(float(STEP)), level))).cast("long")
+
+
+def _listed(df: DataFrame, lo: Column, hi: Column, width: float, role: str, other: str, others: Column, at_least: int, first: str) -> DataFrame:
+    """Rows of ``df`` once per (level, role, bucket): natively under ``role``, and under the other side's
+    role at those of its levels that exceed this row's by ``at_least``."""
+    d = df.withColumn("__own", _level(lo, hi, width)).withColumn("__x", F.explode(F.concat(F.array(F.lit(-1)), others)))
+    native = F.col("__x") == -1
+    d = d.where(native | (F.col("__x") >= F.col("__own") + at_least)).withColumns(
+        {"__level": F.when(native, F.col("__own")).otherwise(F.col("__x")), "__role": F.when(native, role).otherwise(other)})
+    d = d.withColumn(first, _bucket(lo, F.col("__level"), width))
+    return d.withColumn("__b", F.explode(F.sequence(F.col(first), F.greatest(F.col(first), _bucket(hi, F.col("__level"), width))))).drop("__own", "__x")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], *,
                  width: float, strict: bool = True, pad: float = 0.0) -> DataFrame:
     """Pairs whose intervals overlap, ``a`` widened by ``pad``. Other column names must be disjoint."""
     a0, a1, b0, b1 = F.col(a_span[0]) - pad, F.col(a_span[1]) + pad, F.col(b_span[0]), F.col(b_span[1])
-    left = _explode(a, a0, a1, width, "__fa")
-    right = _explode(b, b0, b1, width, "__fb")
+
+    def levels(df, lo, hi):
+        # a handful of small integers, whatever the size of the table
+        return df.agg(F.collect_set(_level(lo, hi, width))).scalar()
+
+    left = _listed(a, a0, a1, width, "a", "b", levels(b, b0, b1), 1, "__fa")
+    right = _listed(b, b0, b1, width, "b", "a", levels(a, a0, a1), 0, "__fb")
     hit = (a0 < b1) & (a1 > b0) if strict else (a0 <= b1) & (a1 >= b0)
-    j = left.join(right, [*on, "__b"]).where(hit & (F.col("__b") == F.greatest("__fa", "__fb")))
-    return j.drop("__b", "__fa", "__fb")
+    j = left.join(right, [*on, "__level", "__role", "__b"]).where(hit & (F.col("__b") == F.greatest("__fa", "__fb")))
+    return j.drop("__b", "__fa", "__fb", "__level", "__role")
 
 
 def _length() -> Column:

@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "spanlake", master: str | None = None, **conf) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -37,9 +39,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    made = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = sc.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_DIRS[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

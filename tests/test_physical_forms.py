@@ -51,7 +51,7 @@ def test_overlap_join_equals_nested_loop(spark):
     rnd = random.Random(9)
 
     def table(n, key, s, e):
-        return spark.createDataFrame([(rnd.randint(0, 2), i, x := round(rnd.random() * 100, 1), x + round(rnd.random() * 12, 1)) for i in range(n)], f"video_id int, {key} int, {s} double, {e} double")
+        return spark.createDataFrame([(rnd.randint(0, 2), i, x := round(rnd.random() * 100, 1), x + round(rnd.random() * rnd.choice([1, 12, 12, 400]), 1)) for i in range(n)], f"video_id int, {key} int, {s} double, {e} double")
 
     a, b = table(80, "a", "s", "e"), table(90, "b", "bs", "be")
     la, lb = a.collect(), b.collect()
