@@ -138,10 +138,10 @@ def _(v):
 
 
 @query("contiguity_check", "video_id:l n:l contiguous:b", sql="""
-  SELECT conv_id // 2 AS video_id, count(*) AS n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AND count(*) % 5 <> 4 AS contiguous
-  FROM conversations WHERE conv_id % 2 = 0 OR conv_id % 6 = 5 GROUP BY 1""")
+  SELECT conv_id AS video_id, count(*) AS n, min(t) = 0 AND max(t) = count(*) - 1 AND count(DISTINCT t) = count(*) AND count(*) % 5 <> 4 AS contiguous
+  FROM (SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN turn + 1 WHEN conv_id % 4 = 2 AND turn = 1 THEN 0 ELSE turn END AS t FROM conversations) GROUP BY 1""")
 def _(v):
-    d = v.table("conversations").where("conv_id % 2 = 0 OR conv_id % 6 = 5").selectExpr("conv_id div 2 AS video_id", "turn")
+    d = v.table("conversations").selectExpr("conv_id AS video_id", "CASE WHEN conv_id % 4 = 1 THEN turn + 1 WHEN conv_id % 4 = 2 AND turn = 1 THEN 0 ELSE turn END AS turn")
     declared = d.groupBy("video_id").agg(F.count("*").alias("c")).selectExpr("video_id", "CASE WHEN c % 5 = 4 THEN c + 1 ELSE c END AS row_count")
     return A.contiguity_check(d, ["video_id"], "turn", declared)
 

@@ -156,16 +156,16 @@ def _(v):
     return I.restrict_to_current(v.intervals("visual", "asr"), m, ["video_id"], "unit_id", 3.0, W)
 
 
-@query("overlap_best_match", "query_id:l moment_id:l track_idx:l cosine:d status:s", views="frames tracks qv", sql="""
+@query("overlap_best_match", "query_id:l moment_id:l track_idx:l cosine:d status:s", views="frames tracks qv1", sql="""
   WITH m AS (SELECT q.query_id, f.video_id, q.query_id * 1000000 + f.vec_id AS moment_id, f.timestamp_ms * 3 AS s, f.timestamp_ms * 3 + 700 AS e, vec
-     FROM frames f JOIN qv q ON q.query_id = f.label AND q.query_idx = 0),
+     FROM frames f JOIN qv1 q ON q.query_id = f.label),
   b AS (SELECT moment_id, track_idx, c FROM (SELECT m.moment_id, t.track_idx, list_cosine_similarity(t.embedding, m.vec) AS c,
      row_number() OVER (PARTITION BY m.moment_id ORDER BY list_cosine_similarity(t.embedding, m.vec) DESC, t.track_idx) AS rk
      FROM m JOIN tracks t ON t.video_id = m.video_id AND m.s < t.end_ms AND m.e > t.start_ms) WHERE rk = 1)
   SELECT query_id, moment_id, track_idx, c AS cosine, CASE WHEN c IS NULL THEN 'no_track' WHEN c >= 0.35 THEN 'confirmed' WHEN c >= 0.2 THEN 'ambiguous' ELSE 'rejected' END AS status
   FROM m LEFT JOIN b USING (moment_id)""")
 def _(v):
-    q = v.qv.where("query_idx = 0")
+    q = v.qv1
     m = v.frames.select("vec_id", "video_id", "timestamp_ms", F.col("label").cast("long").alias("query_id")).join(
         q.select("query_id"), "query_id", "left_semi").selectExpr(
         "query_id", "video_id", "query_id * 1000000 + vec_id AS moment_id", "timestamp_ms * 3 AS start_ms", "timestamp_ms * 3 + 700 AS end_ms")

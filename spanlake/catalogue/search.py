@@ -55,18 +55,18 @@ def _(v):
     return S.hybrid_search(q, v.text_units, 0.65)
 
 
-@query("face_search", "query_id:l video_id:l unit_id:l score:d decision:s", views="tracks qv", sql="""
+@query("face_search", "query_id:l video_id:l unit_id:l score:d decision:s", views="tracks qv1", sql="""
   SELECT query_id, video_id, track_idx AS unit_id, 1 / (1 + exp(-12 * (c - 0.45))) AS score, CASE WHEN c >= 0.35 THEN 'absolute_hit' ELSE 'weak' END AS decision FROM (
-   SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY c DESC, track_idx) AS rk FROM (SELECT query_id, video_id, track_idx, list_cosine_similarity(embedding, vec) AS c FROM tracks, qv WHERE query_idx = 0)) WHERE rk <= 20""")
+   SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY c DESC, track_idx) AS rk FROM (SELECT query_id, video_id, track_idx, list_cosine_similarity(embedding, vec) AS c FROM tracks, qv1)) WHERE rk <= 20""")
 def _(v):
-    return S.face_search(v.qv.where("query_idx = 0"), v.tracks, limit=20)
+    return S.face_search(v.qv1, v.tracks, limit=20)
 
 
-@query("speaker_search", "query_id:l video_id:l unit_id:l score:d decision:s", views="utterances qv", sql="""
+@query("speaker_search", "query_id:l video_id:l unit_id:l score:d decision:s", views="utterances qv1", sql="""
   SELECT query_id, video_id, utterance_idx AS unit_id, c AS score, CASE WHEN c >= 0.5 THEN 'absolute_hit' ELSE 'weak' END AS decision FROM (
-   SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY c DESC, utterance_idx) AS rk FROM (SELECT query_id, video_id, utterance_idx, list_cosine_similarity(embedding, vec) AS c FROM utterances, qv WHERE query_idx = 0)) WHERE rk <= 3""")
+   SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY c DESC, utterance_idx) AS rk FROM (SELECT query_id, video_id, utterance_idx, list_cosine_similarity(embedding, vec) AS c FROM utterances, qv1)) WHERE rk <= 3""")
 def _(v):
-    return S.speaker_search(v.qv.where("query_idx = 0"), v.utterances, limit=3)
+    return S.speaker_search(v.qv1, v.utterances, limit=3)
 
 
 @query("resolve_entity_vector", "query_id:l name:s first:d", views="entities mention_texts", sql="""

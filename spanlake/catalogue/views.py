@@ -50,6 +50,13 @@ class Views:
             Summarizer.mean(array_to_vector("embedding")).alias("m")
         ).select("query_id", "query_idx", l2_normalize(vector_to_array("m")).alias("vec"))
 
+    @cached_property
+    def qv1(self) -> DataFrame:
+        """One unit query vector per label: the mean of all its vectors."""
+        e = self.table("embeddings")
+        return e.groupBy(F.col("label").cast("long").alias("query_id")).agg(Summarizer.mean(array_to_vector("embedding")).alias("m")).select(
+            "query_id", F.lit(0).cast("long").alias("query_idx"), l2_normalize(vector_to_array("m")).alias("vec"))
+
     @cached_property
     def text_units(self) -> DataFrame:
         d = self.table("documents").selectExpr(
@@ -168,6 +175,9 @@ CTES: dict[str, tuple[str, str]] = {
           SELECT label AS query_id, vec_id % 3 AS query_idx, i, avg(x) AS m FROM (
             SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
           GROUP BY 1, 2, 3)) GROUP BY 1, 2"""),
+    "qv1": ("", """SELECT query_id, 0 AS query_idx, list(m / n ORDER BY i) AS vec FROM (SELECT *, sqrt(sum(m * m) OVER (PARTITION BY query_id)) AS n FROM (
+        SELECT label AS query_id, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+        GROUP BY 1, 2)) GROUP BY 1"""),
     "text_units": ("", """SELECT doc_id, source AS video_id, doc_id AS segment_idx, doc_id * 10000 AS start_ms,
         doc_id * 10000 + least(n_chars * 5, 9000) AS end_ms, text, lang, doc_id % 7 <> 0 AS has_embedding,
         CASE WHEN doc_id % 7 <> 0 THEN e.embedding::DOUBLE[] END AS embedding
