@@ -1,11 +1,13 @@
 """Toxicity by a counterfactual-regularised logistic classifier.
 
-Features are words and word beginnings (so inflected forms share weight). Labelled texts that mention an identity
+Features are words and word beginnings (so inflected forms share weight), each with its count and its density. Labelled texts that mention an identity
 term are paired with copies in which it is swapped for others of its group and for a neutral word; the fit
 penalises the square of the change in score between the pair, so that weight cannot rest on who is mentioned.
 """
 from __future__ import annotations
 
+from math import log1p
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,9 @@ IDENTITY = (
 )
 NEUTRAL = "person"
 #: Bound of the labelled sample for each class, and number of features.
-SAMPLE, FEATURES = 6_000, 2_000
+SAMPLE, FEATURES = 6_000, 1_000
 #: Documents of the sample that a feature must occur in; strengths of the penalties; beginnings taken as features.
-LEAST, RIDGE, COUNTERFACTUAL = 3, 1e-3, 1.0
+LEAST, RIDGE, COUNTERFACTUAL = 3, 3e-4, 1.0
 HEADS = (4, 5, 6)
 _APART = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -51,10 +53,15 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[1] for x in found.values()], pa.int64()), pa.array([x[0] for x in found.values()], pa.int64())], ["feature", "pos", "neg"])
 
 
+def _values(count: float, n_words: int) -> tuple[float, float]:
+    """A feature's two values: its count, and its occurrences in 200 words, both damped."""
+    return log1p(count), log1p(200 * count / max(50, n_words))
+
+
 class Model:
-    """Weights by feature; the bias follows the share of toxic texts among all that are labelled."""
+    """Two weights by feature (of count and density); the bias follows the share of toxic texts among all that are labelled."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[bytes, tuple[float, float]], bias: float):
         self.weights, self.bias = weights, bias
         self.begins = {f.lstrip(b"=")[:3] for f in weights} if all(len(f.lstrip(b"=")) >= 3 for f in weights) else None
 
@@ -66,20 +73,27 @@ class Model:
             for f in _features(w):
                 if f in self.weights:
                     counts[f] = counts.get(f, 0) + 1
-        z = self.bias + sum(self.weights[f] * np.log1p(n) for f, n in counts.items())
+        z = self.bias
+        for f, n in counts.items():
+            (a, b), (x, y) = self.weights[f], _values(n, len(words))
+            z += a * x + b * y
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
 def _vectors(names: list[bytes], groups):
+    """Rows (label, places, values) of the sample's texts, and with label -1 the changes that swapped identity terms make."""
     index = {f: i for i, f in enumerate(names)}
     swaps = _swaps(groups)
 
-    def counts(words):
-        out: dict[int, int] = {}
+    def values(words):
+        counts: dict[int, int] = {}
         for w in words:
             for f in _features(w):
                 if f in index:
-                    out[index[f]] = out.get(index[f], 0) + 1
+                    counts[index[f]] = counts.get(index[f], 0) + 1
+        out = {}
+        for i, n in counts.items():
+            out[i], out[i + len(names)] = _values(n, len(words))
         return out
 
     def run(batches):
@@ -87,12 +101,12 @@ def _vectors(names: list[bytes], groups):
             rows = []
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 words = words_of(text)
-                own = counts(words)
-                rows.append((toxic, list(own), list(np.log1p(list(own.values())))))
+                own = values(words)
+                rows.append((toxic, list(own), list(own.values())))
                 named = [w for w in words if w in swaps]
                 for k in range(max((len(swaps[w]) for w in named), default=0)):
-                    other = counts([swaps[w][k % len(swaps[w])] if w in swaps else w for w in words])
-                    change = {i: np.log1p(other.get(i, 0)) - np.log1p(own.get(i, 0)) for i in {*own, *other}}
+                    other = values([swaps[w][k % len(swaps[w])] if w in swaps else w for w in words])
+                    change = {i: other.get(i, 0.0) - own.get(i, 0.0) for i in {*own, *other}}
                     change = {i: x for i, x in change.items() if x}
                     if change:
                         rows.append((-1, list(change), list(change.values())))
@@ -145,9 +159,9 @@ def learn(labelled: DataFrame, docs: DataFrame, groups=IDENTITY, sample: int = S
               .where(F.col("pos") + F.col("neg") >= LEAST).where(F.length("feature") > 3).orderBy(F.desc(F.abs(z)), "feature").limit(features))
     names = [bytes(r[0]) for r in chosen.select("feature").collect()]
     vectors = [tuple(r) for r in rows.mapInArrow(_vectors(names, groups), "toxic int, at array<int>, x array<double>").collect()]
-    weights, bias = fit(vectors, len(names), counterfactual=counterfactual)
+    weights, bias = fit(vectors, 2 * len(names), counterfactual=counterfactual)
     bias += np.log(sizes[1] / sizes[0]) - np.log(max(1, n[1]) / max(1, n[0]))  # the sample has the classes in other shares
-    return Model({f: float(w) for f, w in zip(names, weights)}, float(bias))
+    return Model({f: (float(a), float(b)) for f, a, b in zip(names, weights, weights[len(names):])}, float(bias))
 
 
 def _scored(model: Model, name: str):
