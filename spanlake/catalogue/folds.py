@@ -1,4 +1,4 @@
-"""Queries of order-dependent operators. No SQL twin: the tests compare them with brute force."""
+"""Queries of order-dependent operators. Where a recursive SQL twin would be longer than the operator, the tests compare with brute force."""
 from pyspark.sql import functions as F
 
 from ..operators import identity as D
@@ -113,7 +113,11 @@ def _(v):
     return T.read_asr_records(r.select("conv_id", "turn", "r.*"), ["conv_id", "turn"])
 
 
-@query("gap_sessions_capped", "video_id:l start:d end:d intervals:l")
+@query("gap_sessions_capped", "video_id:l start:d end:d intervals:l", views="candidates", sql="""SELECT * FROM (
+  WITH RECURSIVE r AS (SELECT video_id, start_time AS s, end_time AS e, row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time, unit_id) AS n FROM candidates WHERE modality IN ('visual', 'asr')),
+  f AS (SELECT video_id, n, s, e, 1 AS g FROM r WHERE n = 1 UNION ALL
+   SELECT r.video_id, r.n, CASE WHEN r.s - f.e <= 2 AND r.e - f.s <= 12 THEN f.s ELSE r.s END, r.e, f.g + CASE WHEN r.s - f.e <= 2 AND r.e - f.s <= 12 THEN 0 ELSE 1 END FROM f JOIN r ON r.video_id = f.video_id AND r.n = f.n + 1)
+  SELECT video_id, min(s) AS start, max_by(e, n) AS "end", count(*) AS intervals FROM f GROUP BY video_id, g)""")
 def _(v):
     return T.gap_sessions_capped(v.intervals("visual", "asr"), ["video_id"], 2.0, 12.0, "unit_id", 24.0)
 
@@ -162,7 +166,10 @@ def _(v):
     return D.speaker_preview(u, vector_mean(u, ["video_id", "track_id"]))
 
 
-@query("shot_boundaries", "video_id:l ts_ms:l")
+@query("shot_boundaries", "video_id:l ts_ms:l", views="candidates", sql="""SELECT * FROM (
+  WITH RECURSIVE c AS (SELECT DISTINCT video_id, CAST(trunc(start_time * 1000) AS BIGINT) AS t FROM candidates WHERE score * 3 >= 0.45),
+  f AS (SELECT DISTINCT video_id, 0::BIGINT AS ts_ms FROM candidates UNION ALL SELECT f.video_id, min(c.t) FROM f JOIN c ON c.video_id = f.video_id AND c.t >= f.ts_ms + 5000 GROUP BY f.video_id)
+  SELECT video_id, ts_ms FROM f)""")
 def _(v):
     f = v.candidates.selectExpr("video_id", "CAST(start_time * 1000 AS BIGINT) AS ts_ms", "score * 3 AS difference")
     return D.shot_boundaries(f, ["video_id"], 0.45, 5000, 48_000.0)

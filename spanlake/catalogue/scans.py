@@ -175,7 +175,7 @@ def _(v):
     return W.replace_samples(s, s.where("st <> 'P'"), new)
 
 
-@query("append_trace", "event_id:l event_type:s")
+@query("append_trace", "event_id:l event_type:s", sql="SELECT event_id, event_type FROM events")
 def _(v):
     path = fresh(v, "trace")
     e = v.table("events").select("event_id", "event_type", "value")

@@ -86,14 +86,27 @@ def _(v):
     return S.moment_search(v.qv, {"visual": v.frames})
 
 
+@query("moment_search_asr", "query_id:l video_id:s start_time:d score:d above_threshold:b rank:l", views="text_units text_queries", sql=_BM.replace("KLIM", "100") + f"""
+  , dn AS (SELECT query_id, video_id, segment_idx AS doc_id, score FROM ({_DT})),
+  j AS (SELECT coalesce(dn.query_id, lx.query_id) AS query_id, coalesce(dn.video_id, lx.video_id) AS video_id, coalesce(dn.doc_id, lx.doc_id) AS unit_id, 0.65 * coalesce(dn.score, 0) + 0.35 * coalesce(lx.score, 0) AS score
+    FROM dn FULL JOIN lx ON dn.query_id = lx.query_id AND dn.video_id = lx.video_id AND dn.doc_id = lx.doc_id),
+  c AS (SELECT query_id, r.video_id, start_ms / 1000.0::DOUBLE AS start_time, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, unit_id) AS rk FROM j) r
+    JOIN text_units t ON t.segment_idx = r.unit_id AND t.start_ms < t.end_ms WHERE rk <= 72),
+  f AS (SELECT *, score >= greatest(0.1, 0.3 * max(score) OVER (PARTITION BY query_id)) AS above FROM c)
+  SELECT query_id, video_id, start_time, score, above AS above_threshold, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY above DESC, score DESC, start_time, video_id) AS r FROM f) WHERE r <= 24""")
+def _(v):
+    """The text channel alone; even queries ask for every channel, odd ones for this one."""
+    q = v.text_queries.select("query_id", F.lit(0).cast("long").alias("query_idx"), "text", F.col("vec").alias("text_vec"), F.expr("CASE WHEN query_id % 2 = 1 THEN array('asr') END AS channels"))
+    return S.moment_search(q, {"asr": v.text_units})
+
+
 @query("moment_search_all_channels", "query_id:l video_id:l start_time:d end_time:d score:d channels:s decision:s above_threshold:b rank:l")
 def _(v):
     """Every channel at once; text sources become numeric videos so that channels meet on them."""
     t = v.text_units.withColumn("video_id", F.regexp_extract("video_id", r"(\d+)", 1).cast("long") % 5)
-    tq = v.text_queries.select((F.col("query_id") % 10).alias("query_id"), F.col("query_id").alias("item"), "text", F.col("vec").alias("text_vec"))
-    one = tq.groupBy("query_id").agg(F.min_by(F.struct("text", "text_vec"), "item").alias("x")).select("query_id", "x.*", F.lit(0).cast("long").alias("query_idx"))
-    q = v.qv.join(one, ["query_id", "query_idx"], "left").withColumn("face_vec", F.col("vec"))
-    r = S.moment_search(q, {"visual": v.frames, "asr": t, "face": v.tracks})
+    tq = v.text_queries.select("query_id", F.lit(0).cast("long").alias("query_idx"), "text", F.col("vec").alias("text_vec"))
+    q = v.qv.join(tq, ["query_id", "query_idx"], "full_outer").withColumn("face_vec", F.col("vec"))
+    r = S.moment_search(q, {"visual": v.frames, "asr": t, "ocr": t.where("lang <> 'en'"), "face": v.tracks})
     return r.withColumn("channels", F.array_join("modalities", "|"))
 
 

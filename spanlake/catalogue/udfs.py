@@ -7,22 +7,24 @@ from ..operators.aggregates import group_rollup
 from .registry import query
 
 
-@query("encoder_udf", "conv_id:l turn:l norm:d dim:l")
+@query("encoder_udf", "conv_id:l turn:l norm:d dim:l", sql="SELECT conv_id, turn, 1.0 AS norm, 64 AS dim FROM conversations WHERE trim(text) <> ''")
 def _(v):
     from ..functions.vector import norm
     encode = U.encoder_udf(lambda: U.hashing_encoder(64))
-    d = v.table("conversations").select("conv_id", "turn", encode("text").alias("e"))
+    d = v.table("conversations").where("trim(text) <> ''").select("conv_id", "turn", encode("text").alias("e"))
     return d.select("conv_id", "turn", norm("e").alias("norm"), F.size("e").alias("dim"))
 
 
 @query("semantic_arrays", "conv_id:l turn:l has_embedding:b semantic_status:s", sql="""
-  SELECT conv_id, turn, turn % 3 <> 0 AND trim(text) <> '' AS has_embedding, 'complete' AS semantic_status FROM conversations""")
+  WITH c AS (SELECT *, turn % 3 <> 0 AND conv_id % 4 <> 1 AND trim(text) <> '' AS ok FROM conversations)
+  SELECT conv_id, turn, ok AS has_embedding, CASE WHEN bool_or(ok) OVER (PARTITION BY conv_id) THEN 'complete' ELSE 'empty' END AS semantic_status FROM c""")
 def _(v):
-    c = v.table("conversations").withColumn("semantic_eligible", F.col("turn") % 3 != 0)
-    return U.semantic_arrays(c, ["conv_id", "turn"], U.encoder_udf(lambda: U.hashing_encoder(64)))
+    c = v.table("conversations").withColumn("semantic_eligible", F.expr("turn % 3 <> 0 AND conv_id % 4 <> 1"))
+    return U.semantic_arrays(c, ["conv_id", "turn"], U.encoder_udf(lambda: U.hashing_encoder(64)), by=("conv_id",))
 
 
-@query("detector_udf", "page_id:l n:l first:s")
+@query("detector_udf", "page_id:l n:l first:s", sql="""
+  SELECT page_id, len(w) AS n, w[1] AS "first" FROM (SELECT page_id, regexp_extract_all(html, '[^\\s\\x{00A0}]+') AS w FROM pages)""")
 def _(v):
     def load():
         def model(content):
@@ -33,7 +35,10 @@ def _(v):
     return d.select("page_id", F.size("boxes").alias("n"), F.col("boxes")[0]["text"].alias("first"))
 
 
-@query("reranker_udf", "doc_id:l p:d")
+@query("reranker_udf", "doc_id:l p:d", sql="""
+  WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '\\S+')) AS e, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents),
+  b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '\\S+')) AS q FROM benchmark)
+  SELECT doc_id, len(list_intersect(q, e)) / greatest(1, len(q))::DOUBLE AS p FROM d JOIN b USING (item_id)""")
 def _(v):
     def load():
         return lambda q, e: [len(set(a.lower().split()) & set(b.lower().split())) / max(1, len(set(a.lower().split()))) for a, b in zip(q, e)]

@@ -108,8 +108,7 @@ def with_normalized(df, text: str = "text", normalized: str = "__n", compact: st
 
 def semantic_eligible(df, text: str = "text", duration_ms=None, out: str = "quality"):
     """Adds struct(eligible, reason)."""
-    from ..operators.skew import spread
-    d = with_normalized(spread(df, text), text)
+    d = with_normalized(df, text)
     return d.withColumn(out, quality_of("__n", "__c", duration_ms)).drop("__n", "__c")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import DECISION_ORDER, FUSION_WEIGHTS
 from ..functions.text import char_profile, quality_of, tokenize, with_normalized
 from ..functions.vector import dot, l2_normalize
-from .skew import spread
+from ..session import cut_lineage
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -174,14 +174,16 @@ def bm25_terms(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame
 
 def bm25_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents per term, with the corpus size and mean length on every row."""
-    t = spread(docs.select(text), text).select(tokenize(text).alias("tokens"))
-    corpus = t.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    df = t.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumns({"n_docs": corpus.select("n_docs").scalar(), "avgdl": corpus.select("avgdl").scalar()})
+    # one tokenising pass: the row of the empty term (which no text has) counts documents and their lengths
+    rows = docs.select(tokenize(text).alias("t")).select(F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
+    stats = cut_lineage(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl")))
+    total = stats.where("term = ''").first() or {"df": 0, "dl": 0}
+    n, dl = total["df"], total["dl"]
+    return stats.where("term <> ''").select("term", "df", F.lit(n).cast("long").alias("n_docs"), F.lit(dl / n if n else 0.0).alias("avgdl"))
 
 
 def text_profile(units: DataFrame, by: list[str], text: str = "text") -> DataFrame:
-    d = with_normalized(spread(units.select(*by, text), text), text)
+    d = with_normalized(units.select(*by, text), text)
     d = d.select(*by, quality_of("__n", "__c")["eligible"].alias("ok"), (F.col("__n") == "").alias("empty"), *[c.alias(k) for k, c in char_profile("__n").items()])
     return d.groupBy(*by).agg(
         F.count("*").alias("chunks"), F.count_if("empty").alias("empty_chunks"), F.sum("cjk_chars").alias("cjk_chars"),

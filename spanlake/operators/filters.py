@@ -131,14 +131,25 @@ def absolute_threshold(df: DataFrame, threshold: float, cosine: str = "raw_score
     return df.withColumns({"above_threshold": hit, "decision": F.when(hit, "absolute_hit").otherwise("weak")})
 
 
+# Fixed value: what is said of a candidate below its channel's threshold.
+BELOW = " · 低于阈值"
+
+
 def global_dynamic_threshold(cands: DataFrame, channels=("ocr", "asr"), floor: float = 0.10, ratio: float = 0.3) -> DataFrame:
-    """Flag against max(floor, ratio * best score of the channel in the whole query); nothing is removed."""
+    """Flag against max(floor, ratio * best score of the channel in the whole query); nothing is removed.
+
+    The text of a flagged row (``detail``, where there is one) says so, once.
+    """
     best = (cands.where(F.col("modality").isin(*channels)).groupBy("query_id", "modality")
             .agg(F.greatest(F.lit(floor), F.max("score") * ratio).alias("__t")))
     d = cands.join(best, ["query_id", "modality"], "left")
     flag = F.when(F.col("__t").isNotNull(), F.col("score") >= F.col("__t"))
     prev = F.col("above_threshold") if "above_threshold" in cands.columns else F.lit(True)
-    return d.withColumn("above_threshold", F.coalesce(flag, prev)).withColumn("threshold", F.col("__t")).drop("__t")
+    d = d.withColumn("above_threshold", F.coalesce(flag, prev)).withColumn("threshold", F.col("__t"))
+    if "detail" in cands.columns:
+        text = F.coalesce("detail", F.lit(""))
+        d = d.withColumn("detail", F.when(F.coalesce(flag, F.lit(True)) | F.contains(text, F.lit(BELOW)), F.col("detail")).otherwise(F.concat(text, F.lit(BELOW))))
+    return d.drop("__t")
 
 
 def utterance_visible(hits: DataFrame, overlays: DataFrame, exclude: DataFrame | None = None) -> DataFrame:

@@ -178,7 +178,10 @@ def density_fallback(windows: DataFrame, by: list[str], components: int = 32, k:
     """
     flat = windows.groupBy(*by).agg(F.count("*").alias("n"), (F.min("label") == F.max("label")).alias("one")).where("one AND n >= 40").select(*by)
     d = windows.join(flat, by, "left_semi").withColumn("__v", array_to_vector(l2_normalize("embedding")))
-    dim = len(d.select("embedding").first()[0])
+    head = d.select("embedding").first()
+    if head is None:  # no video has collapsed, the usual case
+        return windows.limit(0).withColumn("label", F.col("label").cast("long"))
+    dim = len(head[0])
     pca = PCA(k=min(components, dim), inputCol="__v", outputCol="__p").fit(d)
     model = BisectingKMeans(k=k, seed=0, featuresCol="__p", predictionCol="__label").fit(pca.transform(d))
     scored = model.transform(pca.transform(d)).drop("__v", "__p")

@@ -23,14 +23,24 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .skew import top_k
 
 MAX_TASK_QUERIES = 4096      # query rows that may travel with a task
+MAX_TASK_BYTES = 64 << 20    # and their size
+MAX_CELLS = 4_000_000        # scores held at once: queries x units of one tile (32 MB a copy)
 UNIT_BLOCK_ROWS = 50_000     # unit rows per cogrouped block
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, names=lambda i: f"row {i}", width: int | None = None) -> np.ndarray:
+    """Vectors as rows; one of another width than ``width`` (the first one's) is an error that names its row."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(column)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(n, -1) if n else flat.reshape(0, 0)
+    if not n:
+        return flat.reshape(0, 0)
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = int(widths[0]) if width is None else width
+    odd = np.flatnonzero(widths != width)
+    if len(odd):
+        raise ValueError(f"{names(int(odd[0]))}: a vector of {int(widths[odd[0]])} values among vectors of {width}")
+    return flat.reshape(n, width)
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -68,10 +78,15 @@ def partial_top_k(scores: np.ndarray, groups: np.ndarray, k: int) -> tuple[np.nd
     return np.concatenate(q_out), np.concatenate(u_out)
 
 
-def _score(q_table: pa.Table, units, by, keep, emb, metric, k, schema) -> pa.Table:
-    if q_table.num_rows == 0 or units.num_rows == 0:
-        return schema.empty_table()
-    qm, um = _matrix(q_table.column("__qv")), _matrix(units.column(emb))
+def _score(q_table: pa.Table, units, by, keep, emb, metric, k, schema) -> list[pa.Table]:
+    """Scored tiles of at most MAX_CELLS scores; each keeps what may be among its groups' best."""
+    rows = max(1, MAX_CELLS // max(1, q_table.num_rows))
+    return [_tile(q_table, units.slice(a, rows), by, keep, emb, metric, k, schema) for a in range(0, units.num_rows, rows)] if q_table.num_rows else []
+
+
+def _tile(q_table: pa.Table, units, by, keep, emb, metric, k, schema) -> pa.Table:
+    qm = _matrix(q_table.column("__qv"), lambda i: "query " + str([q_table.column(f.name)[i].as_py() for f in schema if f.name in q_table.column_names]))
+    um = _matrix(units.column(emb), lambda i: "unit " + str({c: units.column(c)[i].as_py() for c in (*by, *keep)}), qm.shape[1])
     if metric == "cosine":
         qm, um = _unit_rows(qm), _unit_rows(um)
     # equal vectors must tie wherever they lie, so the last bits of the product are dropped
@@ -114,12 +129,13 @@ def knn_join(
     schema = to_arrow_schema(out_type)
 
     head = q.limit(max_task_queries + 1).toArrow()
-    if head.num_rows <= max_task_queries:
+    if head.num_rows <= max_task_queries and head.nbytes <= MAX_TASK_BYTES:
         table = head.combine_chunks()
 
         def run(batches):
             for batch in batches:
-                yield from _score(table, batch, by, keep, emb, metric, k, schema).to_batches()
+                for tile in _score(table, batch, by, keep, emb, metric, k, schema):
+                    yield from tile.to_batches()
 
         scored = u.mapInArrow(run, out_type)
     else:
@@ -131,7 +147,7 @@ def knn_join(
             "__shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
 
         def run_pair(left: pa.Table, right: pa.Table) -> pa.Table:
-            return _score(left, right, by, keep, emb, metric, k, schema)
+            return pa.concat_tables([schema.empty_table(), *_score(left, right, by, keep, emb, metric, k, schema)])
 
         scored = qb.groupBy("__block", "__shard").cogroup(ub.groupBy("__block", "__shard")).applyInArrow(
             run_pair, out_type)

@@ -16,8 +16,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import tokenize
+from ..session import cut_lineage
 from .knn import _group_ids, partial_top_k
-from .skew import spread, top_k
+from .skew import top_k
 
 MAX_TASK_TERMS = 200_000     # (query, term) rows that may travel with a task
 MAX_TASK_CELLS = 8_000_000   # queries x distinct terms of the weight matrix
@@ -41,9 +42,9 @@ def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("vide
                 k1: float = 1.2, b: float = 0.75, max_task_terms: int = MAX_TASK_TERMS, max_task_cells: int = MAX_TASK_CELLS) -> DataFrame:
     """Per (query, ``by``) the ``k`` best units with a positive score; ties by ``keep``."""
     by, keep = tuple(by), tuple(keep)
-    units = spread(units.select(*by, *keep, text), *keep)
+    units = units.select(*by, *keep, text)
     terms = query_terms(queries, text)
-    stats = corpus_stats(units, terms, text)
+    stats = cut_lineage(corpus_stats(units, terms, text))
     order = [F.desc("score"), *[F.col(c) for c in keep]]
     head = terms.limit(max_task_terms + 1).toArrow()
     ids = head.column("query_id").unique()

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import casefold
 from .filters import ready_publications
 from .skew import top_k
 
@@ -34,11 +35,11 @@ def entity_mention(texts: DataFrame, entities: DataFrame) -> DataFrame:
     A substring search as an equi-join: each text lists its substrings of every
     length some name has, so texts and names meet on equal strings only.
     """
-    names = entities.select("entity_id", "name", F.lower("name").alias("__s"))
+    names = entities.select("entity_id", "name", casefold("name").alias("__s"))
     lengths = names.select(F.length("__s").alias("__n")).distinct()
     # one row per distinct name length, so a single small array
     lens = lengths.agg(F.collect_set("__n")).scalar()
-    t = texts.select("query_id", F.lower("text").alias("__t")).withColumn("__n", F.explode(lens))
+    t = texts.select("query_id", casefold("text").alias("__t")).withColumn("__n", F.explode(lens))
     t = t.where(F.col("__n") <= F.length("__t")).withColumn(
         "__i", F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__n") + 1)))
     t = t.select("query_id", F.substring("__t", F.col("__i"), F.col("__n")).alias("__s")).distinct()

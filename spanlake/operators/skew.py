@@ -22,16 +22,6 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Before work that is heavy per row: more tasks, when the input is fewer files than there are cores.
-
-    A table of many files is left alone, so at scale this adds no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())
-    return df.repartition(cores, F.xxhash64(*keys)) if 0 < files < cores else df
-
-
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows of every group; ``order`` must end in a unique key."""
     w = Window.partitionBy(*by).orderBy(*order)

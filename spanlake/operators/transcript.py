@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 from ..functions.text import extract_tags, merge_labels, normalize_search_text, normalize_text, quality_of, strip, with_normalized
 from ..functions.vector import let
 from ..session import cut_lineage
-from .skew import carry, fold_sorted, islands, number_rows, spread
+from .skew import carry, fold_sorted, islands, number_rows
 from .windows import adjacent_duplicates, longest_unpunctuated_span
 
 # Sentence-ending and pausing punctuation, and the lengths (ms) at which each may split.
@@ -325,7 +325,7 @@ def build_chunks(items: DataFrame, keys: list[str] | None = None, normal_gap: in
     for c, t in cols.items():
         if c not in items.columns:
             items = items.withColumn(c, F.lit(None).cast(t))
-    d = with_normalized(spread(items, *keys, "item_id")).where("__n <> ''").withColumns({"text": F.col("__n"), "end_ms": F.greatest("start_ms", "end_ms")})
+    d = with_normalized(items).where("__n <> ''").withColumns({"text": F.col("__n"), "end_ms": F.greatest("start_ms", "end_ms")})
     order = [F.col("start_ms"), F.col("end_ms"), F.col("item_id")]
     # lengths and times only: this narrow table is read several times below, the texts are not
     e = cut_lineage(d.select(*keys, "item_id", "start_ms", "end_ms", F.length("__c").cast("long").alias("chars"), F.col("text").rlike("[.!?。！？]$").alias("closed"), "unit_id"))

@@ -1,7 +1,7 @@
 """Window-shaped operators, orderings and top-k."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vector import dot, l2_normalize
@@ -159,7 +159,8 @@ def order_results(results: DataFrame, limit: int, primary: str | None = None, by
 def profile_cap(results: DataFrame, by: list[str], order: list[Column], hard_limit: int = 500) -> DataFrame:
     """Per-group cap from the query's own columns: ``hard_limit`` for the recall profile, else its limit."""
     cap = F.when(F.col("profile") == "recall", F.lit(hard_limit)).otherwise(F.col("limit"))
-    return top_k(results, by, order, hard_limit).where(F.col("rank") <= cap)
+    ranked = results.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.where(F.col("rank") <= cap)
 
 
 def order_reranked(results: DataFrame, by: list[str], limit: int) -> DataFrame:

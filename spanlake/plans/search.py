@@ -11,6 +11,7 @@ from ..functions.vector import face_confidence, l2_normalize, visual_confidence
 from ..operators.aggregates import frame_multiquery_agg, segment_topn_mean
 from ..operators.filters import (absolute_threshold, consistent_segments, global_dynamic_threshold, has_embedding_filter, require_time_window,
                                  valid_visual_hits)
+from ..operators.identity import resolve_entity_vector
 from ..operators.knn import knn_join
 from ..operators.lexical import bm25_search
 from ..operators.moments import fuse_results, group_moments
@@ -30,7 +31,7 @@ def dense_search(queries: DataFrame, frames: DataFrame, ann_k: int = 500, seg_n:
     q = queries.withColumn("vec", l2_normalize("vec", keep_below=1e-8))
     hits = valid_visual_hits(knn_join(q, frames, ann_k, keep=tuple(FRAME), tie=("frame_idx",)))
     hits = consistent_segments(hits, ["query_id", "video_id", "segment_id"])
-    n = queries.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = queries.where("vec IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"))
     seg = segment_topn_mean(frame_multiquery_agg(hits, n, ["video_id", *FRAME]), ["query_id", "video_id", "segment_id"], seg_n)
     top = top_k(seg, ["query_id", "video_id"], [F.desc("score"), F.asc("segment_id")], 500 if recall else limit)
     return top.select(
@@ -112,12 +113,16 @@ def rerank_blend(results: DataFrame, scores: DataFrame, durations: DataFrame, *,
 
 
 def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: SearchProfile | None = None, *, scope: DataFrame | None = None,
-                  pointers: DataFrame | None = None, primary: str | None = None, limit: int | None = None) -> DataFrame:
+                  pointers: DataFrame | None = None, primary: str | None = "visual", limit: int | None = None,
+                  entities: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Ranked moments for a table of queries over every channel supplied.
 
-    ``queries``: query_id, query_idx, and any of vec (visual), text, text_vec, face_vec; one row per
-    visual sub-query, with the text inputs on the row query_idx = 0. ``units``: channel -> unit table.
+    ``queries``: query_id, query_idx, and any of vec (visual), text, text_vec, face_vec, channels; one row per
+    visual sub-query, with the other inputs on the row query_idx = 0. ``channels`` (array) names the channels a
+    query asks for, null all; the face channel follows its vector alone. ``units``: channel -> unit table.
     ``scope``: allowed video ids (an empty table means none). ``pointers``: only published versions.
+    ``entities``: (entities, face samples); a query without a face vector whose text names an entity searches
+    for its mean sample. ``primary``: results that have this channel come first, where the query asks for it.
     """
     from ..operators.relations import join_published
     p = (profile or SearchProfile()).checked()
@@ -126,6 +131,12 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
     have = set(queries.columns)
     first = queries.where("query_idx = 0")
 
+    def asking(rows, channel):
+        if "channels" not in have:
+            return rows
+        wants = first.where(F.col("channels").isNull() | F.array_contains("channels", channel)).select("query_id")
+        return rows.join(wants, "query_id", "left_semi")
+
     def live(channel):
         u = units[channel]
         if pointers is not None:
@@ -136,18 +147,21 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
                           F.col("text_vec").alias("vec") if "text_vec" in have else F.lit(None).cast("array<double>").alias("vec"))
     parts = []
     if "visual" in units and "vec" in have:
-        parts.append(dense_search(queries.select("query_id", "query_idx", "vec"), live("visual"), p.ann_k, p.segment_top_n, channel_limit, p.name == "recall"))
+        parts.append(dense_search(asking(queries.select("query_id", "query_idx", "vec"), "visual"), live("visual"), p.ann_k, p.segment_top_n, channel_limit, p.name == "recall"))
     for channel, w in (("asr", p.asr_dense_weight), ("ocr", p.ocr_dense_weight)):
         if channel in units and have & {"text", "text_vec"}:
-            parts.append(hybrid_search(text_q, live(channel), w, p.text_k, min(channel_limit, p.text_k), channel))
-    if "face" in units and "face_vec" in have:
-        parts.append(face_search(first.select("query_id", F.col("face_vec").alias("vec")), live("face"), p.face_threshold, channel_limit))
+            parts.append(hybrid_search(asking(text_q, channel), live(channel), w, p.text_k, channel_limit, channel))
+    if "face" in units and ("face_vec" in have or entities is not None):
+        faces = first.select("query_id", F.col("face_vec").alias("vec") if "face_vec" in have else F.lit(None).cast("array<double>").alias("vec"))
+        if entities is not None:
+            named = resolve_entity_vector(text_q.where("text IS NOT NULL"), *entities).select("query_id", F.col("vec").alias("__named"))
+            faces = faces.join(named, "query_id", "left").select("query_id", F.coalesce(F.col("vec").cast("array<double>"), "__named").alias("vec"))
+        parts.append(face_search(faces, live("face"), p.face_threshold, channel_limit))
     if not parts:
         raise ValueError("no channel has both units and a query input")
     cands = union_candidates(*parts)
-    if len(parts) > 1:
-        # the threshold reads the candidates twice; they are few after the limits, the searches are not
-        cands = global_dynamic_threshold(cut_lineage(cands), floor=p.dynamic_floor, ratio=p.dynamic_ratio)
+    # the threshold reads the candidates twice; they are few after the limits, the searches are not
+    cands = global_dynamic_threshold(cut_lineage(cands), floor=p.dynamic_floor, ratio=p.dynamic_ratio)
     # grouping passes its rows through Python, so only what fusion reads goes in
     cands = cands.select("query_id", "video_id", "modality", "unit_id", "start_time", "end_time", "score", "raw_score", "best_ms", "above_threshold", "decision")
     grouped = group_moments(cands, p.merge_gap, p.max_result_seconds)

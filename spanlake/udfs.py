@@ -38,15 +38,19 @@ def encoder_udf(load: Callable[[], Callable[[list[str]], np.ndarray]]):
     return encode
 
 
-def semantic_arrays(chunks: DataFrame, key: list[str], encode, enabled: bool = True) -> DataFrame:
-    """Vectors for eligible, non-blank chunks only; the others keep null and has_embedding = false."""
+def semantic_arrays(chunks: DataFrame, key: list[str], encode, enabled: bool = True, by: tuple[str, ...] = ("video_id",)) -> DataFrame:
+    """Vectors for eligible, non-blank chunks only; the others keep null and has_embedding = false.
+
+    Each video (``by``) has its own status: disabled, empty (nothing eligible), unavailable (no encoder) or complete.
+    """
     if not enabled:
         return chunks.withColumns({"embedding": F.lit(None).cast("array<float>"), "has_embedding": F.lit(False), "semantic_status": F.lit("disabled")})
     ok = F.col("semantic_eligible") & (F.trim("text") != "")
-    vec = chunks.where(ok).select(*key, encode("text").alias("embedding"))
+    vec = chunks.where(ok).select(*key, (F.lit(None).cast("array<float>") if encode is None else encode("text")).alias("embedding"))
     d = chunks.join(vec, key, "left").withColumn("has_embedding", F.col("embedding").isNotNull())
-    any_ok = chunks.where(ok).groupBy().agg(F.count("*").alias("n")).scalar()
-    return d.withColumn("semantic_status", F.when(any_ok > 0, "complete").otherwise("empty"))
+    per = chunks.groupBy(*by).agg(F.count_if(ok).alias("__ok"))
+    out = d.join(per, list(by)).withColumn("semantic_status", F.when(F.col("__ok") > 0, F.lit("unavailable") if encode is None else F.lit("complete")).otherwise("empty"))
+    return out.drop("__ok")
 
 
 DETECTIONS = "array<struct<text:string,score:double,left:double,top:double,right:double,bottom:double>>"
