@@ -100,6 +100,23 @@ def _(v):
     return S.moment_search(q, {"asr": v.text_units})
 
 
+@query("evaluate_results", "query_id:l truth:l first_hit:l matched_1:l all_found:b tool_calls:l", views="candidates truth", sql="""
+  WITH q AS (SELECT DISTINCT query_id FROM candidates UNION SELECT 99), t AS (SELECT query_id, count(*) AS truth FROM truth GROUP BY 1),
+  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rk FROM candidates WHERE modality = 'asr') WHERE rk <= 20),
+  f AS (SELECT r.query_id, min(rk) AS first_hit, least(count(DISTINCT rk), count(DISTINCT truth_id)) AS most FROM r JOIN truth t ON t.query_id = r.query_id AND t.video_id = r.video_id AND least(end_time, t_end) > greatest(start_time, t_start) GROUP BY 1)
+  SELECT query_id, coalesce(truth, 0) AS truth, first_hit, coalesce((first_hit = 1)::INT, 0) AS matched_1, true AS all_found, coalesce(query_id % 4, 0) AS tool_calls FROM q LEFT JOIN t USING (query_id) LEFT JOIN f USING (query_id)""")
+def _(v):
+    """Every query gets a row, also the one without any result; matched@20 lies between 1 and what both sides allow."""
+    from ..operators.skew import top_k
+    from ..plans.evaluation import evaluate_results
+    queries = v.candidates.select("query_id").union(v.spark.range(99, 100).toDF("query_id")).distinct()
+    r = top_k(v.candidates.where("modality = 'asr'"), ["query_id"], [F.desc("score"), F.asc("unit_id")], 20)
+    traces = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).where("n < query_id % 4").withColumn("tool", F.lit("asr.search"))
+    e = evaluate_results(queries, r, v.truth, traces, width=4.0)
+    fits = F.col("matched")[20].between(F.col("first_hit").isNotNull().cast("long"), F.least(F.lit(20), F.col("truth")))
+    return e.withColumns({"matched_1": F.col("matched")[1], "all_found": fits})
+
+
 @query("moment_search_all_channels", "query_id:l video_id:l start_time:d end_time:d score:d channels:s decision:s above_threshold:b rank:l")
 def _(v):
     """Every channel at once; text sources become numeric videos so that channels meet on them."""

@@ -83,11 +83,11 @@ def voice_sample_clips(samples: DataFrame, utterances: DataFrame) -> DataFrame:
     return samples.join(u, ["video_id", "utterance_idx"], "left")
 
 
-def hybrid_join(dense: DataFrame, sparse: DataFrame, key: list[str], w_dense: float) -> DataFrame:
-    """Weighted sum of both legs; a leg that did not return the unit contributes 0."""
-    d = dense.select(*key, F.col("score").alias("dense"))
-    s = sparse.select(*key, F.col("score").alias("lexical"))
-    j = d.join(s, key, "full_outer")
+def hybrid_join(dense: DataFrame, sparse: DataFrame, key: list[str], w_dense: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted sum of both legs; a leg that did not return the unit contributes 0. ``keep``: columns that both legs carry."""
+    d = dense.select(*key, *keep, F.col("score").alias("dense"))
+    s = sparse.select(*key, *[F.col(c).alias(f"__{c}") for c in keep], F.col("score").alias("lexical"))
+    j = d.join(s, key, "full_outer").withColumns({c: F.coalesce(c, f"__{c}") for c in keep}).drop(*[f"__{c}" for c in keep])
     score = F.coalesce("dense", F.lit(0.0)) * w_dense + F.coalesce("lexical", F.lit(0.0)) * (1 - w_dense)
     hit = (F.when(F.col("dense").isNotNull() & F.col("lexical").isNotNull(), "semantic_lexical_hit")
            .when(F.col("dense").isNotNull(), "semantic_hit").otherwise("lexical_hit"))

@@ -47,8 +47,10 @@ def dense_text_search(queries: DataFrame, units: DataFrame, k: int = 100, unit:
 
 def _legs(queries, units, k, unit):
     """Both legs; a query without text or without a vector takes part in one leg only."""
-    dense = dense_text_search(queries.where("vec IS NOT NULL"), units, k, unit)
-    lexical = bm25_search(queries.where(F.trim(F.coalesce("text", F.lit(""))) != ""), units, k, keep=(unit,))
+    shown = ("start_ms", "end_ms", "__head")  # what a result shows travels with its leg: the units are not read again
+    units = units.withColumn("__head", F.substring("text", 1, 100))
+    dense = knn_join(queries.where("vec IS NOT NULL"), has_embedding_filter(units), k, query_keys=("query_id",), keep=(unit, *shown), tie=(unit,), metric="ip")
+    lexical = bm25_search(queries.where(F.trim(F.coalesce("text", F.lit(""))) != ""), units, k, keep=(unit, *shown))
     return dense, lexical
 
 
@@ -66,15 +68,14 @@ def hybrid_search(queries: DataFrame, units: DataFrame, w_dense: float, k: int =
         squash = F.atan("score") * (2 / 3.141592653589793)
         dense, lexical = dense.withColumn("score", squash), lexical.withColumn("score", squash)
     mode = queries.select("query_id", F.col("vec").isNotNull().alias("__v"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("__t"))
-    j = hybrid_join(dense, lexical, ["query_id", "video_id", unit], w_dense).join(mode, "query_id")
+    j = hybrid_join(dense, lexical, ["query_id", "video_id", unit], w_dense, ("start_ms", "end_ms", "__head")).join(mode, "query_id")
     j = j.withColumn("score", F.when(~F.col("__t"), F.col("dense")).when(~F.col("__v"), F.col("lexical")).otherwise(F.col("score")))
     top = top_k(j, ["query_id", "video_id"], [F.desc("score"), F.asc(unit)], limit)
-    u = units.select("video_id", unit, "start_ms", "end_ms", "text")
-    rows = require_time_window(top.join(u, ["video_id", unit]))
+    rows = require_time_window(top)
     return rows.select(
         "query_id", "video_id", F.lit(modality).alias("modality"), F.col(unit).alias("unit_id"), ms_to_s("start_ms").alias("start_time"),
         ms_to_s("end_ms").alias("end_time"), "score", F.col("score").alias("raw_score"), F.col("start_ms").alias("best_ms"),
-        F.lit(True).alias("above_threshold"), "decision", snippet(f"{modality}_hybrid", "text", "score", "hybrid").alias("detail"))
+        F.lit(True).alias("above_threshold"), "decision", snippet(f"{modality}_hybrid", "__head", "score", "hybrid").alias("detail"))
 
 
 def _vector_channel(queries, units, modality, unit, threshold, limit, best, score):
