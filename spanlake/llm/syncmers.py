@@ -140,8 +140,11 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rank", F.coalesce("doc_id", F.lit(least)))
     n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(d.approxQuantile("rank", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket")
-    d = ranged.transform(d.withColumn("at", F.col("rank").cast("double"))).drop("at").withColumn("bucket", F.col("bucket").cast("int"))
+    if cuts:
+        ranged = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="bucket")
+        d = ranged.transform(d.withColumn("at", F.col("rank").cast("double"))).drop("at").withColumn("bucket", F.col("bucket").cast("int"))
+    else:
+        d = d.withColumn("bucket", F.lit(0))
     heads = sorted(map(tuple, d.groupBy("bucket").agg(F.max("rank")).collect()), reverse=True)
     if not heads:
         return spark.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
