@@ -6,6 +6,10 @@ set are runs at known positions, so an index list holds only sets that agree on
 lists are skipped at once. Sizes fall into levels; a set is listed on its own level and on the next, where all
 sets that are as large as it may link to are found.
 
+Blocks that hold nothing but common shingles (those of shared passages and set phrases, known from a bounded
+sample) are skipped as well, as long as a set has too few of them to be all that a partner might agree on;
+a set made of common shingles lists all its blocks. Either way no link is lost, whatever the sample says.
+
 Members of a list get a link to its smallest id only. Sets joined this way form candidate clusters, in which
 answers are derived incrementally: one set's overlaps with all others are counted, its partners share its
 component without further counting, and for each partner only those sets are looked at that its distance to
@@ -24,6 +28,10 @@ from .graph import connected_components
 
 #: Shingles that one group of candidate sets may hold; larger clusters are dealt out in chunks.
 CHUNK = 2_000_000
+#: Bytes of index entries in a shard. A document's links come once from each shard, so shards are large.
+SHARD = 24_000_000
+#: Expected documents of the sample for common shingles, how many of them must hold one, and how many shingles are kept.
+COMMON_DOCS, COMMON_LEAST, COMMON_MOST = 8_000, 3, 200_000
 
 
 # --- sets ------------------------------------------------------------------
@@ -95,11 +103,15 @@ class Levels:
         return np.searchsorted(self.lower, sizes, "right") - 1
 
 
-def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
+def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
     """One key for each block of each set on both its levels, and the number of its set.
 
-    Empty blocks count only for sets so sparse that nothing but empty blocks might agree.
+    Sets that link agree on at least blocks - differ blocks. So blocks of common shingles alone count only for
+    sets with that many idle (such or empty) blocks, and empty ones only for sets with that many of them.
     """
+    plain = np.ones(len(flat), bool)
+    if len(common):
+        plain = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
     sizes = np.diff(off)
     keys, owners = [], []
     mixed = C.mix(flat ^ np.uint64(0x2545F4914F6CDD1D))
@@ -120,8 +132,11 @@ def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels) -> tuple[np.nd
             continue
         own, blk = owner[at], block[at]
         place = level[own].astype(np.uint64) * np.uint64(1 << 40) + blk
-        keys.append(C.mix(np.add.reduceat(mixed[inside], at) + C.mix(place)))
-        owners.append(own)
+        told = np.logical_or.reduceat(plain[inside], at)
+        idle = blocks - np.bincount(own[told], minlength=len(sizes))
+        told |= (idle >= blocks - levels.differ[level])[own]
+        keys.append(C.mix(np.add.reduceat(mixed[inside], at) + C.mix(place))[told])
+        owners.append(own[told])
         empty = blocks - np.bincount(own, minlength=len(sizes))
         for i in np.flatnonzero((blocks > 0) & (empty >= blocks - levels.differ[level])):
             there = np.setdiff1d(np.arange(blocks[i]), blk[own == i].astype(np.int64))
@@ -133,28 +148,54 @@ def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels) -> tuple[np.nd
 
 
 def _listed(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of one entry for each key (its smallest id), and links from its other ids."""
-    order = np.lexsort((ids, keys))
+    """The first position of each key, the smallest id listed under it, and distinct links (id, smallest id) of its other ids."""
+    if not len(keys):
+        return np.zeros(0, np.int64), ids[:0], np.zeros((0, 2), np.int64)
+    order = np.argsort(keys, kind="stable")
     k, d = keys[order], ids[order]
     head = np.ones(len(k), bool)
     head[1:] = k[1:] != k[:-1]
-    pivot = d[head][np.cumsum(head) - 1]
+    at = np.flatnonzero(head)
+    least = np.minimum.reduceat(d, at)
+    pivot = np.repeat(least, np.diff(np.append(at, len(d))))
     other = d != pivot
-    links = np.unique(np.stack([d[other], pivot[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return np.sort(order[head]), links[:, 0], links[:, 1]
+    return order[at], least, _distinct(d[other], pivot[other])
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    order = np.lexsort((b, a))
+    both = np.stack([a[order], b[order]], 1)
+    return both[np.append(True, (both[1:] != both[:-1]).any(1))] if len(both) else both
+
+
+def _frequent(k: int):
+    def run(batches):
+        for batch in batches:
+            for part in C.slices(batch, "text"):
+                found, n = np.unique(shingle_sets(*C.text_bytes(part.column("text")), k)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], ["shingle", "n"])
+    return run
+
+
+def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
+    """The most frequent shingles of a bounded sample of ``docs`` (doc_id, text), at most COMMON_MOST, sorted."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // COMMON_DOCS))) == 0
+    rows = (docs.where(part).mapInArrow(_frequent(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+            .where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toArrow())
+    return np.sort(rows.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
-def _entries(k: int, num: int, den: int, most: int, shards: int):
-    """Index entries, packed by shard in the order of the texts; lists met twice here are already links."""
+def _entries(k: int, num: int, den: int, most: int, shards: int, common: np.ndarray):
+    """Index entries of sets (named by their first sum, so that copies are one), packed by shard; lists met twice here are already links."""
     def run(batches):
         levels = Levels(num, den, most)
         for batch in batches:
             for part in C.slices(batch, "text", 4_000_000):
                 flat, off = shingle_sets(*C.text_bytes(part.column("text")), k)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                keys, owner = block_keys(flat, off, levels)
-                first, a, b = _listed(keys, ids[owner])
-                keys, owner = keys[first], owner[first]
+                keys, owner = block_keys(flat, off, levels, common)
+                first, ids, links = _listed(keys, _sums(flat, off).view(np.int64)[owner])
+                order = np.argsort(first)  # entries of a text stay together, which packs well
+                keys, ids = keys[first[order]], ids[order]
                 shard = ((keys >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -163,16 +204,16 @@ def _entries(k: int, num: int, den: int, most: int, shards: int):
                     mine = order[cut[s]:cut[s + 1]]
                     if len(mine):
                         own = keys[mine]
-                        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), ids[owner[mine]].tobytes()))
-                if len(a):
-                    rows.append((int(a[0]) % shards, True, a.tobytes(), b"", b.tobytes()))
+                        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), ids[mine].tobytes()))
+                if len(links):
+                    rows.append((int(links[0, 0]) % shards, True, links[:, 0].tobytes(), b"", links[:, 1].tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "done", "low", "high", "ids"])
     return run
 
 
 def _linked(batches):
-    """Lists of the shards of one partition, as links to the smallest id."""
+    """Lists of the shards of one partition, as links to the smallest set."""
     low, high, ids, a, b = [], [], [], [], []
     shard = []
     for batch in batches:
@@ -188,11 +229,11 @@ def _linked(batches):
     if low:
         keys = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
         keys = C.mix(keys + C.mix(np.concatenate(shard).astype(np.uint64)))
-        _, x, y = _listed(keys, np.concatenate(ids))
-        a.append(x)
-        b.append(y)
+        links = _listed(keys, np.concatenate(ids))[2]
+        a.append(links[:, 0])
+        b.append(links[:, 1])
     if a:
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        both = _distinct(np.concatenate(a), np.concatenate(b))
         for i in range(0, len(both), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(both[i:i + 50_000, 0]), pa.array(both[i:i + 50_000, 1])], ["a", "b"])
 
@@ -271,21 +312,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     a null id is returned with a null component. Rows that share an id are one document with several texts.
     Other columns are ignored, whatever their names. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sets = cut_lineage(d.mapInArrow(_described(k), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint"))
     real = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     shape = ["n_shingles", "s1", "s2"]
     first = real.groupBy(*shape).agg(F.min("doc_id").alias("node"))
-    owners = cut_lineage(real.distinct().join(first, shape).select("doc_id", "n_shingles", "node"))
-
-    most = sets.agg(F.max("n_shingles")).first()[0] or 1
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = d.where("doc_id IS NOT NULL").mapInArrow(_entries(k, num, den, most, shards), "shard int, done boolean, low binary, high binary, ids binary")
-    lists = entries.repartition("shard").mapInArrow(_linked, "a bigint, b bigint").distinct()
-    to = owners.select("doc_id", "node").distinct()
-    pairs = (lists.join(to.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a")
-             .join(to.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b").where("x <> y").select("x", "y"))
+    owners = cut_lineage(real.distinct().join(first, shape).select("doc_id", "n_shingles", "s1", "node"))
+
+    most, total, n_docs = sets.agg(F.coalesce(F.max("n_shingles"), F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
+    levels = Levels(num, den, most)
+    shards = max(1, -(-int(total * 3 * levels.blocks[-1] / levels.lower[-1]) * 8 // SHARD))  # about three times a level's blocks for two levels
+    d = d.where("doc_id IS NOT NULL")
+    entries = d.mapInArrow(_entries(k, num, den, most, shards, common_shingles(d, k, n_docs)), "shard int, done boolean, low binary, high binary, ids binary")
+    lists = entries.repartition(shards, "shard").mapInArrow(_linked, "a bigint, b bigint").distinct()
+    to = owners.groupBy("s1").agg(F.min("node").alias("node"))
+    pairs = (lists.join(to.select(F.col("s1").alias("a"), F.col("node").alias("x")), "a")
+             .join(to.select(F.col("s1").alias("b"), F.col("node").alias("y")), "b").where("x <> y").select("x", "y"))
     clusters = connected_components(pairs, "x", "y").withColumnRenamed("component", "cluster")
 
     sized = clusters.join(owners.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
@@ -303,11 +345,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
         left = large.join(joined, ["cluster", "node"], "left_anti").select("cluster", "node", "n", "chunks")
         share = left.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).alias("parts"))
         left = left.join(share, "cluster").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
-        meet = left.select("cluster", "node", (F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)) * F.col("parts") + F.col("part")).alias("chunk"))
+        zero = F.lit(0).cast("bigint")
+        meet = left.select("cluster", "node", F.explode(F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: c * F.col("parts") + F.col("part"))).alias("chunk"))
         wait = large.join(share, "cluster")
-        wait = wait.select("cluster", "node", (F.col("chunk") * F.col("parts") + F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("chunk"))
+        wait = wait.select("cluster", "node", F.explode(F.transform(F.sequence(zero, F.col("parts") - 1), lambda p: F.col("chunk") * F.col("parts") + p)).alias("chunk"))
         links = links.union(_verified(meet.union(wait).distinct(), texts, k, num, den))
-    found = connected_components(links, "node", "top")
+    several = owners.groupBy("doc_id").agg(F.min("node").alias("top"), F.max("node").alias("last")).where("top <> last").select("doc_id", "top")
+    same = owners.join(several, "doc_id").select(F.lit(None).cast("bigint").alias("cluster"), "node", "top")  # the texts of one document
+    found = connected_components(links.union(same), "node", "top")
 
     named = owners.join(found, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "node")).alias("component_id"))
     return sets.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

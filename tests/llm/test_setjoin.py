@@ -104,6 +104,10 @@ def test_linked_sets_share_a_list(num, den):
             off = np.array([0, len(a), len(a) + len(b)])
             keys, owner = J.block_keys(np.concatenate([a, b]), off, J.Levels(num, den, int(max(len(a), len(b)))))
             assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size, (n, m, common)
+            for share in (0.2, 0.7, 1.0):  # whatever is taken for common
+                often = np.sort(np.concatenate([rng.choice(a, int(share * len(a)), replace=False), rng.choice(b, int(share * len(b)), replace=False)]))
+                keys, owner = J.block_keys(np.concatenate([a, b]), off, J.Levels(num, den, int(max(len(a), len(b)))), often)
+                assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size, (n, m, common, share)
 
 
 def test_components_of_links(spark):
