@@ -190,7 +190,7 @@ def _entries(k: int, num: int, den: int, most: int, shards: int, common: np.ndar
     def run(batches):
         levels = Levels(num, den, most)
         for batch in batches:
-            for part in C.slices(batch, "text", 4_000_000):
+            for part in C.slices(batch, "text"):
                 flat, off = shingle_sets(*C.text_bytes(part.column("text")), k)
                 keys, owner = block_keys(flat, off, levels, common)
                 first, ids, links = _listed(keys, _sums(flat, off).view(np.int64)[owner])
@@ -287,7 +287,8 @@ def _answers(k: int, num: int, den: int):
     def run(batches):
         for t in C.whole_groups(batches, ["cluster", "chunk"]):
             c, h, ids = (t.column(x).to_numpy() for x in ("cluster", "chunk", "node"))
-            flat, off = shingle_sets(*C.text_bytes(t.column("text")), k)
+            parts = [shingle_sets(*C.text_bytes(part.column("text")), k) for batch in t.to_batches() for part in C.slices(batch, "text")]
+            flat, off = np.concatenate([f for f, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
             cuts = np.concatenate([[0], np.flatnonzero((c[1:] != c[:-1]) | (h[1:] != h[:-1])) + 1, [len(c)]])
             top = np.empty(len(c), np.int64)
             for a, b in zip(cuts, cuts[1:]):
