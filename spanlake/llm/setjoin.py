@@ -29,9 +29,10 @@ from .graph import connected_components
 #: Shingles that one group of candidate sets may hold; larger clusters are dealt out in chunks.
 CHUNK = 2_000_000
 #: Bytes of index entries in a shard. A document's links come once from each shard, so shards are large.
-SHARD = 24_000_000
-#: Expected documents of the sample for common shingles, how many of them must hold one, and how many shingles are kept.
-COMMON_DOCS, COMMON_LEAST, COMMON_MOST = 8_000, 3, 200_000
+SHARD = 12_000_000
+#: Expected documents of the sample for common shingles, the parts it is counted in, how many of a part's documents
+#: must hold a shingle and how many in all, and how many shingles are kept.
+COMMON_DOCS, COMMON_PARTS, COMMON_TWICE, COMMON_LEAST, COMMON_MOST = 32_000, 8, 2, 3, 400_000
 
 
 # --- sets ------------------------------------------------------------------
@@ -151,10 +152,10 @@ def _listed(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """The first position of each key, the smallest id listed under it, and distinct links (id, smallest id) of its other ids."""
     if not len(keys):
         return np.zeros(0, np.int64), ids[:0], np.zeros((0, 2), np.int64)
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], ids[order]
-    head = np.ones(len(k), bool)
-    head[1:] = k[1:] != k[:-1]
+    order = np.argsort(keys)
+    head = np.ones(len(keys), bool)
+    head[1:] = np.diff(keys[order]) != 0
+    d = ids[order]
     at = np.flatnonzero(head)
     least = np.minimum.reduceat(d, at)
     pivot = np.repeat(least, np.diff(np.append(at, len(d))))
@@ -170,17 +171,21 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _frequent(k: int):
     def run(batches):
-        for batch in batches:
-            for part in C.slices(batch, "text"):
-                found, n = np.unique(shingle_sets(*C.text_bytes(part.column("text")), k)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(found), pa.array(n)], ["shingle", "n"])
+        sets = [shingle_sets(*C.text_bytes(part.column("text")), k)[0] for batch in batches for part in C.slices(batch, "text")]
+        if sets:
+            found, n = np.unique(np.concatenate(sets), return_counts=True)
+            again = n >= COMMON_TWICE
+            yield pa.RecordBatch.from_arrays([_signed(found[again]), pa.array(n[again])], ["shingle", "n"])
     return run
 
 
 def common_shingles(docs: DataFrame, k: int, n_docs: int) -> np.ndarray:
-    """The most frequent shingles of a bounded sample of ``docs`` (doc_id, text), at most COMMON_MOST, sorted."""
+    """The most frequent shingles of a bounded sample of ``docs`` (doc_id, text), at most COMMON_MOST, sorted.
+
+    Of each part of the sample only shingles that it holds more than once are counted on.
+    """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n_docs // COMMON_DOCS))) == 0
-    rows = (docs.where(part).mapInArrow(_frequent(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = (docs.where(part).repartition(COMMON_PARTS).mapInArrow(_frequent(k), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "shingle").limit(COMMON_MOST).select("shingle").toArrow())
     return np.sort(rows.column(0).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
@@ -203,33 +208,33 @@ def _entries(k: int, num: int, den: int, most: int, shards: int, common: np.ndar
                 for s in range(shards):
                     mine = order[cut[s]:cut[s + 1]]
                     if len(mine):
-                        own = keys[mine]
-                        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(), ids[mine].tobytes()))
+                        own, named = keys[mine], np.unique(ids[mine], return_inverse=True)
+                        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
+                                     named[0].tobytes(), named[1].astype(np.uint16 if len(named[0]) < 1 << 16 else np.uint32).tobytes()))
                 if len(links):
-                    rows.append((int(links[0, 0]) % shards, True, links[:, 0].tobytes(), b"", links[:, 1].tobytes()))
+                    rows.append((int(links[0, 0]) % shards, True, links[:, 0].tobytes(), b"", links[:, 1].tobytes(), b""))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "done", "low", "high", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], ["shard", "done", "low", "high", "ids", "place"])
     return run
 
 
 def _linked(batches):
     """Lists of the shards of one partition, as links to the smallest set."""
-    low, high, ids, a, b = [], [], [], [], []
-    shard = []
+    keys, ids, a, b = [], [], [], []
     for batch in batches:
-        for s, done, x, y, z in zip(*(c.to_pylist() for c in batch.columns)):
+        for s, done, x, y, z, at in zip(*(c.to_pylist() for c in batch.columns)):
             if done:
                 a.append(np.frombuffer(x, np.int64))
                 b.append(np.frombuffer(z, np.int64))
             else:
-                low.append(np.frombuffer(x, np.uint32))
-                high.append(np.frombuffer(y, np.uint16))
-                ids.append(np.frombuffer(z, np.int64))
-                shard.append(np.full(len(ids[-1]), s))
-    if low:
-        keys = np.concatenate(low).astype(np.uint64) | (np.concatenate(high).astype(np.uint64) << np.uint64(32))
-        keys = C.mix(keys + C.mix(np.concatenate(shard).astype(np.uint64)))
-        links = _listed(keys, np.concatenate(ids))[2]
+                own = np.frombuffer(y, np.uint16).astype(np.uint64) << np.uint64(32)
+                own |= np.frombuffer(x, np.uint32)
+                own |= np.uint64((s & 0xFFFF) << 48)  # a partition may hold several shards
+                keys.append(own)
+                sets = np.frombuffer(z, np.int64)
+                ids.append(sets[np.frombuffer(at, np.uint16 if len(sets) < 1 << 16 else np.uint32)])
+    if keys:
+        links = _listed(np.concatenate(keys), np.concatenate(ids))[2]
         a.append(links[:, 0])
         b.append(links[:, 1])
     if a:
@@ -324,7 +329,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     levels = Levels(num, den, most)
     shards = max(1, -(-int(total * 3 * levels.blocks[-1] / levels.lower[-1]) * 8 // SHARD))  # about three times a level's blocks for two levels
     d = d.where("doc_id IS NOT NULL")
-    entries = d.mapInArrow(_entries(k, num, den, most, shards, common_shingles(d, k, n_docs)), "shard int, done boolean, low binary, high binary, ids binary")
+    entries = d.mapInArrow(_entries(k, num, den, most, shards, common_shingles(d, k, n_docs)), "shard int, done boolean, low binary, high binary, ids binary, place binary")
     lists = entries.repartition(shards, "shard").mapInArrow(_linked, "a bigint, b bigint").distinct()
     to = owners.groupBy("s1").agg(F.min("node").alias("node"))
     pairs = (lists.join(to.select(F.col("s1").alias("a"), F.col("node").alias("x")), "a")
