@@ -2,7 +2,7 @@
 
 For each language a suffix automaton of labelled text accepts exactly the substrings of that text. A new text
 is parsed greedily into the longest phrases the automaton accepts; a language that matches needs few phrases.
-With n learned symbols a phrase costs log2(n) bits (a pointer into the text), so a language's rate is
+Symbols are the UTF-8 bytes of lower-cased letters, so that no alphabet is too large. With n learned symbols a phrase costs log2(n) bits (a pointer into the text), so a language's rate is
 phrases * log2(n) / symbols, and the lowest rate wins (ties: the first name).
 """
 from __future__ import annotations
@@ -79,12 +79,13 @@ class Parser:
 
     def __init__(self, sample: list[tuple[str, list[str]]]):
         self.langs = [lang for lang, _ in sample]
-        letters = sorted({ch for _, texts in sample for t in texts for ch in t.lower() if ch.isalpha()})
-        self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[[i for i in range(0x110000) if chr(i).isalpha()]] = STRANGE
-        for i, ch in enumerate(letters[:240]):  # rarer letters of huge alphabets share the code of strange ones
-            self.codes[ord(ch)] = FIRST + i
-        self.width = FIRST + min(len(letters), 240) + 1
+        self.letter = np.zeros(0x110000, bool)
+        self.letter[[i for i in range(0x110000) if chr(i).isalpha()]] = True
+        self.codes = np.full(256, STRANGE, np.uint8)
+        self.codes[ord(" ")] = SPACE
+        known = sorted({b for _, texts in sample for t in texts for ch in set(t.lower()) if ch.isalpha() for b in ch.encode()})
+        self.codes[known] = FIRST + np.arange(len(known))
+        self.width = FIRST + len(known) + 1
         self.pad = self.width - 1
         self.tables, self.bits = [], []
         for _, texts in sample:
@@ -98,13 +99,17 @@ class Parser:
         """Symbols with runs of non-letters as one space, offsets of each text's, and whether it has letters."""
         low = [t.lower() for t in texts]
         off = np.concatenate([[0], np.cumsum([len(t) for t in low])]).astype(np.int64)
-        sym = self.codes[np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)]
-        keep = np.ones(len(sym), bool)
-        keep[1:] = (sym[1:] != SPACE) | (sym[:-1] != SPACE)
+        points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+        solid = self.letter[points]
+        keep = solid.copy()
+        keep[1:] |= solid[:-1]
         keep[off[:-1][np.diff(off) > 0]] = True
-        before = np.concatenate([[0], np.cumsum(keep)])
-        solid = np.concatenate([[0], np.cumsum(sym != SPACE)])
-        return sym[keep], before[off], solid[off[1:]] > solid[off[:-1]]
+        places = np.concatenate([[0], np.cumsum(solid)])
+        lettered = places[off[1:]] > places[off[:-1]]
+        points = np.where(solid, points, ord(" "))[keep]
+        size = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        end = np.concatenate([[0], np.cumsum(size)])
+        return self.codes[np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)], end[np.concatenate([[0], np.cumsum(keep)])[off]], lettered
 
     def _table(self, moves: list[dict[int, int]]) -> np.ndarray:
         """Row starts of the next state times two, plus one where a phrase begins; the last state is outside any phrase."""

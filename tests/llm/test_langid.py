@@ -73,3 +73,17 @@ def test_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = catalogue.op10_language_id(spark, d).join(common.table(spark, d, "documents"), "doc_id").where("held_out").select("lang", "lang_pred").collect()
     assert np.mean([a == b for a, b in got]) > 0.98
+
+
+def test_many_scripts(spark):
+    """Languages with far more letters together than a table has columns: each is known, none is dropped."""
+    def texts(first, count, seed):
+        r = random.Random(seed)
+        words = ["".join(chr(first + r.randrange(count)) for _ in range(r.randrange(1, 5))) for _ in range(60)]
+        return [" ".join(r.choice(words) for _ in range(80)) for _ in range(12)]
+    found = {"zh": texts(0x4E00, 3000, 1), "ko": texts(0xAC00, 3000, 2), "ii": texts(0xA000, 1100, 5), "en": texts(ord("a"), 26, 3), "ru": texts(0x430, 32, 4)}
+    docs = spark.createDataFrame([(i * 5 + j, t, lang) for j, (lang, ts) in enumerate(found.items()) for i, t in enumerate(ts)], "doc_id bigint, text string, lang string")
+    sample = L.labelled_sample(docs.where("doc_id < 40"))
+    rows = L.identify(docs, sample).collect()
+    assert all(r.lang == r.lang_pred for r in rows) and max(r.rate for r in rows) < 12
+    assert L.keep_known(docs, sample).count() == docs.count()
