@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score by their surroundings (neare
 link, whether inside the page's article element), tags cost; weights are log-odds of lying inside the article of
 pages that mark one up (article or main elements: the labelled pages). One scan finds the contiguous region with
 the highest sum. Of its words those are dropped that stand in elements which are never article text (menus,
-forms, adverts, notices, comments and so on).
+forms, adverts, notices, comments and so on). Names (class, id) never mark html, body or main, nor an element that
+is or holds the page's first article; parts of names (has-sidebar) mark no article either and, on pages without
+one, no element that holds the larger part of the words.
 """
 from __future__ import annotations
 
@@ -35,25 +37,54 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 MOST, TAG_COST, TAG_LEAST, PLAIN, LINKED = 4.0, -0.3, -0.05, 1.0, -1.5
 
 
-def _furniture(name: str, attrs: str, in_article: bool) -> bool:
+#: How surely an element is furniture: by a part of a class or id, by a whole one, by its kind or role.
+PART, WHOLE, KIND = 1, 2, 3
+
+
+def _furniture(name: str, attrs: str, in_article: bool) -> int:
     if name in FURNITURE or name == "header" and not in_article:
-        return True
+        return KIND
+    sure = 0
     for key, a, b, c in _ATTR.findall(attrs):
         value = (a or b or c).lower()
         key = key.lower()
         if key in ("class", "id"):
             parts = set(_PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-            if parts & NAMES or "header" in parts and not in_article and not parts & {"article", "entry", "post"}:
-                return True
+            names = NAMES | {"header"} if not in_article and not parts & {"article", "entry", "post"} else NAMES
+            if parts & names:
+                sure = max(sure, WHOLE if names.intersection(value.split()) else PART)
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return KIND
+    if name in ("html", "body", "main") or name == "article" and sure == PART:
+        return 0
+    return sure
+
+
+def _marked(elements: list[list], hard: list[bool], first: int) -> list[bool]:
+    """Whether each element (parent, sureness, words), parents first, is furniture or inside it; ``hard`` those by kind, ``first`` the first article or -1."""
+    words = [0 if h else n for h, (_, _, n) in zip(hard, elements)]
+    whole = sum(words)
+    for e in range(len(elements) - 1, -1, -1):
+        if elements[e][0] >= 0:
+            words[elements[e][0]] += words[e]
+    around = set()
+    while first >= 0:
+        around.add(first)
+        first = elements[first][0]
+    bad = []
+    for e, (parent, sure, _) in enumerate(elements):
+        named = sure in (PART, WHOLE) and e not in around and (sure == WHOLE or bool(around) or 2 * words[e] <= whole)
+        bad.append(sure == KIND or named or parent >= 0 and bad[parent])
+    return bad
 
 
 def tokens(page: str) -> list[tuple]:
     """(tag name, "", False, breaks) for a tag, (None, surroundings, furniture, text) for text between tags."""
     out: list[tuple] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether they are furniture
+    stack: list[tuple[str, int]] = []  # open elements, and their places among all
+    elements: list[list] = []  # parent, sureness of being furniture, words
+    hard: list[bool] = []  # whether an element is furniture by its kind, or inside such
+    first = -1
     open_articles = links = 0
 
     def pop():
@@ -81,8 +112,12 @@ def tokens(page: str) -> list[tuple]:
                                 pop()
                         break
             if name not in VOID and not m[4].endswith("/"):
-                bad = stack[-1][1] if stack else False
-                stack.append((name, bad or _furniture(name, m[4], open_articles > 0)))
+                parent = stack[-1][1] if stack else -1
+                elements.append([parent, _furniture(name, m[4], open_articles > 0), 0])
+                hard.append(elements[-1][1] == KIND or parent >= 0 and hard[parent])
+                stack.append((name, len(elements) - 1))
+                if first < 0 and name in ("article", "main") and not hard[-1]:
+                    first = len(elements) - 1
                 open_articles += name in ("article", "main")
                 links += name == "a"
             continue
@@ -92,8 +127,12 @@ def tokens(page: str) -> list[tuple]:
                 out.append((m[1].lower(), "", False, True))
             continue
         block = next((n for n, _ in reversed(stack) if n not in INLINE), "")
-        out.append((None, f"{block}{'+a' if links else ''}{'+in' if open_articles else ''}", stack[-1][1] if stack else False, text))
-    return out
+        at = stack[-1][1] if stack else -1
+        if at >= 0:
+            elements[at][2] += len(text.split())
+        out.append((None, f"{block}{'+a' if links else ''}{'+in' if open_articles else ''}", at, text))
+    bad = _marked(elements, hard, first)
+    return [(n, w, at >= 0 and bad[at], t) if n is None else (n, w, at, t) for n, w, at, t in out]
 
 
 def _classes(page: str):

@@ -49,3 +49,14 @@ def test_scan_is_the_best_region():
         best = max((sum(score[a:b]) for a, b in itertools.combinations(range(len(items) + 1), 2)), default=0)
         text = H.main_text("".join(parts), {})
         assert bool(text) == (best > 0)
+
+
+def test_names_around_the_article():
+    """Class names of themes on the page, the article or its wrappers say nothing about the text; those of furniture still do."""
+    plain = f"<h1>Title here</h1>{BODY}"
+    comments = "<div id='comments'><article class='comment'><p>" + "What a nice story this is. " * 30 + "</p></article></div>"
+    for name in ("has-sidebar", "right-sidebar", "no-sidebar", "comments-open", "has-header-image", "content-with-sidebar"):
+        for main in (f"<div class='{name}'><article>{plain}</article>{comments}</div>", f"<article class='post {name}'>{plain}</article>{comments}", f"<main class='{name}'>{plain}</main>",
+                     f"<div class='{name}'><div>{plain}</div><div class='sidebar'><p>Other things</p></div></div>"):
+            assert H.main_text(page(main), {}) == "Title here " + TEXT, main
+        assert H.main_text(page(f"<div>{plain}</div>").replace("<body>", f"<body class='{name}'>"), {}) == "Title here " + TEXT, name
