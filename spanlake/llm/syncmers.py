@@ -60,7 +60,7 @@ def _smallest(places: np.ndarray, hashes: np.ndarray, anchors: int) -> list[int]
 
 
 def fingerprints(texts: list[str], anchors: int = ANCHORS, k: int = K, s: int = S) -> list[list[int]]:
-    """A list of hashes for each text; an empty text has none, one shorter than a k-mer is one anchor itself."""
+    """A list of hashes for each text; an empty text has none, one without a closed syncmer is one anchor itself."""
     out: list[list[int]] = [[] for _ in texts]
     begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     start = 0
@@ -75,7 +75,7 @@ def fingerprints(texts: list[str], anchors: int = ANCHORS, k: int = K, s: int =
             a, b = low[i - start], high[i - start]
             if b > a:
                 out[i] = _smallest(at[a:b], h[a:b], anchors)
-            elif texts[i] and len(texts[i]) < k:
+            elif texts[i]:
                 out[i] = [int.from_bytes(hashlib.sha256(texts[i].encode()).digest()[:4], "big")]
         start = end
     return out

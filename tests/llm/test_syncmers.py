@@ -74,3 +74,13 @@ def test_rows(spark):
     assert S.fingerprint_edits(df.limit(0)).collect() == []
     one = S.fingerprint_edits(spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
+
+
+def test_text_without_a_syncmer():
+    """Long enough for a k-mer, but no k-mer of it is closed: told apart from the empty text and from each other."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(r.randrange(16, 20))) for _ in range(200)]
+    bare = [t for t in texts if not len(S._anchors(np.frombuffer(t.encode("utf-32-le"), np.uint32))[0])]
+    prints = S.fingerprints(bare)
+    assert len(bare) > 20 and all(len(f) == 1 for f in prints) and len({f[0] for f in prints}) == len(set(bare))
+    assert S.likeness(prints[0], prints[1]) == 0 and S.likeness(prints[0], []) == 0
