@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, htmltext, langid, licences, mixing, ngram_lm, setjoin, syncmers, toxicity, unitdedup
+from . import decontam, htmltext, langid, licences, mixing, ngram_lm, runs, setjoin, syncmers, toxicity, unitdedup
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,5 +85,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", C.crc_split("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id)}
+def runs_query(docs: DataFrame) -> DataFrame:
+    found = runs.periodic_runs(docs, altered=True)
+    first = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"])).when(x["start"] != y["start"], F.signum(x["start"] - y["start"])).otherwise(F.signum(x["period"] - y["period"])).cast("int"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = found.withColumn("best", F.try_element_at(first, F.lit(1)))
+    return best.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+                       F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_query(C.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id, op11_periodic_runs)}
 SQL = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_licence_scan": OP6_SQL, "op9_unit_dedup": OP9_SQL}
