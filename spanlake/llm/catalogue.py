@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, htmltext, langid, licences, mixing, ngram_lm, runs, setjoin, syncmers, toxicity, unitdedup
+from . import decontam, htmltext, langid, licences, mixing, negatives, ngram_lm, runs, setjoin, syncmers, toxicity, unitdedup
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,5 +98,24 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_query(C.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id, op11_periodic_runs)}
-SQL = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_licence_scan": OP6_SQL, "op9_unit_dedup": OP9_SQL}
+def shifted(rows: DataFrame) -> DataFrame:
+    """Labels of every seventh vector moved on by one."""
+    return rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(shifted(C.table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = f"""WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+   FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+ p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {negatives.POSITIVES}),
+ n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+   row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+   FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND {negatives.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id, op11_periodic_runs, op12_hard_negatives)}
+SQL = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_licence_scan": OP6_SQL, "op9_unit_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}
