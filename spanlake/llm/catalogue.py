@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontam, htmltext, langid, licences, mixing, negatives, ngram_lm, runs, setjoin, syncmers, toxicity, unitdedup
+from . import decontam, htmltext, langid, licences, mixing, negatives, ngram_lm, postings, runs, setjoin, syncmers, toxicity, unitdedup
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,5 +117,9 @@ OP12_SQL = f"""WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 T
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {negatives.NEGATIVES}"""
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id, op11_periodic_runs, op12_hard_negatives)}
+def op13_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest_vectors(C.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_ngram_jaccard_join, op4_closed_syncmers, op5_deleted_interpolation, op6_licence_scan, op7_decontaminate, op8_main_text, op9_unit_dedup, op10_language_id, op11_periodic_runs, op12_hard_negatives, op13_posting_lists)}
 SQL = {"op2_mix_sources": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op6_licence_scan": OP6_SQL, "op9_unit_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}

@@ -147,24 +147,30 @@ def search(anchors: list[_Anchor], rows: list[Bucket], alike: bool) -> np.ndarra
     return count
 
 
-def _meet(rows: DataFrame, anchors: DataFrame, keys: list[str], width: int, alike: bool, k: int, with_limits: bool, chunk: int, group: int) -> DataFrame:
-    """Best rows for each anchor and limit in every chunk: anchor_id, place of the limit, id, score.
+def deal(anchors: DataFrame, rows: DataFrame, keys: list[str], anchor_id: str, row_id: str, group: int, chunk: int | None):
+    """Both sides grouped so that every anchor meets every row of its ``keys`` once, in groups of bounded size.
 
-    Chunks are dealt within ``keys``: so many for each key as its rows fill, and so many groups of anchors as those fill.
+    A key gets as many chunks as its rows fill (one, if ``chunk`` is None) and as many groups as its anchors fill.
     """
-    of = [F.col(c) for c in keys] or [F.lit(0).alias("__all")]
     names = keys or ["__all"]
-    rows = rows.select(*(["*"] if keys else ["*", *of]))
-    anchors = anchors.select(*(["*"] if keys else ["*", *of]))
-    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("int")
+    if not keys:
+        anchors, rows = anchors.withColumn("__all", F.lit(0)), rows.withColumn("__all", F.lit(0))
+    parts = lambda n, most: F.greatest(F.lit(1), F.ceil(F.col(n) / most)).cast("int") if most else F.lit(1)
     sizes = rows.groupBy(*names).agg(F.count("*").alias("__n")).join(anchors.groupBy(*names).agg(F.count("*").alias("__m")), names)
     sizes = C.cut(sizes.select(*names, parts("__n", chunk).alias("__chunks"), parts("__m", group).alias("__groups")))
     sizes = F.broadcast(sizes) if sizes.count() <= KEYS else sizes
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
-    left = anchors.join(sizes, names).withColumn("__group", dealt("__groups")).withColumn("__chunk", every("__chunks")).drop("__chunks", "__groups")
-    right = rows.join(sizes, names).withColumn("__chunk", dealt("__chunks")).withColumn("__group", every("__groups")).drop("__chunks", "__groups")
+    dealt = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    left = anchors.join(sizes, names).withColumn("__group", dealt(anchor_id, "__groups")).withColumn("__chunk", every("__chunks")).drop("__chunks", "__groups")
+    right = rows.join(sizes, names).withColumn("__chunk", dealt(row_id, "__chunks")).withColumn("__group", every("__groups")).drop("__chunks", "__groups")
     by = [*names, "__chunk", "__group"]
+    # new names of columns, as both may stem from the same rows
+    return left.toDF(*left.columns).groupBy(*by), right.toDF(*right.columns).groupBy(*by)
+
+
+def _meet(rows: DataFrame, anchors: DataFrame, keys: list[str], width: int, alike: bool, k: int, with_limits: bool, chunk: int, group: int) -> DataFrame:
+    """Best rows for each anchor and limit in every chunk: anchor_id, place of the limit, id, score."""
+    left, right = deal(anchors, rows, keys, "vec_id", "vec_id", group, chunk)
     schema = pa.schema([("anchor_id", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("score", pa.float64())])
 
     def pair(a: pa.Table, r: pa.Table) -> pa.Table:
@@ -176,8 +182,7 @@ def _meet(rows: DataFrame, anchors: DataFrame, keys: list[str], width: int, alik
         out = [(x.id, n, i, s) for x in some for n, (ids, scores) in enumerate(x.found) for i, s in zip(ids.tolist(), scores.tolist())]
         return pa.table([pa.array([o[c] for o in out], f.type) for c, f in enumerate(schema)], schema=schema)
 
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both stem from the same rows
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(pair, "anchor_id bigint, place int, id bigint, score double")
+    return left.cogroup(right).applyInArrow(pair, "anchor_id bigint, place int, id bigint, score double")
 
 
 def _ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -204,7 +209,7 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = POSITIVE
     width = max(1, size.w or 0)
     if width * (size.x or 0.0) ** 2 >= EXACT:
         raise ValueError("components are too large for exact scores")
-    anchors = good.where("__anchor").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("a")).select("vec_id", "a.*")
+    anchors = C.cut(good.where("__anchor").groupBy("vec_id").agg(F.min(F.struct("label", "v")).alias("a")).select("vec_id", "a.*"))
     good = good.drop("__anchor")
 
     found = _meet(good, anchors, ["label"], width, True, positives, False, chunk, group)
