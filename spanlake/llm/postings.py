@@ -40,6 +40,8 @@ GROUP_ROWS, GROUP_QUERIES = 16_384, 2_048
 #: Distances held at once by a search, and centroids expanded in a step.
 CELLS, EXPAND = 1_000_000, 20_000
 SEED = 7
+#: Scores this near (relative to the greatest) are compared by exact sums.
+SLACK = 1e-12
 
 
 # --- centroids -------------------------------------------------------------
@@ -173,14 +175,39 @@ def lifted_queries(x: np.ndarray, greatest: float) -> np.ndarray:
 
 
 def top(scores: np.ndarray, rows: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the ``k`` best by score and id; the products' last bits, which depend on the layout, are taken anew."""
-    at = np.arange(len(scores))
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= edge - 1e-12 * max(1.0, np.abs(scores).max()))
+    """Places and scores of the ``k`` best by score and id, each id once; the products' last bits, which depend on the layout, are taken anew."""
+    at = np.flatnonzero(scores > -np.inf)
+    if len(at) > k:
+        edge = np.partition(scores[at], len(at) - k)[len(at) - k]
+        at = at[scores[at] >= edge - SLACK * max(1.0, np.abs(scores[at]).max())]
     exact = (rows[at] * query).sum(axis=1)
-    order = np.lexsort((ids[at], -exact))[:k]
-    return at[order], exact[order]
+    order = np.lexsort((ids[at], -exact))
+    at, exact = at[order], exact[order]
+    _, once = np.unique(ids[at], return_index=True)
+    once = np.sort(once)[:k]
+    return at[once], exact[once]
+
+
+def top_of_each(scores: np.ndarray, rows: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int, copies: int):
+    """(query, place, score) of the ``k`` best for each row of ``scores``; an id has up to ``copies`` places, -inf stands for unread."""
+    n, most = scores.shape[1], k * copies + 8
+    if most >= n:
+        found = [top(s, rows, q, ids, k) for s, q in zip(scores, queries)]
+    else:
+        at = np.argpartition(scores, n - most, axis=1)[:, n - most:]
+        some = np.take_along_axis(scores, at, 1)
+        low, high = some.min(axis=1), np.sort(some, axis=1)[:, -k * copies]
+        finite = np.where(np.isfinite(some), np.abs(some), 0).max(axis=1)
+        crowded = (low >= high - SLACK * np.maximum(1.0, finite)) & (low > -np.inf)  # more may tie at the edge
+        exact = np.where(some > -np.inf, (rows[at] * queries[:, None, :]).sum(axis=2), -np.inf)
+        order = np.lexsort((ids[at], -exact), axis=1)
+        at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+        fits = exact > -np.inf
+        fits[:, 1:] &= ids[at[:, 1:]] != ids[at[:, :-1]]
+        fits &= np.cumsum(fits, axis=1) <= k
+        found = [top(scores[i], rows, queries[i], ids, k) if crowded[i] else (at[i][fits[i]], exact[i][fits[i]]) for i in range(len(at))]
+    lengths = [len(f[0]) for f in found]
+    return np.repeat(np.arange(len(found)), lengths), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
@@ -328,15 +355,27 @@ def nearest_vectors(rows: DataFrame, is_query: Column, k: int = NEAREST, list_ro
             return schema.empty_table()
         stored = stored.sort_by("list")
         on, reps, x = stored.column("list").to_numpy(), stored.column("rep").to_numpy(), matrix(stored.column("v"), width)
+        _, times = np.unique(reps, return_counts=True)
+        names, begin = np.unique(on, return_index=True)
+        end = np.append(begin[1:], len(on))
+        askers, q = asking.column("asker").to_numpy(), matrix(asking.column("v"), width)
+        reads = asking.column("reads").combine_chunks()
+        reader = np.repeat(np.arange(len(q)), reads.value_lengths().to_numpy(zero_copy_only=False))
+        reading = np.searchsorted(names, reads.flatten().to_numpy())
         out = ([], [], [])
-        for q, v, reads in zip(asking.column("asker").to_pylist(), matrix(asking.column("v"), width), asking.column("reads").to_pylist()):
-            a, b = np.searchsorted(on, reads, "left"), np.searchsorted(on, reads, "right")
-            at = np.concatenate([np.arange(s, e) for s, e in zip(a, b)])
-            _, once = np.unique(reps[at], return_index=True)
-            at = at[once]
-            best, score = top(x[at] @ v, x[at], v, reps[at], k + 1)
-            out[0].append(np.full(len(best), q))
-            out[1].append(at[best])
+        step = max(1, CELLS // len(on))
+        for z in range(0, len(q), step):
+            scores = np.full((len(q[z:z + step]), len(on)), -np.inf)
+            own = (reader >= z) & (reader < z + step)
+            who, what = reader[own] - z, reading[own]
+            order = np.argsort(what, kind="stable")
+            who, what = who[order], what[order]
+            cuts = np.flatnonzero(np.diff(what)) + 1
+            for sel, name in zip(np.split(who, cuts), what[np.append(0, cuts)] if len(what) else ()):
+                scores[sel, begin[name]:end[name]] = q[z + sel] @ x[begin[name]:end[name]].T
+            who, at, score = top_of_each(scores, x, q[z:z + step], reps, k + 1, int(times.max()))
+            out[0].append(askers[z + who])
+            out[1].append(at)
             out[2].append(score)
         at = np.concatenate(out[1])
         ids = stored.column("ids").combine_chunks().take(pa.array(at))

@@ -111,3 +111,18 @@ def test_centroids_are_balanced_and_the_graph_finds_them():
 def test_groups_of_lists():
     first, parts = P._packed(np.array([3, 3, 5, 25, 1, 9, 0, 10]), 10)
     assert first.tolist() == [0, 0, 1, 2, 5, 5, 6, 6] and parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 1]
+
+
+def test_best_of_each_row():
+    r = np.random.default_rng(8)
+    for copies, n in ((1, 400), (3, 400), (2, 30)):
+        rows = np.repeat(r.integers(-2, 3, size=(n, 4)).astype(float), copies, axis=0)  # whole numbers: many ties
+        ids = np.repeat(r.permutation(n), copies)
+        q = r.integers(-2, 3, size=(20, 4)).astype(float)
+        scores = q @ rows.T
+        scores[r.random(scores.shape) < 0.3] = -np.inf
+        scores[0] = -np.inf
+        who, at, s = P.top_of_each(scores, rows, q, ids, 7, copies)
+        for i in range(20):
+            best = sorted({(-scores[i, j], ids[j]) for j in range(len(ids)) if scores[i, j] > -np.inf})[:7]
+            assert [(-a, b) for a, b in zip(s[who == i], ids[at[who == i]])] == best
