@@ -174,11 +174,11 @@ def lifted_queries(x: np.ndarray, greatest: float) -> np.ndarray:
     return np.concatenate([x * (greatest / np.linalg.norm(x, axis=1))[:, None], np.zeros((len(x), 1))], axis=1)
 
 
-def top(scores: np.ndarray, rows: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def top(scores: np.ndarray, rows: np.ndarray, query: np.ndarray, ids: np.ndarray, k: int, copies: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the ``k`` best by score and id, each id once; the products' last bits, which depend on the layout, are taken anew."""
     at = np.flatnonzero(scores > -np.inf)
-    if len(at) > k:
-        edge = np.partition(scores[at], len(at) - k)[len(at) - k]
+    if len(at) > k * copies:  # an id has up to ``copies`` places
+        edge = np.partition(scores[at], len(at) - k * copies)[len(at) - k * copies]
         at = at[scores[at] >= edge - SLACK * max(1.0, np.abs(scores[at]).max())]
     exact = (rows[at] * query).sum(axis=1)
     order = np.lexsort((ids[at], -exact))
@@ -192,7 +192,7 @@ def top_of_each(scores: np.ndarray, rows: np.ndarray, queries: np.ndarray, ids:
     """(query, place, score) of the ``k`` best for each row of ``scores``; an id has up to ``copies`` places, -inf stands for unread."""
     n, most = scores.shape[1], k * copies + 8
     if most >= n:
-        found = [top(s, rows, q, ids, k) for s, q in zip(scores, queries)]
+        found = [top(s, rows, q, ids, k, copies) for s, q in zip(scores, queries)]
     else:
         at = np.argpartition(scores, n - most, axis=1)[:, n - most:]
         some = np.take_along_axis(scores, at, 1)
@@ -205,7 +205,7 @@ def top_of_each(scores: np.ndarray, rows: np.ndarray, queries: np.ndarray, ids:
         fits = exact > -np.inf
         fits[:, 1:] &= ids[at[:, 1:]] != ids[at[:, :-1]]
         fits &= np.cumsum(fits, axis=1) <= k
-        found = [top(scores[i], rows, queries[i], ids, k) if crowded[i] else (at[i][fits[i]], exact[i][fits[i]]) for i in range(len(at))]
+        found = [top(scores[i], rows, queries[i], ids, k, copies) if crowded[i] else (at[i][fits[i]], exact[i][fits[i]]) for i in range(len(at))]
     lengths = [len(f[0]) for f in found]
     return np.repeat(np.arange(len(found)), lengths), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
