@@ -10,7 +10,8 @@ Blocks that hold nothing but common shingles (those of shared passages and set p
 sample) are skipped as well, as long as a set has too few of them to be all that a partner might agree on;
 a set made of common shingles lists all its blocks. Either way no link is lost, whatever the sample says.
 
-Members of a list get a link to its smallest id only. Sets joined this way form candidate clusters, in which
+A list links its members with its smallest id, and a task keeps of the links of all its lists a spanning forest. Sets
+joined this way form candidate clusters, in which
 answers are derived incrementally: one set's overlaps with all others are counted, its partners share its
 component without further counting, and for each partner only those sets are looked at that its distance to
 the first set leaves possible (triangle inequality). Copies of one set are one set.
@@ -28,8 +29,9 @@ from .graph import connected_components
 
 #: Shingles that one group of candidate sets may hold; larger clusters are dealt out in chunks.
 CHUNK = 2_000_000
-#: Bytes of index entries in a shard. A document's links come once from each shard, so shards are large.
-SHARD = 12_000_000
+#: Bytes of index entries in a shard. A task takes shard after shard; there are TASKS tasks a core of the cluster, whatever the number of shards,
+#: and each gives out a set's link once, as long as its forest has no more than FOREST links.
+SHARD, TASKS, FOREST = 12_000_000, 4, 4_000_000
 #: Expected documents of the sample for common shingles, the parts it is counted in, how many of a part's documents
 #: must hold a shingle and how many in all, and how many shingles are kept.
 COMMON_DOCS, COMMON_PARTS, COMMON_TWICE, COMMON_LEAST, COMMON_MOST = 32_000, 8, 2, 3, 400_000
@@ -218,29 +220,74 @@ def _entries(k: int, num: int, den: int, most: int, shards: int, common: np.ndar
     return run
 
 
-def _linked(batches):
-    """Lists of the shards of one partition, as links to the smallest set."""
-    keys, ids, a, b = [], [], [], []
-    for batch in batches:
-        for s, done, x, y, z, at in zip(*(c.to_pylist() for c in batch.columns)):
-            if done:
-                a.append(np.frombuffer(x, np.int64))
-                b.append(np.frombuffer(z, np.int64))
-            else:
-                own = np.frombuffer(y, np.uint16).astype(np.uint64) << np.uint64(32)
-                own |= np.frombuffer(x, np.uint32)
-                own |= np.uint64((s & 0xFFFF) << 48)  # a partition may hold several shards
-                keys.append(own)
-                sets = np.frombuffer(z, np.int64)
-                ids.append(sets[np.frombuffer(at, np.uint16 if len(sets) < 1 << 16 else np.uint32)])
-    if keys:
-        links = _listed(np.concatenate(keys), np.concatenate(ids))[2]
-        a.append(links[:, 0])
-        b.append(links[:, 1])
-    if a:
-        both = _distinct(np.concatenate(a), np.concatenate(b))
-        for i in range(0, len(both), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(both[i:i + 50_000, 0]), pa.array(both[i:i + 50_000, 1])], ["a", "b"])
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of every set but the smallest of each component to that smallest one."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[:len(a)], at[len(a):]
+    root = np.arange(len(nodes))
+    while len(u):
+        x, y = root[u], root[v]
+        apart = x != y
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    below = root != np.arange(len(nodes))
+    return nodes[below], nodes[root[below]]
+
+
+class Links:
+    """Links gathered by a task, kept as a forest; one that outgrows ``most`` is given out and begun anew."""
+
+    def __init__(self, most: int):
+        self.most, self.a, self.b, self.fresh = most, [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray):
+        self.a.append(a)
+        self.b.append(b)
+        self.fresh += len(a)
+        if self.fresh > self.most:
+            yield from self.flush(self.most // 2)
+
+    def flush(self, least: int = -1):
+        if self.a:
+            a, b = forest(np.concatenate(self.a), np.concatenate(self.b))
+            self.a, self.b, self.fresh = [a], [b], len(a)
+            if len(a) > least:
+                self.a, self.b, self.fresh = [], [], 0
+                for i in range(0, len(a), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i:i + 50_000]), pa.array(b[i:i + 50_000])], ["a", "b"])
+
+
+def _linked(most: int):
+    """Lists of a partition's shards, one shard after the other, as links of a forest over the sets of all its lists."""
+    def run(batches):
+        links = Links(most)
+        shard, keys, ids = None, [], []
+
+        def listed():
+            if keys:
+                found = _listed(np.concatenate(keys), np.concatenate(ids))[2]
+                keys.clear()
+                ids.clear()
+                yield from links.add(found[:, 0], found[:, 1])
+
+        for batch in batches:
+            for s, done, x, y, z, at in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != shard:
+                    yield from listed()
+                    shard = s
+                if done:
+                    yield from links.add(np.frombuffer(x, np.int64), np.frombuffer(z, np.int64))
+                else:
+                    own = np.frombuffer(y, np.uint16).astype(np.uint64) << np.uint64(32)
+                    own |= np.frombuffer(x, np.uint32)
+                    keys.append(own)
+                    sets = np.frombuffer(z, np.int64)
+                    ids.append(sets[np.frombuffer(at, np.uint16 if len(sets) < 1 << 16 else np.uint32)])
+        yield from listed()
+        yield from links.flush()
+    return run
 
 
 # --- answers ---------------------------------------------------------------
@@ -330,7 +377,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     shards = max(1, -(-int(total * 3 * levels.blocks[-1] / levels.lower[-1]) * 8 // SHARD))  # about three times a level's blocks for two levels
     d = d.where("doc_id IS NOT NULL")
     entries = d.mapInArrow(_entries(k, num, den, most, shards, common_shingles(d, k, n_docs)), "shard int, done boolean, low binary, high binary, ids binary, place binary")
-    lists = entries.repartition(shards, "shard").mapInArrow(_linked, "a bigint, b bigint").distinct()
+    tasks = min(shards, TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+    lists = entries.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_linked(FOREST), "a bigint, b bigint").distinct()
     to = owners.groupBy("s1").agg(F.min("node").alias("node"))
     pairs = (lists.join(to.select(F.col("s1").alias("a"), F.col("node").alias("x")), "a")
              .join(to.select(F.col("s1").alias("b"), F.col("node").alias("y")), "b").where("x <> y").select("x", "y"))

@@ -139,3 +139,46 @@ def test_word_hashes_follow_words():
 def test_other_columns_play_no_part(spark):
     df = spark.createDataFrame([(1, "a b c d", "s", 2, "t")], SCHEMA).withColumn("label", F.lit(1)).withColumn("top", F.lit(2))
     assert J.jaccard_components(df).collect()[0][2] == 1
+
+
+@pytest.mark.parametrize("most", [3, 40, 10**6])
+def test_forest_of_many_shards_loses_no_link(most):
+    """What a task gives out joins the same sets as all its lists; without a bound it is one forest, however many shards there are."""
+    r = np.random.default_rng(9)
+    entries = [(int(s), int(k), int(i)) for s in range(30) for k in range(12) for i in r.choice(400, r.integers(1, 5), replace=False)]
+    rows = []
+    for s in range(30):
+        for part in (0, 1):
+            mine = [(k, i) for n, (t, k, i) in enumerate(entries) if t == s and n % 2 == part]
+            names, place = np.unique(np.array([i for _, i in mine], np.int64), return_inverse=True)
+            rows.append((s, False, np.array([k for k, _ in mine], np.uint32).tobytes(), np.zeros(len(mine), np.uint16).tobytes(), names.tobytes(), place.astype(np.uint16).tobytes()))
+    rows.append((29, True, np.array([7, 8], np.int64).tobytes(), b"", np.array([3, 3], np.int64).tobytes(), b""))
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["shard", "done", "low", "high", "ids", "place"])
+    got = [(a, b) for out in J._linked(most)([batch]) for a, b in zip(*(c.to_pylist() for c in out.columns))]
+    want = [(7, 3), (8, 3)]
+    for key in {(s, k) for s, k, _ in entries}:
+        ids = [i for s, k, i in entries if (s, k) == key]
+        want += [(i, min(ids)) for i in ids]
+
+    def tops(links):
+        a, b = J.forest(*(np.array(x, np.int64) for x in zip(*links)))
+        return dict(zip(a.tolist(), b.tolist()))
+    assert tops(got) == tops(want)
+    if most == 10**6:
+        assert len(got) == len(tops(want)) < 400
+
+
+def test_forest():
+    r = np.random.default_rng(10)
+    for n in (0, 1, 50, 3000):
+        a, b = r.integers(0, 2000, n), r.integers(0, 2000, n)
+        top = {}
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = top.setdefault(x, {x}), top.setdefault(y, {y})
+            if p is not q:
+                p |= q
+                for z in q:
+                    top[z] = p
+        u, v = J.forest(a, b)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: min(s) for x, s in top.items() if x != min(s)}
