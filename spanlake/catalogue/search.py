@@ -2,10 +2,27 @@
 from pyspark.sql import functions as F
 
 from ..operators import identity as D
-from ..operators.lexical import bm25_search
+from ..operators.postings import posted_stats, search_postings, write_postings
 from ..plans import search as S
 from .aggregates import FRAME
 from .registry import query
+from .scans import fresh
+
+_STORED: dict[tuple, str] = {}
+
+
+def stored_index(v, name):
+    """The index of a table, written by the first query of a session that asks for it."""
+    key = (v.spark.sparkContext.applicationId, v.dir, name)
+    if key not in _STORED:
+        path = fresh(v, f"postings-{name}")
+        if name == "documents":
+            write_postings(v.table("documents").selectExpr("doc_id AS segment_idx", "source AS video_id", "text"), path)
+        else:
+            write_postings(S.indexed_units(v.text_units), path, keep=("segment_idx", *S.SHOWN))
+        _STORED[key] = path
+    return _STORED[key]
+
 
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _DENSE = f"""WITH g AS (SELECT query_id, video_id, segment_id, avg(score) FILTER (WHERE rk <= 3) AS raw, count(*) AS frame_count, max(timestamp_ms) FILTER (WHERE rk = 1) AS best_ms
@@ -29,7 +46,15 @@ _BM = f"""WITH d AS (SELECT doc_id, source AS video_id, {TOK} AS t FROM document
 
 @query("bm25_search", "query_id:l video_id:s segment_idx:l score:d rank:l", sql=_BM.replace("KLIM", "10") + " SELECT query_id, video_id, doc_id AS segment_idx, score, rk AS rank FROM lx")
 def _(v):
-    return bm25_search(v.table("benchmark").withColumnRenamed("item_id", "query_id"), v.table("documents").selectExpr("doc_id AS segment_idx", "source AS video_id", "text"), 10)
+    return search_postings(v.table("benchmark").withColumnRenamed("item_id", "query_id"), stored_index(v, "documents"), 10)
+
+
+@query("write_postings", "term:s df:l n_docs:l avgdl:d", sql=f"""WITH d AS (SELECT doc_id, {TOK} AS t FROM documents)
+  SELECT term, count(*) AS df, (SELECT count(*) FROM d) AS n_docs, (SELECT avg(len(t)) FROM d) AS avgdl FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM d) GROUP BY 1""")
+def _(v):
+    path = fresh(v, "postings")
+    write_postings(v.table("documents").selectExpr("doc_id AS segment_idx", "source AS video_id", "text"), path)
+    return posted_stats(v.spark, path)
 
 
 _DT = """SELECT query_id, video_id, segment_idx, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, segment_idx) AS rk FROM (
@@ -52,7 +77,7 @@ def _(v):
    JOIN text_units t ON t.segment_idx = r.unit_id AND t.start_ms < t.end_ms WHERE rk <= 100""")
 def _(v):
     q = v.text_queries.withColumns({"vec": F.when(F.expr("query_id % 5 <> 1"), F.col("vec")), "text": F.when(F.expr("query_id % 5 <> 2"), F.col("text"))})
-    return S.hybrid_search(q, v.text_units, 0.65)
+    return S.hybrid_search(q, v.text_units, 0.65, index=stored_index(v, "text_units"))
 
 
 @query("face_search", "query_id:l video_id:l unit_id:l score:d decision:s", views="tracks qv1", sql="""

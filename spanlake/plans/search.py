@@ -14,6 +14,7 @@ from ..operators.filters import (absolute_threshold, consistent_segments, global
 from ..operators.identity import resolve_entity_vector
 from ..operators.knn import knn_join
 from ..operators.lexical import bm25_search
+from ..operators.postings import search_postings
 from ..operators.moments import fuse_results, group_moments
 from ..operators.relations import hybrid_join, union_candidates
 from ..operators.skew import top_k
@@ -45,25 +46,34 @@ def dense_text_search(queries: DataFrame, units: DataFrame, k: int = 100, unit:
     return knn_join(queries, has_embedding_filter(units), k, query_keys=("query_id",), keep=(unit,), metric="ip")
 
 
-def _legs(queries, units, k, unit):
+SHOWN = ("start_ms", "end_ms", "__head")  # what a result shows travels with its leg: the units are not read again
+
+
+def indexed_units(units: DataFrame) -> DataFrame:
+    """Units with the columns that a stored index for :func:`hybrid_search` keeps: ``(unit, *SHOWN)``."""
+    return units.withColumn("__head", F.substring("text", 1, 100))
+
+
+def _legs(queries, units, k, unit, index):
     """Both legs; a query without text or without a vector takes part in one leg only."""
-    shown = ("start_ms", "end_ms", "__head")  # what a result shows travels with its leg: the units are not read again
-    units = units.withColumn("__head", F.substring("text", 1, 100))
+    shown, units = SHOWN, indexed_units(units)
     dense = knn_join(queries.where("vec IS NOT NULL"), has_embedding_filter(units), k, query_keys=("query_id",), keep=(unit, *shown), tie=(unit,), metric="ip")
-    lexical = bm25_search(queries.where(F.trim(F.coalesce("text", F.lit(""))) != ""), units, k, keep=(unit, *shown))
+    asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    lexical = search_postings(asked, index, k, keep=(unit, *shown)) if index else bm25_search(asked, units, k, keep=(unit, *shown))
     return dense, lexical
 
 
 def hybrid_search(queries: DataFrame, units: DataFrame, w_dense: float, k: int = 100, limit: int = 100, modality: str = "asr",
-                  unit: str = "segment_idx", normalize: str | None = None) -> DataFrame:
+                  unit: str = "segment_idx", normalize: str | None = None, index: str | None = None) -> DataFrame:
     """Dense and BM25 legs of ``k`` each, weighted sum, best ``limit`` per (query, video), then time checks.
 
     With one input missing the other leg's plain score stands. The weighted sum is of raw scores
     (``normalize="atan"`` maps each leg to 0..1 first). ``units``: video_id, unit, start_ms, end_ms, text, embedding.
+    ``index``: path of a stored index of the same units (see ``indexed_units``); the BM25 leg then reads no text.
     """
     if normalize not in (None, "atan"):
         raise ValueError("normalize must be None or 'atan'")
-    dense, lexical = _legs(queries, units, k, unit)
+    dense, lexical = _legs(queries, units, k, unit, index)
     if normalize:
         squash = F.atan("score") * (2 / 3.141592653589793)
         dense, lexical = dense.withColumn("score", squash), lexical.withColumn("score", squash)
