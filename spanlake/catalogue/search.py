@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from ..operators import identity as D
 from ..operators.postings import posted_stats, search_postings, write_postings
+from ..operators.skew import top_k
 from ..plans import search as S
+from ..plans.planning import face_support, plan_and_execute
 from .aggregates import FRAME
 from .registry import query
 from .scans import fresh
@@ -315,7 +317,6 @@ def _(v):
 def channel_tool(v, modality):
     """Candidates of one channel as a search tool."""
     def run(queries, step, nodes):
-        from ..operators.skew import top_k
         c = v.candidates.where(F.col("modality") == modality).join(queries.select("query_id"), "query_id", "left_semi")
         ev = F.array(F.struct(F.col("modality"), F.concat(F.lit("u"), F.col("unit_id").cast("string")).alias("detail"), F.col("start_time").alias("best_time")))
         return top_k(c, ["query_id"], [F.desc("score"), F.asc("unit_id")], step.top_k).select(
@@ -353,3 +354,40 @@ def _(v):
     tools = {f"{m}.search": channel_tool(v, m) for m in ("visual", "asr", "ocr", "face")} | {"vlm.rerank": rerank_tool}
     results, _trace = E.execute_plan(v.candidates.select("query_id").distinct(), demo_plan(), tools)
     return results
+
+
+@query("plan_and_execute", "query_id:l plan_id:s rank:l video_id:l start_time:d final_score:d", views="candidates", sql="""
+  WITH one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, unit_id) AS k FROM candidates WHERE modality = CASE query_id % 2 WHEN 0 THEN 'visual' ELSE 'asr' END) WHERE k = 1),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, unit_id) AS rk FROM one),
+  f AS (SELECT query_id, 'fast' AS plan_id, rk, video_id, start_time, 1 / (60.0::DOUBLE + rk) AS s FROM r WHERE rk <= 24 UNION ALL
+        SELECT query_id, 'balanced', rk, video_id, start_time, 1 / (60.0::DOUBLE + rk) FROM r WHERE rk <= 24),
+  n AS (SELECT query_id, rk, video_id, start_time, CASE query_id % 2 WHEN 0 THEN 1.1 ELSE 0.9 END * (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) AS s
+        FROM r WHERE rk <= CASE query_id % 2 WHEN 0 THEN 140 ELSE 120 END),
+  a AS (SELECT * FROM f UNION ALL SELECT query_id, 'deep', rk, video_id, start_time, s FROM n WHERE s >= 0.01 AND rk <= 30)
+  SELECT query_id, plan_id, rk AS rank, video_id, start_time, s / max(s) OVER (PARTITION BY query_id, plan_id) AS final_score FROM a""")
+def _(v):
+    def best_of_each(modality):
+        def run(queries, step, nodes):
+            c = v.candidates.where(F.col("modality") == modality).join(queries.select("query_id"), "query_id", "left_semi")
+            one = top_k(c, ["query_id", "video_id"], [F.desc("score"), F.asc("unit_id")], 1, rank="__k").drop("__k")
+            return top_k(one, ["query_id"], [F.desc("score"), F.asc("unit_id")], step.top_k).select("query_id", "video_id", "rank", "start_time", "end_time", "score")
+        return run
+
+    q = v.candidates.select("query_id").distinct().withColumns({
+        "text": F.lit("a scene"), "has_image": F.lit(False), "available": F.when(F.col("query_id") % 2 == 0, F.array(F.lit("visual"))).otherwise(F.array(F.lit("asr")))})
+    results, _trace = plan_and_execute(q, E.classify_query(q), {f"{m}.search": best_of_each(m) for m in ("visual", "asr")})
+    return results
+
+
+@query("face_support", "query_id:l moment_ref:l face_status:s score:d best_time:d", views="frames tracks qv1", sql="""
+  WITH m AS (SELECT * FROM (SELECT label::BIGINT AS query_id, video_id, vec_id AS pos, timestamp_ms * 3 AS s, timestamp_ms * 3 + 700 AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM frames) WHERE k <= 40),
+  b AS (SELECT * FROM (SELECT m.query_id, m.pos, t.best_ms, list_cosine_similarity(t.embedding, q.vec) AS c,
+     row_number() OVER (PARTITION BY m.query_id, m.pos ORDER BY list_cosine_similarity(t.embedding, q.vec) DESC, t.track_idx) AS rk
+     FROM m JOIN qv1 q USING (query_id) JOIN tracks t ON t.video_id = m.video_id AND greatest(0, m.s - 500) < t.end_ms AND m.e + 500 > t.start_ms) WHERE rk = 1)
+  SELECT query_id, pos AS moment_ref, CASE WHEN c >= 0.35 THEN 'confirmed' ELSE 'ambiguous' END AS face_status, CASE WHEN c >= 0.35 THEN 1 / (1 + exp(-12 * (c - 0.45))) END AS score,
+    CASE WHEN c >= 0.35 THEN best_ms / 1000.0 END AS best_time FROM b WHERE c >= 0.1""")
+def _(v):
+    nodes = v.frames.selectExpr("CAST(label AS BIGINT) AS query_id", "video_id", "vec_id AS pos", "timestamp_ms * 3 / 1000.0D AS start_time", "(timestamp_ms * 3 + 700) / 1000.0D AS end_time", "1 / (1.0D + vec_id) AS score")
+    step = E.Step("s2", "face.search", role="support", top_k=40, parameters={"ambiguous_threshold": 0.1, "window_padding_seconds": 0.5})
+    found = face_support(v.tracks, v.qv1)(v.qv1.select("query_id"), step, nodes)
+    return found.withColumn("best_time", F.col("evidence")[0]["best_time"])
