@@ -71,15 +71,18 @@ def _marked(elements: list[list], hard: list[bool], first: int) -> list[bool]:
     while first >= 0:
         around.add(first)
         first = elements[first][0]
-    bad = []
+    bad, within = [], []
+    article = max(around, default=-1)
     for e, (parent, sure, _) in enumerate(elements):
-        named = sure in (PART, WHOLE) and e not in around and (sure == WHOLE or bool(around) or 2 * words[e] <= whole)
+        within.append(parent >= 0 and (parent == article or within[parent]))
+        part = 2 * words[e] <= (words[parent] if within[e] else whole) or bool(around) and not within[e]
+        named = sure in (PART, WHOLE) and e not in around and (sure == WHOLE or part)
         bad.append(sure == KIND or named or parent >= 0 and bad[parent])
     return bad
 
 
 def tokens(page: str) -> list[tuple]:
-    """(tag name, "", False, breaks) for a tag, (None, surroundings, furniture, text) for text between tags."""
+    """(tag name, surroundings, inside furniture, breaks) for a tag, (None, surroundings, furniture, text) for text between tags."""
     out: list[tuple] = []
     stack: list[tuple[str, int]] = []  # open elements, and their places among all
     elements: list[list] = []  # parent, sureness of being furniture, words
@@ -97,7 +100,7 @@ def tokens(page: str) -> list[tuple]:
         name = m[3]
         if name:
             name = name.lower()
-            out.append((name, "+in" if open_articles else "", False, name not in INLINE))
+            out.append((name, "+in" if open_articles else "", stack[-1][1] if stack else -1, name not in INLINE))
             if m[2]:
                 if any(n == name for n, _ in stack):
                     while stack[-1][0] != name:
@@ -124,7 +127,7 @@ def tokens(page: str) -> list[tuple]:
         text = m[0]
         if text[0] == "<" and len(text) > 1:
             if m[1]:
-                out.append((m[1].lower(), "", False, True))
+                out.append((m[1].lower(), "+in" if open_articles else "", stack[-1][1] if stack else -1, True))
             continue
         block = next((n for n, _ in reversed(stack) if n not in INLINE), "")
         at = stack[-1][1] if stack else -1
@@ -132,7 +135,7 @@ def tokens(page: str) -> list[tuple]:
             elements[at][2] += len(text.split())
         out.append((None, f"{block}{'+a' if links else ''}{'+in' if open_articles else ''}", at, text))
     bad = _marked(elements, hard, first)
-    return [(n, w, at >= 0 and bad[at], t) if n is None else (n, w, at, t) for n, w, at, t in out]
+    return [(n, w, at >= 0 and bad[at], t) for n, w, at, t in out]
 
 
 def _classes(page: str):
@@ -191,7 +194,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     marked = any(n is None and s.endswith("+in") and not bad and t.strip() for n, s, bad, t in items)
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
     for i, (name, where, bad, text) in enumerate(items):
-        if name is None:
+        if marked and bad and where.endswith("+in"):
+            pass  # furniture inside the article: the output has none of it, and it parts nothing
+        elif name is None:
             n = len(text.split())
             total += n * (weights.get("!" + where.removesuffix("+in"), -MOST) if bad else _score(where, marked, weights)) if n else 0
         else:

@@ -49,6 +49,9 @@ def test_scan_is_the_best_region():
         best = max((sum(score[a:b]) for a, b in itertools.combinations(range(len(items) + 1), 2)), default=0)
         text = H.main_text("".join(parts), {})
         assert bool(text) == (best > 0)
+        regions = [(a, b) for a, b in itertools.combinations(range(len(items) + 1), 2) if sum(score[a:b]) >= best - 1e-9]
+        words = lambda a, b: " ".join("".join(t if n is None and not bad else " " for n, _, bad, t in items[a:b]).split())
+        assert not text or text in {words(a, b) for a, b in regions}
 
 
 def test_names_around_the_article():
@@ -60,3 +63,26 @@ def test_names_around_the_article():
                      f"<div class='{name}'><div>{plain}</div><div class='sidebar'><p>Other things</p></div></div>"):
             assert H.main_text(page(main), {}) == "Title here " + TEXT, main
         assert H.main_text(page(f"<div>{plain}</div>").replace("<body>", f"<body class='{name}'>"), {}) == "Title here " + TEXT, name
+
+
+def test_furniture_inside_the_article_parts_nothing():
+    """Asides, adverts and forms of any length, at the start, in the middle and at the end, leave the article whole."""
+    first, second = " ".join(f"one{i}" for i in range(12)), " ".join(f"two{i}" for i in range(40))
+    for n in (5, 20, 60, 200):
+        junk = " ".join(f"junk{i}" for i in range(n))
+        rows = "".join(f"<li><a href=/{i}>go{i}</a></li>" for i in range(n))
+        for extra in (f"<aside>{junk}</aside>", f"<div class=ad>{junk}</div>", f"<form><label>{junk}</label></form>", f"<nav><ul>{rows}</ul></nav>", f"<div class='share-tools'><ul>{rows}</ul></div>"):
+            for parts in ((extra, f"<p>{first}</p><p>{second}</p>"), (f"<p>{first}</p>", extra, f"<p>{second}</p>"), (f"<p>{first}</p><p>{second}</p>", extra)):
+                if "share" in extra and n > 20:
+                    continue  # a part of a name that holds most of the article's words says nothing
+                for tag in ("article", "main"):
+                    for weights in ({}, {"p": 2.0, "!aside": -3.0, "!div": -2.0, "<p": -0.5, "<li": -1.0}):
+                        assert H.main_text(page(f"<{tag}>{''.join(parts)}</{tag}>"), weights) == f"{first} {second}", (extra[:30], n)
+
+
+def test_parts_of_names_inside_the_article():
+    """A part of a name marks no element that holds most of its section's words."""
+    story = "<p>" + "All of this is the work of others. " * 5 + "</p>"
+    text = ("All of this is the work of others. " * 5).strip()
+    assert H.main_text(page(f"<article><section><h2>Before us</h2><div class='related-work'>{story}</div></section></article>"), {}) == "Before us " + text
+    assert H.main_text(page(f"<article>{story}<div class='related-posts'><a href=/a>Another one</a></div></article>"), {}) == text
