@@ -29,22 +29,32 @@ def entity_voice_counts(entities: DataFrame, samples: DataFrame) -> DataFrame:
     return entities.join(n, "entity_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+#: Letters of the runs that texts and names meet on.
+RUN = 3
+
+
 def entity_mention(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """Longest entity name found in each text, ignoring case; no row without one.
 
-    A substring search as an equi-join: each text lists its substrings of every
-    length some name has, so texts and names meet on equal strings only.
+    Texts and names meet on short runs of letters: a text lists its distinct runs of RUN letters (and of fewer, where a name is
+    shorter), a name only the one of its runs that the fewest texts have. So a text of n letters is shuffled as RUN * n short rows at most,
+    however many lengths the names have; a name with a run that no text has meets none. Whoever meets is compared in full.
     """
-    names = entities.select("entity_id", "name", casefold("name").alias("__s"))
-    lengths = names.select(F.length("__s").alias("__n")).distinct()
-    # one row per distinct name length, so a single small array
-    lens = lengths.agg(F.collect_set("__n")).scalar()
-    t = texts.select("query_id", casefold("text").alias("__t")).withColumn("__n", F.explode(lens))
-    t = t.where(F.col("__n") <= F.length("__t")).withColumn(
-        "__i", F.explode(F.sequence(F.lit(1), F.length("__t") - F.col("__n") + 1)))
-    t = t.select("query_id", F.substring("__t", F.col("__i"), F.col("__n")).alias("__s")).distinct()
-    hits = t.join(names, "__s")
-    return top_k(hits, ["query_id"], [F.desc(F.length("name")), F.asc("name")], 1).select("query_id", "entity_id", "name")
+    names = entities.select("entity_id", "name", casefold("name").alias("__s")).where("__s <> ''")
+    sizes = sorted(names.agg(F.collect_set(F.least(F.length("__s"), F.lit(RUN)))).first()[0])  # three numbers at most
+    t = texts.select("query_id", casefold("text").alias("__t"))
+
+    def runs(c, size):
+        return F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, size))
+
+    every = [F.when(F.length("__t") >= n, runs("__t", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    listed = t.select("query_id", F.explode(F.array_distinct(F.concat(*every))).alias("__r")) if sizes else t.select("query_id", F.lit("").alias("__r")).limit(0)
+    n_texts = listed.groupBy("__r").agg(F.count("*").alias("__df"))
+    own = names.select("entity_id", "name", "__s", F.explode(F.array_distinct(runs("__s", F.least(F.length("__s"), F.lit(RUN))))).alias("__r")).join(n_texts, "__r", "left")
+    rarest = own.groupBy("entity_id", "name", "__s").agg(F.min_by("__r", F.struct("__df", "__r")).alias("__r"), F.count_if(F.col("__df").isNull()).alias("__none"))
+    met = listed.join(rarest.where("__none = 0").drop("__none"), "__r").select("query_id", "entity_id", "name", "__s")
+    hits = met.join(t, "query_id").where(F.contains("__t", F.col("__s")))
+    return top_k(hits, ["query_id"], [F.desc(F.length("name")), F.asc("name"), F.asc("entity_id")], 1).select("query_id", "entity_id", "name")
 
 
 def identity_bindings(bindings: DataFrame, entities: DataFrame, groups: DataFrame) -> DataFrame:
