@@ -8,7 +8,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "moment_search", "dense_search", "knn_join", "bm25_search", "hybrid_search", "face_search", "voice_search", "overlap_join", "max_overlap_join", "asof_segment",
+    "moment_search", "dense_search", "knn_join", "write_postings", "bm25_search", "hybrid_search", "face_search", "voice_search", "overlap_join", "max_overlap_join", "asof_segment",
     "coalesce_windows", "nearest_moment_join", "group_moments", "fuse_results", "fuse_rrf", "build_chunks", "fill_gaps", "track_detections", "identity_groups",
     "table_fingerprint", "bm25_stats", "text_profile", "pointer_reconcile", "ranking_metrics", "upsert_latest", "entity_mention",
 )
