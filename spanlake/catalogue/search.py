@@ -113,6 +113,15 @@ def _(v):
     return S.moment_search(v.qv, {"visual": v.frames})
 
 
+@query("moment_search_clips", "query_id:l video_id:l start_time:d end_time:d score:d rank:l", views="clips qv", sql=_DENSE.replace("FROM frames, qv", "FROM clips, qv") + """,
+  c AS (SELECT *, (raw + 1) / 2 AS score FROM g)
+  SELECT query_id, video_id, segment_id * 5.0 AS start_time, segment_id * 5.0 + 5 AS end_time, score, r AS rank FROM (
+   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, segment_id, video_id) AS r FROM c) WHERE r <= 24""")
+def _(v):
+    """More videos than results: only those that can still enter a query's results are searched."""
+    return S.moment_search(v.qv, {"visual": v.clips})
+
+
 @query("moment_search_asr", "query_id:l video_id:s start_time:d score:d above_threshold:b rank:l", views="text_units text_queries", sql=_BM.replace("KLIM", "100") + f"""
   , dn AS (SELECT query_id, video_id, segment_idx AS doc_id, score FROM ({_DT})),
   j AS (SELECT coalesce(dn.query_id, lx.query_id) AS query_id, coalesce(dn.video_id, lx.video_id) AS video_id, coalesce(dn.doc_id, lx.doc_id) AS unit_id, 0.65 * coalesce(dn.score, 0) + 0.35 * coalesce(lx.score, 0) AS score

@@ -42,6 +42,11 @@ class Views:
             "((vec_id div 5) * 200) div 5000 * 5000 AS segment_start_ms",
             "((vec_id div 5) * 200) div 5000 * 5000 + 5000 AS segment_end_ms", "embedding")
 
+    @cached_property
+    def clips(self) -> DataFrame:
+        """The frames dealt to many small videos of ten frames each; some lie across two segments."""
+        return self.frames.withColumn("video_id", F.expr("video_id + 5 * ((frame_idx + 5) div 10)"))
+
     @cached_property
     def qv(self) -> DataFrame:
         """Three unit query vectors per label: means over a three-way split of all its vectors."""
@@ -170,6 +175,7 @@ CTES: dict[str, tuple[str, str]] = {
         (vec_id // 5) * 200 AS timestamp_ms, ((vec_id // 5) * 200) // 5000 AS segment_id,
         ((vec_id // 5) * 200) // 5000 * 5000 AS segment_start_ms,
         ((vec_id // 5) * 200) // 5000 * 5000 + 5000 AS segment_end_ms, embedding::DOUBLE[] AS embedding FROM embeddings"""),
+    "clips": ("frames", "SELECT * REPLACE (video_id + 5 * ((frame_idx + 5) // 10) AS video_id) FROM frames"),
     "qv": ("", """SELECT query_id, query_idx, list(m / n ORDER BY i) AS vec FROM (
         SELECT *, sqrt(sum(m * m) OVER (PARTITION BY query_id, query_idx)) AS n FROM (
           SELECT label AS query_id, vec_id % 3 AS query_idx, i, avg(x) AS m FROM (

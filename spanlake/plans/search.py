@@ -1,6 +1,7 @@
 """Channel searches and the moment search built from them. Every function takes a table of queries."""
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..operators.aggregates import frame_multiquery_agg, segment_topn_mean
 from ..operators.filters import (absolute_threshold, consistent_segments, global_dynamic_threshold, has_embedding_filter, require_time_window,
                                  valid_visual_hits)
 from ..operators.identity import resolve_entity_vector
-from ..operators.knn import knn_join
+from ..operators.knn import best_groups, knn_join
 from ..operators.lexical import bm25_search
 from ..operators.postings import search_postings
 from ..operators.moments import fuse_results, group_moments
@@ -23,14 +24,15 @@ from ..session import cut_lineage
 FRAME = ["segment_id", "frame_idx", "timestamp_ms", "segment_start_ms", "segment_end_ms"]
 
 
-def dense_search(queries: DataFrame, frames: DataFrame, ann_k: int = 500, seg_n: int = 3, limit: int = 100, recall: bool = False) -> DataFrame:
+def dense_search(queries: DataFrame, frames: DataFrame, ann_k: int = 500, seg_n: int = 3, limit: int = 100, recall: bool = False,
+                 within: DataFrame | None = None) -> DataFrame:
     """Visual channel: best frames per (sub-query, video), invalid ones dropped *before* aggregation, then
     frame and segment scores, best ``limit`` segments per (query, video) (500 in the recall profile).
 
-    ``queries``: query_id, query_idx, vec.
+    ``queries``: query_id, query_idx, vec. ``within``: the (query_id, video_id) pairs to search, where not all.
     """
     q = queries.withColumn("vec", l2_normalize("vec", keep_below=1e-8))
-    hits = valid_visual_hits(knn_join(q, frames, ann_k, keep=tuple(FRAME), tie=("frame_idx",)))
+    hits = valid_visual_hits(knn_join(q, frames, ann_k, keep=tuple(FRAME), tie=("frame_idx",), within=within))
     hits = consistent_segments(hits, ["query_id", "video_id", "segment_id"])
     n = queries.where("vec IS NOT NULL").groupBy("query_id").agg(F.count("*").alias("n"))
     seg = segment_topn_mean(frame_multiquery_agg(hits, n, ["video_id", *FRAME]), ["query_id", "video_id", "segment_id"], seg_n)
@@ -123,6 +125,59 @@ def rerank_blend(results: DataFrame, scores: DataFrame, durations: DataFrame, *,
     return top_k(j, ["query_id"], [F.desc("final_score"), F.asc("original_rank")], limit, rank="final_rank")
 
 
+PAIR = ["query_id", "video_id"]
+SLACK = 1e-9  # rounding between a frame's cosine and the mean that a segment makes of it
+
+
+def _frame_bound(cosines):
+    """What ``frame_multiquery_agg`` can give a frame at most: a sub-query that misses the frame counts as 0."""
+    least = np.fmax(cosines, 0.0)  # also where a cosine is not a number
+    return 0.65 * least.mean(axis=0) + 0.35 * least.min(axis=0)
+
+
+def _moments(cands: DataFrame, p: SearchProfile, primary: str | None, limit: int) -> DataFrame:
+    """Threshold flags, grouping and fusion of the candidates of every channel."""
+    cands = global_dynamic_threshold(cands, floor=p.dynamic_floor, ratio=p.dynamic_ratio)
+    # grouping passes its rows through Python, so only what fusion reads goes in
+    cands = cands.select("query_id", "video_id", "modality", "unit_id", "start_time", "end_time", "score", "raw_score", "best_ms", "above_threshold", "decision")
+    return fuse_results(group_moments(cands, p.merge_gap, p.max_result_seconds), p.weights, primary, limit)
+
+
+def _visual_that_can_enter(q: DataFrame, frames: DataFrame, rest: DataFrame | None, p: SearchProfile, primary: str | None, limit: int, channel_limit: int) -> DataFrame:
+    """Visual candidates of every (query, video) that can have one of the query's ``limit`` best results.
+
+    A result's score is a weighted mean of its channels' best, so no result of a pair is above the best score that any
+    channel has there, and no segment is above its best frame. The ``limit`` videos with the best frames are searched
+    first; their ``limit``-th result with the visual channel is the query's bar, and only pairs that have a frame, or
+    another channel's candidate, at the bar are searched after them. All visual results outrank the others, so what the
+    pairs left out would have can neither enter nor move what does. A query with fewer results than ``limit`` has no
+    bar: all its pairs are searched. Equal scores reach the bar, so ties are decided over the same rows as ever.
+    A frame has one row, as in every unit table.
+    """
+    q = cut_lineage(q)
+    recall = p.name == "recall"
+
+    def search(pairs):
+        return dense_search(q, frames, p.ann_k, p.segment_top_n, channel_limit, recall, within=pairs)
+
+    unit = q.withColumn("vec", l2_normalize("vec", keep_below=1e-8))
+    first = cut_lineage(best_groups(unit, frames, limit, combine=_frame_bound).select(*PAIR))
+    found = cut_lineage(search(first))
+    theirs = found if rest is None else union_candidates(found, rest.join(first, PAIR, "left_semi"))
+    results = _moments(theirs, p, primary, limit).where(F.array_contains("modalities", "visual"))
+    bar = results.groupBy("query_id").agg(F.count("score").alias("n"), F.min("score").alias("bar")).where(F.col("n") >= limit).select("query_id", "bar")
+    bar = cut_lineage(bar)
+    # the bound of a frame is never below 0: a bar of cosine 0 or less holds nothing back
+    cosine = 2 * F.col("bar") - 1 - SLACK
+    asked = unit.join(bar, "query_id", "left").withColumn("__bar", F.when(cosine > 0, cosine))
+    more = best_groups(asked, frames, floor="__bar", combine=_frame_bound).select(*PAIR)
+    if rest is not None:
+        at_bar = rest.groupBy(*PAIR).agg(F.max("score").alias("best")).join(bar, "query_id", "left")
+        more = more.union(at_bar.where(F.col("bar").isNull() | (F.col("best") >= F.col("bar") - SLACK)).select(*PAIR))
+    more = cut_lineage(more.distinct().join(first, PAIR, "left_anti"))
+    return found.unionByName(search(more))
+
+
 def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: SearchProfile | None = None, *, scope: DataFrame | None = None,
                   pointers: DataFrame | None = None, primary: str | None = "visual", limit: int | None = None,
                   entities: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
@@ -134,6 +189,9 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
     ``scope``: allowed video ids (an empty table means none). ``pointers``: only published versions.
     ``entities``: (entities, face samples); a query without a face vector whose text names an entity searches
     for its mean sample. ``primary``: results that have this channel come first, where the query asks for it.
+
+    Where there are more videos than results are asked for, and visual results come first or there is no other
+    channel, the visual channel searches only the videos that can still enter a query's results; the rows are the same.
     """
     from ..operators.relations import join_published
     p = (profile or SearchProfile()).checked()
@@ -157,8 +215,6 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
     text_q = first.select("query_id", "text" if "text" in have else F.lit(None).cast("string").alias("text"),
                           F.col("text_vec").alias("vec") if "text_vec" in have else F.lit(None).cast("array<double>").alias("vec"))
     parts = []
-    if "visual" in units and "vec" in have:
-        parts.append(dense_search(asking(queries.select("query_id", "query_idx", "vec"), "visual"), live("visual"), p.ann_k, p.segment_top_n, channel_limit, p.name == "recall"))
     for channel, w in (("asr", p.asr_dense_weight), ("ocr", p.ocr_dense_weight)):
         if channel in units and have & {"text", "text_vec"}:
             parts.append(hybrid_search(asking(text_q, channel), live(channel), w, p.text_k, channel_limit, channel))
@@ -168,12 +224,19 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
             named = resolve_entity_vector(text_q.where("text IS NOT NULL"), *entities).select("query_id", F.col("vec").alias("__named"))
             faces = faces.join(named, "query_id", "left").select("query_id", F.coalesce(F.col("vec").cast("array<double>"), "__named").alias("vec"))
         parts.append(face_search(faces, live("face"), p.face_threshold, channel_limit))
-    if not parts:
+    visual = "visual" in units and "vec" in have
+    if not parts and not visual:
         raise ValueError("no channel has both units and a query input")
-    cands = union_candidates(*parts)
     # the threshold reads the candidates twice; they are few after the limits, the searches are not
-    cands = global_dynamic_threshold(cut_lineage(cands), floor=p.dynamic_floor, ratio=p.dynamic_ratio)
-    # grouping passes its rows through Python, so only what fusion reads goes in
-    cands = cands.select("query_id", "video_id", "modality", "unit_id", "start_time", "end_time", "score", "raw_score", "best_ms", "above_threshold", "decision")
-    grouped = group_moments(cands, p.merge_gap, p.max_result_seconds)
-    return fuse_results(grouped, p.weights, primary, 500 if p.name == "recall" else limit)
+    rest = cut_lineage(union_candidates(*parts)) if parts else None
+    best = 500 if p.name == "recall" else limit
+    if not visual:
+        return _moments(rest, p, primary, best)
+    q, frames = asking(queries.select("query_id", "query_idx", "vec"), "visual"), live("visual")
+    outranks = rest is None or primary == "visual"
+    if outranks and frames.select("video_id").distinct().limit(best + 1).count() > best:
+        seen = _visual_that_can_enter(q, frames, rest, p, primary, best, channel_limit)
+    else:
+        seen = dense_search(q, frames, p.ann_k, p.segment_top_n, channel_limit, p.name == "recall")
+    seen = cut_lineage(seen)
+    return _moments(union_candidates(seen) if rest is None else union_candidates(seen, rest), p, primary, best)
