@@ -1,8 +1,11 @@
 """Licence scan: Dice coefficient of word bigrams between units of a text and licence templates, in DataFrame operations only.
 
-Units are the lines and the paragraphs of a text. Dice(A, B) = 2 |A & B| / (|A| + |B|) is at least t only if
-|A| lies between t / (2 - t) and (2 - t) / t times |B|: templates are indexed by the set sizes that they can
-match, and a unit meets those listed under its own size only.
+Units are the lines and the paragraphs of a text and the sentences of both; a line of comment marks parts
+paragraphs like a blank one. Dice(A, B) = 2 |A & B| / (|A| + |B|) is at least t only if |A| lies between
+t / (2 - t) and (2 - t) / t times |B|: templates are indexed by the set sizes that they can match, and a unit
+meets those listed under its own size only. It is at least t only if A has t / (2 - t) of the bigrams of B, too:
+of each template as many long words are picked as stand in more than the remaining bigrams, and a unit with none
+of these words needs no bigrams.
 """
 from __future__ import annotations
 
@@ -12,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST = 0.8
+#: Between paragraphs, and between sentences: an end mark, white space, marks of a comment, a capital letter.
+BREAK = r"\n[ \t\r*#/;%-]*\n"
+SENTENCE = r"[.!?][\"')\]]*[ \t\r\n][ \t\r\n*#/;%-]*(\p{Lu})"
+CUT = "\x01"
 # Notices and opening passages of public licences, as their publishers word them.
 TEMPLATES = [
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,10 +51,23 @@ def _bigrams(words):
     return F.array_distinct(pairs)
 
 
-def _with_bigrams(df: DataFrame, unit: str) -> DataFrame:
-    d = df.withColumn("_w", F.split(_normal(F.col(unit)), " ")).where("size(_w) > 1")
-    d = d.withColumn("bigrams", _bigrams(F.col("_w"))).drop("_w")
-    return d.withColumn("n_bigrams", F.size("bigrams"))
+def _with_words(df: DataFrame, unit: str) -> DataFrame:
+    return df.withColumn("_w", F.split(_normal(F.col(unit)), " ")).where("size(_w) > 1")
+
+
+def _with_bigrams(df: DataFrame) -> DataFrame:
+    return df.withColumn("bigrams", _bigrams(F.col("_w"))).drop("_w").withColumn("n_bigrams", F.size("bigrams"))
+
+
+def anchors(words: list[str], least: float) -> list[str]:
+    """Words of a template, the longest first, until a text without any of them has too few of its bigrams."""
+    pairs = {tuple(words[i:i + 2]) for i in range(len(words) - 1)}
+    spare, out = (1 - least / (2 - least)) * len(pairs) + 1e-9, []
+    for w in sorted(set(words), key=lambda w: (-len(w), w)):
+        if sum(1 for p in pairs if p[0] in out or p[1] in out) > spare:
+            break
+        out.append(w)
+    return out
 
 
 def bounds(n: int, least: float) -> tuple[int, int]:
@@ -63,14 +83,18 @@ def scan_licences(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """
     spark = docs.sparkSession
     t = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "template int, licence string, body string")
-    t = _with_bigrams(t, "body").select("licence", F.col("bigrams").alias("wanted"), F.col("n_bigrams").alias("n_wanted"))
+    t = _with_words(t, "body")
+    picked = sorted({w for r in t.select("_w").collect() for w in anchors(r[0], least)})
+    t = _with_bigrams(t).select("licence", F.col("bigrams").alias("wanted"), F.col("n_bigrams").alias("n_wanted"))
     low = F.ceil(F.lit(least / (2 - least)) * F.col("n_wanted") - 1e-9)
     high = F.floor(F.lit((2 - least) / least) * F.col("n_wanted") + 1e-9)
     t = t.select("*", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n_bigrams"))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).where("_t IS NOT NULL")
-    paragraphs = F.filter(F.split("_t", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = d.select("doc_id", F.explode(F.array_distinct(F.concat(F.split("_t", "\n"), paragraphs))).alias("unit"))
-    met = _with_bigrams(units, "unit").join(F.broadcast(t), "n_bigrams")
+    paragraphs = F.filter(F.split("_t", BREAK), lambda p: F.contains(p, F.lit("\n")))
+    d = d.select("doc_id", F.array_distinct(F.concat(F.split("_t", "\n"), paragraphs)).alias("_u"))
+    sentences = F.flatten(F.transform("_u", lambda u: F.split(F.regexp_replace(u, SENTENCE, CUT + "$1"), CUT)))
+    units = _with_words(d.select("doc_id", F.explode(F.array_distinct(F.concat("_u", sentences))).alias("unit")), "unit")
+    met = _with_bigrams(units.where(F.arrays_overlap("_w", F.lit(picked)))).join(F.broadcast(t), "n_bigrams")
     dice = 2.0 * F.size(F.array_intersect("bigrams", "wanted")) / (F.col("n_bigrams") + F.col("n_wanted"))
     return (met.select("doc_id", "licence", "unit", dice.alias("dice")).where(F.col("dice") >= least)
             .groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count_distinct("unit").alias("n_units")))
@@ -82,7 +106,8 @@ def licence_sql(least: float = LEAST) -> str:
     grams = "list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])"
     words = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
     return f"""WITH t AS (SELECT licence, {words.format('body')} AS w, {grams} AS g, len(g) AS n FROM (VALUES {rows}) v(i, licence, body)),
-      u0 AS (SELECT doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), [p for p in regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') if contains(p, chr(10))]))) AS unit FROM documents WHERE text IS NOT NULL),
+      l AS (SELECT doc_id, list_concat(string_split(text, chr(10)), [p for p in regexp_split_to_array(text, '{BREAK}') if contains(p, chr(10))]) AS us FROM documents WHERE text IS NOT NULL),
+      u0 AS (SELECT doc_id, unnest(list_distinct(list_concat(us, flatten([string_split(regexp_replace(x, '{SENTENCE.replace("'", "''")}', chr(1) || '\\1', 'g'), chr(1)) for x in us])))) AS unit FROM l),
       u1 AS (SELECT doc_id, unit, {words.format('unit')} AS w FROM u0),
       u AS (SELECT doc_id, unit, {grams} AS g, len(g) AS n FROM u1 WHERE len(w) > 1),
       m AS (SELECT doc_id, licence, unit, 2.0 * len(list_intersect(u.g, t.g)) / (u.n + t.n) AS dice FROM u JOIN t ON u.n >= {least / (2 - least)!r} * t.n - 1e-9 AND u.n <= {(2 - least) / least!r} * t.n + 1e-9)

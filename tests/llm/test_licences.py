@@ -9,10 +9,20 @@ def grams(t):
     return {tuple(w[i:i + 2]) for i in range(len(w) - 1)}
 
 
+def sentences(u):
+    """Parts between an end mark and a capital letter that white space, maybe with marks of a comment, divides."""
+    out, start = [], 0
+    for m in re.finditer(r"""[.!?]["')\]]*\s[\s*#/;%-]*(?=[^\W\d_])""", u):
+        if u[m.end()].isupper():
+            out, start = out + [u[start:m.start()]], m.end()
+    return out + [u[start:]]
+
+
 def brute(docs):
     best = {}
     for d, t in docs:
-        units = set((t or "").split("\n")) | {p for p in re.split(r"\n[ \t\r]*\n", t or "") if "\n" in p}
+        units = set((t or "").split("\n")) | {p for p in re.split(r"\n[ \t\r*#/;%-]*\n", t or "") if "\n" in p}
+        units |= {x for u in units for x in sentences(u)}
         for u in units:
             for name, body in L.TEMPLATES:
                 a, b = grams(u), grams(body)
@@ -36,6 +46,26 @@ def test_rows(spark):
     assert doubled == got
 
 
+def test_sentences_and_comments(spark):
+    mit, gpl = L.TEMPLATES[5][1], L.TEMPLATES[7][1]
+    star = lambda t: "\n".join(" * " + t[i:i + 60] for i in range(0, len(t), 60))
+    docs = [(1, "Copyright 2021 Foo. Released under the MIT License. See LICENSE for details."), (2, f"/*\n * Copyright Foo.\n *\n{star(mit)}\n *\n * more of it\n */\nint x;"),
+            (3, f"# A tool.\n#\n# {gpl[:90]}\n# {gpl[90:]}\n#\n# {'See the manual. ' * 9}"), (4, "It is free! Licensed under CC BY 4.0.\nNext (c) line. Licensed under the MIT License. v. 2"),
+            (5, "Wrapped text. Released under\nthe MIT License. And more\nof it."), (6, "Version v. 2.0 of this. This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Yes."), (7, "under the license of Foo. MIT is a school. The License.")]
+    got = {(r.doc_id, r.licence): (round(r.dice, 9), r.n_units) for r in L.scan_licences(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute(docs)
+    assert set(got) == {(1, "mit"), (2, "mit"), (3, "gpl-3.0"), (4, "cc-by-4.0"), (4, "mit"), (5, "mit"), (6, "mpl-2.0")}
+
+
+def test_anchors_lose_nothing():
+    """A set of a template's bigrams that reaches the least coefficient holds one of its anchors, whatever is left out."""
+    for _, body in L.TEMPLATES:
+        words = re.findall(r"[^\W_]+", body.lower())
+        pairs, picked = grams(body), set(L.anchors(words, L.LEAST))
+        free = [p for p in pairs if not picked & set(p)]
+        assert 2 * len(free) / (len(free) + len(pairs)) < L.LEAST
+
+
 def test_bounds_lose_nothing():
     for n in range(1, 60):
         low, high = L.bounds(n, L.LEAST)
