@@ -115,22 +115,28 @@ def _vectors(names: list[bytes], groups):
 
 
 def fit(rows: list[tuple], n: int, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias from (label, places, values); label -1 marks a counterfactual change of score to be kept small."""
+    """Weights and bias from (label, places, values); label -1 marks a counterfactual change of score to be kept small.
+
+    Texts are a dense matrix, which the sample bounds; changes, several for each text that names an identity term,
+    touch a few features each and stay lists of places and values.
+    """
     own = [r for r in rows if r[0] >= 0]
     changes = [r for r in rows if r[0] < 0]
-    x, d = np.zeros((len(own), n + 1), np.float32), np.zeros((len(changes), n), np.float32)
+    x = np.zeros((len(own), n + 1), np.float32)
     for i, (_, at, v) in enumerate(own):
         x[i, at] = v
     x[:, n] = 1
-    for i, (_, at, v) in enumerate(changes):
-        d[i, at] = v
+    place = np.concatenate([np.empty(0, np.int32), *[np.asarray(at, np.int32) for _, at, _ in changes]])
+    value = np.concatenate([np.empty(0, np.float32), *[np.asarray(v, np.float32) for _, _, v in changes]])
+    change = np.repeat(np.arange(len(changes)), [len(at) for _, at, _ in changes])
     y = np.array([r[0] for r in own], np.float32)
     w, m, v = (np.zeros(n + 1, np.float32) for _ in range(3))
     for t in range(1, steps + 1):
         g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / max(1, len(y))
         g[:n] += ridge * w[:n]
-        if len(d):
-            g[:n] += counterfactual * (d.T @ (d @ w[:n])) / len(d)
+        if changes:
+            moved = np.bincount(change, value * w[place], len(changes))
+            g[:n] += counterfactual * np.bincount(place, value * moved[change], n) / len(changes)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
     return w[:n], float(w[n])

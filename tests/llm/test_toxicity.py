@@ -47,6 +47,79 @@ def test_fit_lowers_the_penalised_change():
     assert free[1] > 0.5 and abs(held[1]) < 0.1 * free[1] and held[0] > 0
 
 
+def dense_fit(rows, n, strength):
+    """The fit written out over whole matrices."""
+    def matrix(part):
+        m = np.zeros((len(part), n))
+        for i, (_, at, v) in enumerate(part):
+            m[i, at] = v
+        return m
+    x, d = matrix([r for r in rows if r[0] >= 0]), matrix([r for r in rows if r[0] < 0])
+    x = np.hstack([x, np.ones((len(x), 1))])
+    y = np.array([r[0] for r in rows if r[0] >= 0])
+    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, 401):
+        g = x.T @ (1 / (1 + np.exp(-(x @ w))) - y) / len(y)
+        g[:n] += T.RIDGE * w[:n] + (strength * d.T @ (d @ w[:n]) / len(d) if len(d) else 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+    return w
+
+
+def test_learned_as_by_brute_force(spark):
+    """Features, vectors, swaps and fit recomputed in plain Python over dense matrices."""
+    docs = labelled()
+    feats = [{f for w in T.words_of(t) for f in T._features(w)} for _, t, _ in docs]
+    n = {k: sum(y == k for *_, y in docs) for k in (0, 1)}
+    strength = {}
+    for f in set().union(*feats):
+        c = [sum(f in fs for fs, (*_, y) in zip(feats, docs) if y == k) for k in (0, 1)]
+        if sum(c) >= T.LEAST and len(f) > 3:
+            a, b = c[1] + 0.5, c[0] + 0.5
+            strength[f] = abs((np.log(a / (n[1] + 1)) - np.log(b / (n[0] + 1))) / np.sqrt(1 / a + 1 / b))
+    names = sorted(strength, key=lambda f: (-strength[f], f))[:T.FEATURES]
+
+    def vector(words):
+        out = {}
+        for i, f in enumerate(names):
+            c = sum(f in T._features(w) for w in words)
+            if c:
+                out[i], out[i + len(names)] = np.log1p(c), np.log1p(200 * c / max(50, len(words)))
+        return out
+
+    rows = []
+    groups = {t: g for g in T.IDENTITY for t in g}
+    for _, text, y in docs:
+        words = T.words_of(text)
+        own = vector(words)
+        rows.append((y, list(own), list(own.values())))
+        named = [w.decode() for w in words if w.decode() in groups]
+        for k in range(max((len(groups[w]) for w in named), default=0)):
+            others = {w: [o for o in groups[w] if o != w] + [T.NEUTRAL] for w in named}
+            new = vector([others[w.decode()][k % len(others[w.decode()])].encode() if w.decode() in others else w for w in words])
+            change = {i: new.get(i, 0) - own.get(i, 0) for i in own.keys() | new.keys() if new.get(i, 0) != own.get(i, 0)}
+            if change:
+                rows.append((-1, list(change), list(change.values())))
+    w = dense_fit(rows, 2 * len(names), 1.0)
+    bias = w[-1]
+    learned = model(spark, 1.0)
+    assert set(learned.weights) == set(names)
+    for _, text, _ in docs[:60]:
+        z = bias + sum(x * w[i] for i, x in vector(T.words_of(text)).items())
+        assert abs(learned.score(text) - 1 / (1 + np.exp(-z))) < 5e-3
+
+
+def test_many_identity_terms():
+    """Changes of 60,000 swaps over 2,000 features are kept as a few values each, not as 480 MB."""
+    import tracemalloc
+    rows = [(i % 2, [i % 7], [1.0]) for i in range(40)] + [(-1, [i % 2000, (i * 7 + 1) % 2000], [-1.0, 1.0]) for i in range(60_000)]
+    tracemalloc.start()
+    w, _ = T.fit(rows, 2000, steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w) == 2000 and peak < 120e6
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.0), (2, "", 0.0), (2, "", 0.0), (None, "vermin " * 50_000, 0.0)], "doc_id bigint, text string, score double")
     rows = T.score_toxicity(docs, model(spark, 1.0)).collect()
