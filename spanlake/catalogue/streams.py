@@ -1,7 +1,7 @@
 """Streaming queries: each runs its stream over the whole table and reads the result back."""
 from pyspark.sql import functions as F
 
-from ..sources.writers import SnapshotTable
+from ..sources.writers import read_buckets
 from ..streaming import jobs as J
 from .registry import query
 from .scans import fresh
@@ -55,10 +55,9 @@ def _(v):
   SELECT user_id, event_type, max(event_id) AS event_id, arg_max(least(value / 517.3::DOUBLE, 1), event_id) AS score FROM events GROUP BY 1, 2""")
 def _(v):
     path = fresh(v, "ups")
-    t = SnapshotTable(v.spark, path)
     e = _events(v).drop("us")
-    J.upsert_sink(stream_of(v, e.unionByName(e.where("event_id % 3 = 0")), "ev"), t, ["user_id", "event_type"], "event_id", "ts", "1 hour", f"{path}-checkpoint").awaitTermination()
-    return t.read()
+    J.upsert_sink(stream_of(v, e.unionByName(e.where("event_id % 3 = 0")), "ev"), path, ["user_id", "event_type"], "event_id", "ts", "1 hour", f"{path}-checkpoint").awaitTermination()
+    return read_buckets(v.spark, path)
 
 
 @query("stream_trace_metrics", "event_type:s w:l n:l p50:d p95:d", sql="""
@@ -68,3 +67,18 @@ def _(v):
     e = _events(v).withColumn("seconds", v.spark.range(1).select(F.lit(517.3)).scalar() * F.col("score"))
     s = J.trace_metrics(stream_of(v, e, "tr"), ["event_type"], size="24 hours", slide="12 hours")
     return J.run_to_files(s, fresh(v, "met"), "complete").withColumn("w", F.expr("unix_micros(w_start) div 43200000000"))
+
+
+@query("stream_trace_sketch", "event_type:s w:l n:l p50:d p95:d", sql="""
+  WITH g AS (SELECT ln(1.01::DOUBLE / 0.99::DOUBLE) AS step, 1.01::DOUBLE / 0.99::DOUBLE AS gamma),
+   c AS (SELECT event_type, (epoch_us(ts) - 1704067200000000) // 43200000000 - k AS w, CASE WHEN value > 0 THEN CAST(ceil(ln(value) / step) AS BIGINT) ELSE -1099511627776 END AS bucket, count(*) AS n
+    FROM events, g, (SELECT unnest([0, 1]) AS k) WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+   r AS (SELECT *, sum(n) OVER (PARTITION BY event_type, w ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY event_type, w) AS t FROM c),
+   done AS (SELECT max(epoch_us(ts)) - 1704067200000000 - 3600000000 AS mark FROM events)
+  SELECT event_type, w, max(t) AS n, min(CASE WHEN upto > floor((t - 1) * 0.5) THEN x END) AS p50, min(CASE WHEN upto > floor((t - 1) * 0.95) THEN x END) AS p95
+  FROM (SELECT r.*, CASE WHEN bucket = -1099511627776 THEN 0 ELSE pow(gamma, bucket) * 2 / (gamma + 1) END AS x FROM r, g), done WHERE (w + 2) * 43200000000 <= mark GROUP BY 1, 2""")
+def _(v):
+    # closed windows only: an open one may still change, so append mode holds it back
+    e = _events(v).drop("score").join(v.table("events").selectExpr("event_id", "value AS seconds"), "event_id")
+    s = J.trace_sketch(stream_of(v, e, "tr"), ["event_type"], size="24 hours", slide="12 hours")
+    return J.run_to_files(s, fresh(v, "sk")).withColumn("w", F.expr("unix_micros(w_start) div 43200000000"))

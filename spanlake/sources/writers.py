@@ -111,6 +111,50 @@ def upsert_latest(stored: DataFrame, incoming: DataFrame, key: list[str], attemp
     return g.select(*key, *[F.col(f"__r.{c}").alias(c) for c in cols])
 
 
+BUCKET = "key_bucket"
+
+
+def _staged_batch(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.schema("batch long").json(path).agg(F.max("batch")).first()[0]
+    except Exception as error:  # nothing staged yet
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def upsert_buckets(batch: DataFrame, path: str, key: list[str], attempt: str, batch_id: int, buckets: int = 64) -> None:
+    """Merge a batch into a Parquet table partitioned by key bucket; only buckets with a key of the batch are read and written.
+
+    The merged buckets are written aside first and marked with the batch's number, then they replace
+    the table's partitions (dynamic overwrite). A batch that is run again after a failure finds them
+    staged and only repeats the replacement, so a partition lost halfway comes back whole. One writer
+    at a time; ``buckets`` belongs to the table and must not change. An empty batch writes nothing.
+    """
+    spark = batch.sparkSession
+    staged, mark = f"{path}-staged/rows", f"{path}-staged/mark"
+    if _staged_batch(spark, mark) != batch_id:
+        newest = upsert_latest(batch.limit(0), batch, key, attempt).withColumn(BUCKET, F.pmod(F.hash(*key), F.lit(buckets)))
+        touched = [r[0] for r in newest.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        try:
+            stored = spark.read.schema(newest.schema).parquet(path).where(F.col(BUCKET).isin(touched))
+            newest = upsert_latest(stored, newest, [*key, BUCKET], attempt)
+        except Exception as error:  # the first batch
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+        newest.repartition(BUCKET).write.mode("overwrite").parquet(staged)
+        spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).coalesce(1).write.mode("overwrite").json(mark)
+    rows = spark.read.parquet(staged)
+    rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table written by ``upsert_buckets``."""
+    return spark.read.parquet(path).drop(BUCKET)
+
+
 def delete_where(units: DataFrame, gone: Column) -> tuple[DataFrame, DataFrame]:
     """(remaining rows, deleted rows per video). Rows with an undecided predicate stay."""
     g = F.coalesce(gone, F.lit(False))
@@ -149,6 +193,18 @@ def append_trace(traces: DataFrame, path: str) -> None:
     traces.write.mode("append").json(path)
 
 
+def id_pairs(left: DataFrame, right: DataFrame, side: int = 16) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, for results that are this product by definition.
+
+    Rows are dealt to a grid of ``side`` x ``side`` cells, each side repeated ``side`` times, and meet in an
+    equi-join on the cell; so neither side has to fit into a task or passes through the driver.
+    """
+    cells = F.sequence(F.lit(0), F.lit(side - 1))
+    a = left.withColumn("__row", F.pmod(F.hash(*left.columns), F.lit(side))).withColumn("__col", F.explode(cells))
+    b = right.withColumn("__col", F.pmod(F.hash(*right.columns), F.lit(side))).withColumn("__row", F.explode(cells))
+    return a.join(b, ["__row", "__col"]).drop("__row", "__col")
+
+
 def membership_update(members: DataFrame, videos: DataFrame, folders: DataFrame, picked_videos: DataFrame, picked_folders: DataFrame,
                       operation: str) -> DataFrame:
     """Memberships after adding, removing or replacing folders of a set of videos; unknown ids are errors."""
@@ -163,9 +219,7 @@ def membership_update(members: DataFrame, videos: DataFrame, folders: DataFrame,
     if operation == "remove":
         hit = members.join(pv, "video_id", "left_semi").join(pf, "folder_id", "left_semi")
         return members.join(hit, ["video_id", "folder_id"], "left_anti")
-    # every picked video carries the array of picked folders (a small id set), then unfolds it
-    ids = pf.agg(F.collect_set("folder_id")).scalar()
-    pairs = pv.withColumn("folder_id", F.explode(ids))
+    pairs = id_pairs(pv, pf)
     base = members if operation == "add" else members.join(pv, "video_id", "left_anti")
     return base.select("video_id", "folder_id").unionByName(pairs.select("video_id", "folder_id")).distinct()
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.identity import TRACK_SCHEMA, TrackState, track_row
-from ..sources.writers import SnapshotTable, upsert_latest
+from ..operators.quantiles import sketch_bucket, sketch_quantile
+from ..sources.writers import upsert_buckets
 
 
 def fixed_segments(events: DataFrame, by: list[str], ts: str = "ts", width: str = "5 seconds", lateness: str = "10 seconds") -> DataFrame:
@@ -104,15 +105,10 @@ def tracks(detections: DataFrame, key: str, fps: float = 2.0, max_gap: float = 1
         step, f"{key} {kind}, {TRACK_SCHEMA}", "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_sink(stream: DataFrame, table: SnapshotTable, key: list[str], attempt: str, ts: str, lateness: str, checkpoint: str):
-    """Idempotent upserts: repeats inside the lateness window are dropped, every batch merges into the snapshot table."""
+def upsert_sink(stream: DataFrame, path: str, key: list[str], attempt: str, ts: str, lateness: str, checkpoint: str, buckets: int = 64):
+    """Idempotent upserts: repeats inside the lateness window are dropped, every batch merges into the key buckets that it touches."""
     def merge(batch: DataFrame, batch_id: int):
-        newest = upsert_latest(batch.limit(0), batch, key, attempt)
-        if table.version() is None:
-            table.commit(newest)
-        else:
-            stored = table.read()
-            table.commit(upsert_latest(stored, newest.select(*stored.columns), key, attempt))
+        upsert_buckets(batch, path, key, attempt, batch_id, buckets)
 
     d = stream.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([*key, attempt])
     return d.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -125,6 +121,20 @@ def trace_metrics(traces: DataFrame, by: list[str], ts: str = "ts", size: str =
             .select(*by, F.col("w.start").alias("w_start"), "n", "p50", "p95"))
 
 
+def trace_sketch(traces: DataFrame, by: list[str], ts: str = "ts", size: str = "1 hour", slide: str = "30 minutes", lateness: str = "1 hour", error: float = 0.01) -> DataFrame:
+    """Sliding-window latency percentiles within the relative ``error``, in append mode.
+
+    State is one count for each (group, window, bucket). Buckets grow geometrically, so a window has
+    at most ln(largest / smallest) / ln((1 + error) / (1 - error)) of them (about 700 for microseconds
+    to seconds at 0.01), however many rows or distinct values it sees; counts of two states add up.
+    Null latencies do not count; those of zero and less count as 0.
+    """
+    counts = (traces.where(F.col("seconds").isNotNull()).withWatermark(ts, lateness)
+              .groupBy(*by, F.window(ts, size, slide).alias("w"), sketch_bucket("seconds", error).alias("bucket")).agg(F.count("*").alias("n")))
+    return (counts.groupBy(*by, "w").agg(F.sum("n").alias("n"), F.collect_list(F.struct("bucket", "n")).alias("__c"))
+            .select(*by, F.col("w.start").alias("w_start"), "n", sketch_quantile("__c", 0.5, error).alias("p50"), sketch_quantile("__c", 0.95, error).alias("p95")))
+
+
 def run_to_files(stream: DataFrame, path: str, mode: str = "append"):
     """Process everything that is available and leave the rows in ``path``. Complete results go through a batch writer."""
     if mode == "complete":
