@@ -82,3 +82,15 @@ def _(v):
     e = _events(v).drop("score").join(v.table("events").selectExpr("event_id", "value AS seconds"), "event_id")
     s = J.trace_sketch(stream_of(v, e, "tr"), ["event_type"], size="24 hours", slide="12 hours")
     return J.run_to_files(s, fresh(v, "sk")).withColumn("w", F.expr("unix_micros(w_start) div 43200000000"))
+
+
+@query("stream_topn_segments", "event_type:s seg:l score:d frame_count:l best:l", sql="""
+  SELECT event_type, seg, avg(s) FILTER (WHERE r <= 3) AS score, count(*) AS frame_count, min(event_id) FILTER (WHERE r = 1) AS best FROM (
+   SELECT *, row_number() OVER (PARTITION BY event_type, seg ORDER BY s DESC, event_id) AS r FROM (
+    SELECT event_type, event_id, (epoch_us(ts) - 1704067200000000) // 3600000000 AS seg, least(value / 517.3::DOUBLE, 1) AS s FROM events WHERE value IS NOT NULL)) GROUP BY 1, 2""")
+def _(v):
+    # an hour later, as Spark counts the epoch itself as late; the last row flushes
+    e = _events(v).select("event_type", "event_id", (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("ts"), "score")
+    end = e.agg(F.max("ts").alias("ts")).selectExpr("CAST(NULL AS STRING) AS event_type", "CAST(NULL AS BIGINT) AS event_id", "ts + INTERVAL 3 DAYS AS ts", "CAST(NULL AS DOUBLE) AS score")
+    s = J.top_segments(stream_of(v, e.where("score IS NOT NULL").unionByName(end), "top"), ["event_type"], "event_id", width_ms=3_600_000)
+    return J.run_to_files(s, fresh(v, "tops")).withColumn("seg", F.col("seg") - 1)

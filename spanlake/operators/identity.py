@@ -173,7 +173,7 @@ def density_fallback(windows: DataFrame, by: list[str], components: int = 32, k:
     """Second clustering for videos whose windows all fell into one cluster (40 windows or more).
 
     The reference step is a density clustering of one video in memory; here the affected windows of
-    all videos are whitened by PCA and split by bisecting k-means as one distributed fit, and labels
+    all videos are projected by PCA and split by bisecting k-means as one distributed fit, and labels
     are compacted per video.
     """
     flat = windows.groupBy(*by).agg(F.count("*").alias("n"), (F.min("label") == F.max("label")).alias("one")).where("one AND n >= 40").select(*by)

@@ -18,6 +18,37 @@ def fixed_segments(events: DataFrame, by: list[str], ts: str = "ts", width: str
             .select(*by, F.col("w.start").alias("seg_start"), F.col("w.end").alias("seg_end"), "frames", "mean_score", "best_score"))
 
 
+def top_segments(events: DataFrame, by: list[str], idx: str, ts: str = "ts", width_ms: int = 5000, n: int = 3, lateness: str = "10 seconds") -> DataFrame:
+    """Segments of ``width_ms`` scored by the mean of their best ``n`` rows (ties: smaller ``idx``), in append mode.
+
+    State is the best ``n`` rows and a count for each open segment, whatever it reads; a segment leaves
+    when the watermark passes its end. A row with a null score counts for nothing but moves the watermark,
+    so one such row of a later time at the end of the input flushes all segments. Rows without a time are ignored.
+    """
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in by)
+
+    def step(key, batches, state: GroupState):
+        scores, ids, count = state.get if state.exists else ([], [], 0)
+        best = list(zip(scores, ids))
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(*key, sum(scores) / len(scores), count, ids[0])], columns=names)
+            return
+        for pdf in batches:
+            rows = pdf[pdf["score"].notna()]
+            count += len(rows)
+            rows = rows.sort_values(["score", idx], ascending=[False, True]).head(n)
+            best = sorted([*best, *zip(rows["score"].tolist(), rows[idx].tolist())], key=lambda r: (-r[0], r[1]))[:n]
+        if best:
+            state.update(([r[0] for r in best], [r[1] for r in best], count))
+            state.setTimeoutTimestamp(max((int(key[-1]) + 1) * width_ms, int(state.getCurrentWatermarkMs()) + 1))
+
+    names = [*by, "seg", "score", "frame_count", "best"]
+    d = events.where(F.col(ts).isNotNull()).withWatermark(ts, lateness).select(*by, ts, "score", F.col(idx).cast("long").alias(idx), F.floor(F.unix_millis(ts) / F.lit(width_ms)).cast("long").alias("seg"))
+    return d.groupBy(*by, "seg").applyInPandasWithState(step, f"{kinds}, seg long, score double, frame_count long, best long",
+                                                        "scores array<double>, ids array<long>, n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def gap_sessions(events: DataFrame, by: list[str], ts: str = "ts", gap: str = "2 seconds", lateness: str = "10 seconds") -> DataFrame:
     """Sessions of events no further apart than ``gap``."""
     return (events.withWatermark(ts, lateness).groupBy(*by, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("events"))

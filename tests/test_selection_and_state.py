@@ -105,3 +105,19 @@ def test_stream_sketch_equals_its_batch_form(spark, tmp_path):
     end = e.agg(F.max("ts")).first()[0].timestamp() - 3600
     want = {(r.g, r.w_start): (r.n, r.p50, r.p95) for r in b if r.w_start.timestamp() + 3600 <= end}
     assert got == want and len(got) >= 12
+
+
+def test_top_segments_equal_the_batch_form(spark, tmp_path):
+    e = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").alias("idx"), F.timestamp_millis(F.col("id") * 100 + 1_000_000).alias("ts"), (F.pmod(F.hash("id"), F.lit(20)) / 20.0).alias("score"))
+    end = e.agg(F.max("ts").alias("ts")).selectExpr("CAST(NULL AS BIGINT) AS g", "CAST(NULL AS BIGINT) AS idx", "ts + INTERVAL 1 DAY AS ts", "CAST(NULL AS DOUBLE) AS score")
+    # three files of rows in time order, read one at a time, then the marker
+    for i, part in enumerate([e.where("idx < 1000"), e.where("idx >= 1000 AND idx < 2000"), e.where("idx >= 2000"), end]):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = J.top_segments(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), ["g"], "idx")
+    got = sorted((r.g, r.seg, round(r.score, 9), r.frame_count, r.best) for r in J.run_to_files(s, str(tmp_path / "out")).collect())
+    want = []
+    p = e.selectExpr("g", "idx", "unix_millis(ts) div 5000 AS seg", "score").toPandas()
+    for (g, seg), part in p.groupby(["g", "seg"]):
+        top = part.sort_values(["score", "idx"], ascending=[False, True]).head(3)
+        want.append((g, seg, round(top.score.mean(), 9), len(part), int(top.idx.iloc[0])))
+    assert got == sorted(want)
