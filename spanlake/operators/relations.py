@@ -39,6 +39,7 @@ def entity_mention(texts: DataFrame, entities: DataFrame) -> DataFrame:
     Texts and names meet on short runs of letters: a text lists its distinct runs of RUN letters (and of fewer, where a name is
     shorter), a name only the one of its runs that the fewest texts have. So a text of n letters is shuffled as RUN * n short rows at most,
     however many lengths the names have; a name with a run that no text has meets none. Whoever meets is compared in full.
+    Files tell little of how large texts are in memory, so neither they nor their runs are broadcast.
     """
     names = entities.select("entity_id", "name", casefold("name").alias("__s")).where("__s <> ''")
     sizes = sorted(names.agg(F.collect_set(F.least(F.length("__s"), F.lit(RUN)))).first()[0])  # three numbers at most
@@ -49,11 +50,13 @@ def entity_mention(texts: DataFrame, entities: DataFrame) -> DataFrame:
 
     every = [F.when(F.length("__t") >= n, runs("__t", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
     listed = t.select("query_id", F.explode(F.array_distinct(F.concat(*every))).alias("__r")) if sizes else t.select("query_id", F.lit("").alias("__r")).limit(0)
-    n_texts = listed.groupBy("__r").agg(F.count("*").alias("__df"))
+    n_texts = listed.groupBy("__r").agg(F.count("*").alias("__df")).hint("merge")
     own = names.select("entity_id", "name", "__s", F.explode(F.array_distinct(runs("__s", F.least(F.length("__s"), F.lit(RUN))))).alias("__r")).join(n_texts, "__r", "left")
     rarest = own.groupBy("entity_id", "name", "__s").agg(F.min_by("__r", F.struct("__df", "__r")).alias("__r"), F.count_if(F.col("__df").isNull()).alias("__none"))
-    met = listed.join(rarest.where("__none = 0").drop("__none"), "__r").select("query_id", "entity_id", "name", "__s")
-    hits = met.join(t, "query_id").where(F.contains("__t", F.col("__s")))
+    rarest = rarest.where("__none = 0").drop("__none")
+    few = listed.join(rarest.select("__r").distinct(), "__r", "left_semi")
+    met = few.hint("merge").join(rarest, "__r").select("query_id", "entity_id", "name", "__s")
+    hits = met.hint("merge").join(t.hint("merge"), "query_id").where(F.contains("__t", F.col("__s")))
     return top_k(hits, ["query_id"], [F.desc(F.length("name")), F.asc("name"), F.asc("entity_id")], 1).select("query_id", "entity_id", "name")
 
 

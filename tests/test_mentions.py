@@ -1,6 +1,9 @@
 """Names in texts against a search of every name in every text."""
 import random
 
+import pytest
+
+from spanlake.catalogue import all_queries
 from spanlake.operators.relations import entity_mention
 
 
@@ -25,3 +28,12 @@ def test_rows_do_not_grow_with_the_lengths_of_names(spark):
     df = entity_mention(texts, names)
     assert df.collect()[0].name == text[:199]
     assert entity_mention(texts, names.limit(0)).collect() == [] and entity_mention(texts.limit(0), names).collect() == []
+
+
+@pytest.mark.parametrize("name", ["entity_mention", "resolve_entity_vector", "classify_query_identity"])
+def test_no_rows_of_texts_are_broadcast(spark, name):
+    """Of the rows of texts and of what is one row a text, no small file makes a broadcast."""
+    df = all_queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    sent = [b for b in plan.split("\n\n") if "BroadcastExchange" in b.split("\n")[0] and "Input" in b]
+    assert not [b for b in sent if "query_id" in b]
