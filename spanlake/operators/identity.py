@@ -282,7 +282,7 @@ def resolve_entity_vector(texts: DataFrame, entities: DataFrame, samples: DataFr
     from .aggregates import vector_mean
     m = entity_mention(texts, entities)
     wanted = samples.join(m.select("entity_id").distinct(), "entity_id", "left_semi")
-    return m.join(vector_mean(wanted, ["entity_id"], out="vec"), "entity_id")
+    return m.hint("merge").join(vector_mean(wanted, ["entity_id"], out="vec"), "entity_id")
 
 
 def identity_gallery(groups: DataFrame, pointers: DataFrame, bindings: DataFrame | None = None, limit: int = 24,
