@@ -79,7 +79,7 @@ def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None,
     if "decision" not in have:
         m = m.withColumn("decision", F.lit("hit"))
     ev_cols = evidence or ["modality", "score", "start_time", "end_time", "unit_id"]
-    ranked = F.when(F.col("best_ms").isNotNull(), F.struct(F.col("score"), -F.col("start_time"), F.col("best_ms")))
+    ranked = F.when(F.col("best_ms").isNotNull(), F.struct(F.col("score"), -F.col("start_time"), -F.col("best_ms")))  # of equals the first
     g1 = m.groupBy(*by, "modality").agg(
         F.greatest(F.lit(-1.0), F.max("score")).alias("best"), F.min("start_time").alias("s"), F.max("end_time").alias("e"),
         F.bool_or("above_threshold").alias("a"), F.min(decision_rank()).alias("d"), F.max(ranked).alias("r"),
@@ -93,7 +93,7 @@ def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None,
         F.bool_or("a").alias("above_threshold"), F.min("d").alias("__d"), F.max("r").alias("__r"),
         F.array_sort(F.flatten(F.collect_list("ev"))).alias("evidence"))
     fallback = F.greatest(F.lit(0), F.bround(F.col("start_time") * 1000).cast("long"))
-    return g2.withColumns({"decision": decision_name(F.col("__d")), "best_ms": F.coalesce(F.col("__r.best_ms"), fallback)}).drop("__d", "__r")
+    return g2.withColumns({"decision": decision_name(F.col("__d")), "best_ms": F.coalesce(-F.col("__r.col3"), fallback)}).drop("__d", "__r")
 
 
 # --- vectors ----------------------------------------------------------------------------------

@@ -1,7 +1,9 @@
 """No hidden caps and switches: what one input of unusual size or shape must give."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanlake.operators.aggregates import group_rollup
 from spanlake.operators.identity import density_fallback
 from spanlake.operators.knn import knn_join
 from spanlake.operators.windows import profile_cap
@@ -70,3 +72,23 @@ def test_status_is_each_videos_own(spark):
 def test_no_collapsed_video(spark):
     w = spark.createDataFrame([(1, i, i % 2, [1.0, float(i)]) for i in range(50)], "video_id bigint, idx bigint, label bigint, embedding array<float>")
     assert density_fallback(w, ["video_id"]).collect() == []
+
+
+def test_texts_that_are_not_empty_have_unit_vectors():
+    """Also those whose words cancel out, and white space that trim() leaves."""
+    import zlib
+    by: dict[tuple[int, bool], str] = {}
+    for i in range(400):
+        h = zlib.crc32(f"w{i}".encode())
+        by[h % 8, bool(h & 0x10000)] = f"w{i}"
+    pair = f"{by[3, True]} {by[3, False]}"
+    norms = np.linalg.norm(hashing_encoder(8)([pair, "\t\n", " ", "a b c", ""]), axis=1)
+    assert norms.round(6).tolist() == [1, 1, 1, 1, 0]
+
+
+def test_group_rollup_takes_the_first_of_equal_moments(spark):
+    """Equal score and start: the smallest moment, in any order of the rows."""
+    rows = [(1, "visual", i, 5.0, 6.0, 0.5, i) for i in (7, 3, 9)] + [(1, "asr", 4, 5.0, 6.0, 0.5, 4)]
+    for r in (rows, rows[::-1]):
+        d = spark.createDataFrame(r, "query_id long, modality string, unit_id long, start_time double, end_time double, score double, best_ms long")
+        assert [x.best_ms for x in group_rollup(d, ["query_id"]).collect()] == [3]
