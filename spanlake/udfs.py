@@ -15,13 +15,19 @@ from .operators.transcript import LONG_MS, punctuation_spans
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
-    """Deterministic stand-in for a text model: signed feature hashing of words, unit length."""
+    """Deterministic stand-in for a text model: signed feature hashing of words, unit length.
+
+    Where the words cancel out, or a text is white space, the whole text counts as one word; only an empty text has no direction.
+    """
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for i, text in enumerate(texts):
             for word in (text or "").lower().split():
                 h = zlib.crc32(word.encode())
                 out[i, h % dim] += 1.0 if h & 0x10000 else -1.0
+            if text and not out[i].any():
+                h = zlib.crc32(text.encode())
+                out[i, h % dim] = 1.0 if h & 0x10000 else -1.0
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode
