@@ -21,6 +21,8 @@ from . import common as C
 SAMPLE_TEXTS, SAMPLE_CHARS = 32, 512
 #: Symbols after which a phrase ends in any case, so that the pieces of a text can be parsed side by side.
 PIECE = 256
+#: Bytes of text that are parsed at once; working arrays take some hundred times as much.
+SLICE = 500_000
 #: Sharpness of the score.
 SHARP = 6.0
 SPACE, STRANGE, FIRST = 0, 1, 2
@@ -164,7 +166,7 @@ def _scored(sample, name: str):
     def run(batches):
         parser = _parser(sample)
         for batch in batches:
-            for part in C.slices(batch, name):
+            for part in C.slices(batch, name, SLICE):
                 texts = [t or "" for t in part.column(name).to_pylist()]
                 langs, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if parser.langs:

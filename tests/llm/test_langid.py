@@ -87,3 +87,13 @@ def test_many_scripts(spark):
     rows = L.identify(docs, sample).collect()
     assert all(r.lang == r.lang_pred for r in rows) and max(r.rate for r in rows) < 12
     assert L.keep_known(docs, sample).count() == docs.count()
+
+
+def test_slices_change_no_result(monkeypatch):
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"text": ["the dog sat", None, "der hund", "", "xyz " * 200, "12"] * 5})
+    got = []
+    for size in (40, L.SLICE):
+        monkeypatch.setattr(L, "SLICE", size)
+        got.append([r for b in L._scored(SAMPLE, "text")([batch]) for r in b.to_pylist()])
+    assert got[0] == got[1] and len(got[0]) == 30
