@@ -62,6 +62,10 @@ def semantic_arrays(chunks: DataFrame, key: list[str], encode, enabled: bool = T
 DETECTIONS = "array<struct<text:string,score:double,left:double,top:double,right:double,bottom:double>>"
 
 
+#: Bytes of content whose boxes are held at once.
+DETECT_BYTES = 1_000_000
+
+
 def detect(files: DataFrame, key: list[str], load: Callable[[], Callable[[bytes], list[dict]]], content: str = "content") -> DataFrame:
     """Run a detector over binary rows: one array of boxes per row."""
     kinds = ", ".join(f"{k} {files.schema[k].dataType.simpleString()}" for k in key)
@@ -69,7 +73,9 @@ def detect(files: DataFrame, key: list[str], load: Callable[[], Callable[[bytes]
     def run(batches):
         model = load()
         for pdf in batches:
-            yield pd.DataFrame({**{k: pdf[k] for k in key}, "boxes": [model(b) for b in pdf[content]]})
+            part = np.cumsum([len(b) if b is not None else 0 for b in pdf[content]]) // DETECT_BYTES
+            for _, d in pdf.groupby(part, sort=False):
+                yield pd.DataFrame({**{k: d[k] for k in key}, "boxes": [model(b) for b in d[content]]})
 
     return files.select(*key, content).mapInPandas(run, f"{kinds}, boxes {DETECTIONS}")
 

@@ -92,3 +92,18 @@ def test_group_rollup_takes_the_first_of_equal_moments(spark):
     for r in (rows, rows[::-1]):
         d = spark.createDataFrame(r, "query_id long, modality string, unit_id long, start_time double, end_time double, score double, best_ms long")
         assert [x.best_ms for x in group_rollup(d, ["query_id"]).collect()] == [3]
+
+
+def test_boxes_of_few_files_are_held_at_once(spark):
+    """A batch of large files comes back in several frames, in order and whole."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from spanlake.udfs import detect
+    got = []
+    files = SimpleNamespace(schema=spark.range(1).schema, select=lambda *c: SimpleNamespace(mapInPandas=lambda run, kinds: got.append(run)))
+    detect(files, ["id"], lambda: lambda b: [len(b)])
+    sizes = [400_000] * 8 + [0, 3_000_000, 1]
+    out = list(got[0]([pd.DataFrame({"id": range(11), "content": [b"x" * n for n in sizes]})]))
+    assert len(out) > 3 and [x for d in out for x in d["id"]] == list(range(11)) and [x for d in out for x in d["boxes"]] == [[n] for n in sizes]
