@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Terms are the words of the benchmark and its answers (lower-cased, without punctuation) with document frequencies over all
-documents. A randomised SVD, of which every product with the passage matrix is a distributed sum over the
-passages, gives a latent space of TF-IDF passages. Each window of each document is projected into it; a window
+documents. A randomised SVD gives a latent space of the TF-IDF passages of all documents: the product of their Gram matrix
+with a random test matrix, a distributed sum over the passages, stands for that matrix (Nystroem). Each window of each document is projected into it; a window
 near a benchmark item (cosine) is a candidate, and a candidate is a leak if the item's words occur in order
 around the window (longest common subsequence) and the item's answer does too. Windows are as long as the item's
 length class asks; long items are looked for by several passages, any of which makes the whole item a candidate.
 
-The norm of a window counts all its words; those that are no terms weigh alike, by their mean squared idf in the
-fitted sample. A window's cosine is at most the share of its norm that terms have, so windows below the threshold
+The norm of a window counts all its words; those that are no terms weigh alike, by their mean squared idf over
+all documents. A window's cosine is at most the share of its norm that terms have, so windows below the threshold
 by that share need no projection.
 """
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ from . import common as C
 ITEMS = 200
 #: Results of blocks that are joined into one before more are added.
 UNION = 32
-#: Expected documents in the sample that the latent space is fitted on, beside the benchmark itself.
-FIT_DOCS = 2_000
 RANK, POWER = 256, 2
+#: Ranges of terms that a sum over the passages is put together by.
+RANGES = 16
 WINDOW, STRIDE = 32, 16
 #: Longest item, in words, for windows of so many words (their stride is half of that); other items have WINDOW.
 SHORT = {4: 6, 8: 12}
@@ -105,36 +106,51 @@ class Bench:
         return n - row.bit_count()
 
 
-def _frequencies(bench: Bench):
-    def run(batches):
-        df, n = np.zeros(len(bench.vocab), np.int64), 0
-        for batch in batches:
-            for part in C.slices(batch, "text"):
-                words, at = _words(part.column("text"))
-                terms = bench.terms(words)
-                doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[terms >= 0]
-                seen = np.unique(doc * len(bench.vocab) + terms[terms >= 0])
-                df += np.bincount(seen % max(1, len(bench.vocab)), minlength=len(bench.vocab))
-            n += batch.num_rows
-        there = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1), pa.int64()), pa.array(np.append(df[there], n), pa.int64())], ["term", "n"])
-    return run
-
-
-def _strange(bench: Bench):
-    """Every word that is no term, with its occurrences in a document; and a null with the number of documents."""
-    vocab = bench.vocab
-
-    def run(batches):
-        for batch in batches:
-            for part in C.slices(batch, "text"):
-                words, at = _words(part.column("text"))
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part.num_rows], pa.int64())], ["word", "n"])
-                for a, b in zip(at, at[1:]):
-                    w, n = np.unique(words[a:b], return_counts=True)
-                    odd = ~np.isin(w, vocab)
-                    yield pa.RecordBatch.from_arrays([pa.array(w[odd].view(np.int64)), pa.array(n[odd], pa.int64())], ["word", "n"])
-    return run
+def _counts(batches):
+    """(word, df, n): every word of a slice with its documents and occurrences there; and a null with the number of documents."""
+    for batch in batches:
+        for part in C.slices(batch, "text"):
+            words, at = _words(part.column("text"))
+            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            order = np.lexsort((doc, words))
+            words, doc = words[order], doc[order]
+            new = np.ones(len(words), bool)
+            new[1:] = words[1:] != words[:-1]
+            apart = new.copy()
+            apart[1:] |= doc[1:] != doc[:-1]
+            first = np.flatnonzero(new)
+            df = np.add.reduceat(apart, first, dtype=np.int64) if len(first) else first
+            n = np.diff(np.append(first, len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([part.num_rows], pa.int64()), pa.array([0], pa.int64())], ["word", "df", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(df, pa.int64()), pa.array(n, pa.int64())], ["word", "df", "n"])
+
+
+class Counts:
+    """Document frequencies and occurrences of all words of all documents, counted in one pass for all blocks."""
+
+    def __init__(self, docs: DataFrame):
+        counted = docs.mapInArrow(_counts, "word bigint, df bigint, n bigint").groupBy("word").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+        self.words = C.cut(counted)
+        log = F.log(1 + F.col("df"))
+        known = F.col("word").isNotNull()
+        self.n_docs, *sums = self.words.agg(
+            F.max(F.when(~known, F.col("df"))), *[F.sum(F.when(known, F.col("n") * log ** i)) for i in range(3)]).first()
+        self.n_docs, self.sums = self.n_docs or 0, np.array([x or 0.0 for x in sums])
+
+    def of(self, vocab: np.ndarray) -> tuple[np.ndarray, float]:
+        """Document frequencies of ``vocab``, and the root of the mean squared idf of all words that are not in it, which no corpus size moves."""
+        df, n = np.zeros(len(vocab)), np.zeros(len(vocab))
+        spark = self.words.sparkSession
+        mine = spark.createDataFrame(pa.table({"word": pa.array(vocab.view(np.int64))}))
+        for word, d, k in self.words.join(mine, "word").collect():
+            i = np.searchsorted(vocab, np.array([word]).view(np.uint64))[0]
+            df[i], n[i] = d, k
+        # sum n (log(1 + N) - log(1 + df))^2 over the other words
+        rest = self.sums - [(n * np.log(1 + df) ** i).sum() for i in range(3)]
+        top = float(np.log(1 + self.n_docs))
+        if rest[0] < 0.5:
+            return df, top or 1.0
+        return df, float(np.sqrt(max(0.0, top * top - 2 * top * rest[1] / rest[0] + rest[2] / rest[0])))
 
 
 def _windows(terms: np.ndarray, at: np.ndarray, size: int = WINDOW, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +174,31 @@ def _sums(rows: np.ndarray, terms: np.ndarray, first: np.ndarray, last: np.ndarr
     return out
 
 
+def _add_back(total: np.ndarray, y: np.ndarray, terms: np.ndarray, place: np.ndarray):
+    """Adds to the row of each term the rows of ``y`` of the windows that it stands in (``place``, once for each
+    occurrence): those of frequent terms as a matrix product, of the others first occurrences, then second ones, and so on."""
+    known = np.flatnonzero(terms >= 0)
+    t, w = terms[known], place[known]
+    dense = np.flatnonzero(np.bincount(t, minlength=len(total)) * 16 > len(y))
+    slot = np.full(len(total), -1)
+    slot[dense] = np.arange(len(dense))
+    at = slot[t]
+    counts = np.bincount(at[at >= 0] * len(y) + w[at >= 0], minlength=len(y) * len(dense)).reshape(len(dense), len(y))
+    total[dense] += counts.astype(np.float32) @ y
+    t, w = t[at < 0], w[at < 0]
+    order = np.argsort(t, kind="stable")
+    t, w = t[order], w[order]
+    start = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else t
+    turn = np.arange(len(t)) - np.repeat(start, np.diff(np.append(start, len(t))))
+    order = np.argsort(turn, kind="stable")
+    t, w = t[order], w[order]
+    end = np.cumsum(np.bincount(turn))
+    for a, b in zip(np.append(0, end), end):
+        total[t[a:b]] += y[w[a:b]]
+
+
 def _product(bench: Bench, test: np.ndarray):
-    """The sum over passages of x (x . test), the products that a randomised SVD needs, in one row per task."""
+    """The sum over passages of x (x . test), the product that a randomised SVD needs, in a row for each task and range of terms."""
     def run(batches):
         total = np.zeros(test.shape, np.float32)
         rows = (test * bench.idf[:, None]).astype(np.float32)
@@ -167,32 +206,55 @@ def _product(bench: Bench, test: np.ndarray):
             for part in C.slices(batch, "text", 200_000):
                 words, at = _words(part.column("text"))
                 terms = bench.terms(words)
-                _, first, last = _windows(terms, at)
+                _, first, last = _windows(terms, at, WINDOW, WINDOW)
                 if not len(first):
                     continue
                 y = _sums(rows, terms, first, last)
-                grid = first[:, None] + np.arange(WINDOW)
-                ok = grid < last[:, None]
-                t = np.where(ok, terms[np.minimum(grid, len(terms) - 1)], -1)
-                w, j = np.nonzero(t >= 0)
-                np.add.at(total, t[w, j], y[w])
-        yield pa.RecordBatch.from_arrays([pa.array([(total * bench.idf[:, None]).astype(np.float32).tobytes()], pa.binary())], ["total"])
+                _add_back(total, y, terms, np.repeat(np.arange(len(first)), last - first))  # passages follow one another
+        total *= bench.idf[:, None].astype(np.float32)
+        parts = np.array_split(total, RANGES)
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array([TaskContext.get().partitionId()] * RANGES, pa.int32()),
+                                          pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "task", "total"])
     return run
 
 
-def _fit(bench: Bench, sample: DataFrame):
-    """The leading right singular space of the passages of sample and benchmark, the benchmark counting most."""
+def _added(batches):
+    """The sum of all tasks for each range, in their order."""
+    part, total = None, None
+    for batch in batches:
+        for p, blob in zip(batch.column("part").to_pylist(), batch.column("total")):
+            x = np.frombuffer(blob.as_buffer(), np.float32)
+            if p != part:
+                if part is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+                part, total = p, np.zeros(len(x))
+            total += x
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+
+
+def _gram(bench: Bench, docs: DataFrame, test: np.ndarray) -> np.ndarray:
+    """B such that B B' stands for the Gram matrix of the terms over all passages of ``docs``: G test (test' G test)^-1 test' G."""
+    sums = docs.mapInArrow(_product(bench, test), "part int, task int, total binary").repartition(RANGES, "part").sortWithinPartitions("part", "task")
+    found = sorted(sums.mapInArrow(_added, "part int, total binary").collect())
+    total = np.concatenate([np.frombuffer(x, np.float64) for _, x in found]).reshape(test.shape) if found else np.zeros(test.shape)
+    inner = test.T.astype(np.float64) @ total
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2)
+    good = values > 1e-6 * max(values.max(initial=0), 1e-12)
+    return total @ (vectors[:, good] / np.sqrt(values[good]))
+
+
+def _fit(bench: Bench, docs: DataFrame):
+    """The leading right singular space of the passages of documents and benchmark, the benchmark counting most."""
     n_terms = len(bench.vocab)
     rank = min(max(RANK, len(bench.passages) * 5 // 4), n_terms)  # blocks are dealt by hash, some are larger
     rng = np.random.default_rng(7)
     basis = np.linalg.qr(rng.standard_normal((n_terms, rank)))[0].astype(np.float32)
     own = [(i, np.bincount(i, minlength=n_terms)[np.unique(i)] * bench.idf[np.unique(i)]) for _, i in bench.passages]
     own = [(np.unique(i), x) for i, x in own]
+    root = _gram(bench, docs, basis)
     for _ in range(POWER):
-        blobs = sample.mapInArrow(_product(bench, basis), "total binary").collect()
-        total = np.zeros((n_terms, rank), np.float64)
-        for b in blobs:
-            total += np.frombuffer(b[0], np.float32).reshape(n_terms, rank)
+        total = root @ (root.T @ basis)
         scale = np.linalg.norm(total)
         mine = np.zeros_like(total)
         for t, x in own:
@@ -247,20 +309,6 @@ def _hits(bench: Bench, column: pa.Array):
     return [(d, item, *x) for (d, item), x in best.items()]
 
 
-def _strange_weight(bench: Bench, sample: DataFrame, default: float) -> float:
-    """The root of the mean squared idf of the words of the sample that are no terms, which no corpus size moves."""
-    words = sample.mapInArrow(_strange(bench), "word bigint, n bigint").groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
-    n_docs = F.max(F.when(F.col("word").isNull(), F.col("n")))
-    odd = F.col("word").isNotNull()
-    # sum n (log(1 + N) - log(1 + df))^2, with N known at the end
-    log = F.log(1 + F.col("df"))
-    r = words.agg(n_docs, F.sum(F.when(odd, F.col("n"))), F.sum(F.when(odd, F.col("n") * log)), F.sum(F.when(odd, F.col("n") * log * log))).first()
-    if not r[1]:
-        return default
-    top = float(np.log(1 + r[0]))
-    return float(np.sqrt(max(0.0, top * top - 2 * top * r[2] / r[1] + r[3] / r[1])))
-
-
 def _source(benchmark: DataFrame) -> tuple[DataFrame, int]:
     """Items with answers, and the number of blocks that they make."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -277,23 +325,17 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str = "text"):
     """
     src, parts = _source(benchmark)
     d = docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
-    sample = None
+    counts = None
     for p in range(parts):
         rows = sorted(src.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect(), key=str)
         rows = [r for r in rows if len(_words(pa.array([r[1]], pa.large_string()))[0])]
         if not rows:
             continue
         bench = Bench([r[0] for r in rows], [r[1] for r in rows], [r[2] or _sentence_tail(r[1]) for r in rows])
-        found = d.mapInArrow(_frequencies(bench), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        n_docs = sum(r[1] for r in found if r[0] < 0)
-        df = np.zeros(len(bench.vocab))
-        for r in found:
-            if r[0] >= 0:
-                df[r[0]] = r[1]
-        if sample is None:
-            sample = C.cut(d.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(max(1, n_docs // FIT_DOCS))) == 0).repartition(8))
-        bench.weigh(df, n_docs, _strange_weight(bench, sample, float(np.log(1 + n_docs)) or 1.0))
-        bench.project(_fit(bench, sample))
+        counts = counts or Counts(d)
+        df, strange = counts.of(bench.vocab)
+        bench.weigh(df, counts.n_docs, strange)
+        bench.project(_fit(bench, d))
         yield bench, parts > 1
 
 

@@ -124,3 +124,28 @@ def test_items_of_every_length(spark):
     for k in range(4):
         here = {x for x in want if x[0] // 1000 == k}
         assert len(got & here) >= 0.9 * len(here), (k, len(got & here), len(here))
+
+
+def test_weights_count_every_document(spark):
+    """Frequencies, the weight of other words and the Gram matrix agree with brute force over all documents."""
+    docs = ["alpha beta beta", "alpha odd odd odd odd", "", "rare Alpha, gamma"] + ["odd strange alpha"] * 9 + [" ".join(f"w{i % 7} alpha gamma" for i in range(40))]
+    rows = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
+    bench = D.Bench([1], ["alpha beta gamma delta"], [""])
+    counts = D.Counts(rows)
+    df, strange = counts.of(bench.vocab)
+    split = [t.lower().replace(",", "").split() for t in docs]
+    name = {int(D._words(pa.array([w], pa.large_string()))[0][0]): w for w in ("alpha", "beta", "gamma", "delta")}
+    assert counts.n_docs == len(docs)
+    assert [sum(name[int(v)] in set(t) for t in split) for v in bench.vocab] == df.tolist()
+    idf = lambda w: np.log((1 + len(docs)) / (1 + sum(w in t for t in split)))
+    other = [idf(w) ** 2 for t in split for w in t if w not in name.values()]
+    assert abs(strange - np.sqrt(np.mean(other))) < 1e-9
+
+    bench.weigh(df, counts.n_docs, strange)
+    root = D._gram(bench, rows, np.eye(len(bench.vocab), dtype=np.float32))
+    want = np.zeros((len(bench.vocab),) * 2)
+    for t in split:
+        for a in range(0, len(t), D.WINDOW):
+            x = np.array([t[a:a + D.WINDOW].count(name[int(v)]) for v in bench.vocab]) * bench.idf
+            want += np.outer(x, x)
+    assert np.allclose(root @ root.T, want, rtol=1e-4, atol=1e-4)
