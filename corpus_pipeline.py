@@ -11,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlake.llm import common, decontam, langid, mixing, setjoin, unitdedup
-from spanlake.session import shared_dir
+from spanlake.session import bound_batches, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages."""
+    bound_batches(spark)
     return langid.keep_known(docs, langid.labelled_sample(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    bound_batches(spark)
     return setjoin.keep_one(docs, k=5, num=8, den=10)
 
 
 def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines and sentences that an earlier one has; those of which no word is left go."""
+    bound_batches(spark)
     cut = unitdedup.dedup_units(docs)
     left = F.col("text").isNull() | (F.size("cut") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return cut.where(left).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
@@ -33,6 +36,7 @@ def repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    bound_batches(spark)
     return decontam.drop_leaks(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -107,3 +107,29 @@ def test_boxes_of_few_files_are_held_at_once(spark):
     sizes = [400_000] * 8 + [0, 3_000_000, 1]
     out = list(got[0]([pd.DataFrame({"id": range(11), "content": [b"x" * n for n in sizes]})]))
     assert len(out) > 3 and [x for d in out for x in d["id"]] == list(range(11)) and [x for d in out for x in d["boxes"]] == [[n] for n in sizes]
+
+
+def test_python_batches_are_bounded_in_bytes(spark):
+    """Long rows reach Python in batches of few rows; a bound that the session sets itself stays."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from spanlake import session
+    from spanlake.catalogue.views import Views
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.pandas_udf("long")
+    def size(s: pd.Series) -> pd.Series:
+        return pd.Series([s.str.len().sum()] * len(s))
+
+    rows = spark.range(3000, numPartitions=1).select(F.expr("repeat('x', 10000)").alias("t"))
+    spark.conf.unset(key)
+    try:
+        Views(spark, "")
+        assert rows.select(size("t").alias("n")).agg(F.max("n")).first()[0] <= 1.1 * session.BATCH_BYTES
+        spark.conf.set(key, "1000")
+        Views(spark, "")
+        assert spark.conf.get(key) == "1000"
+    finally:
+        spark.conf.unset(key)
