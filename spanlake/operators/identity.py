@@ -107,44 +107,56 @@ def track_detections(df: DataFrame, keys: list[str] | None = None, fps: float =
 
 # --- clustering -------------------------------------------------------------------------------
 
+#: Members of a group that a track is compared with at once.
+MEMBERS = 4096
+
+
 def cluster_identities(tracks: DataFrame, keys: list[str] | None = None, cos: float = 0.52) -> DataFrame:
     """Adds ``group_seq``: tracks in time order join the group maximising min(cosine to centroid,
     best cosine to a member) when that reaches ``cos``, else they open a group.
 
     Each decision depends on all earlier ones of the same video, so a video is one stream; its state is
-    the vectors seen so far, as one matrix, and every track costs one matrix-vector product.
+    the vectors seen so far, as one matrix for each group. No score exceeds the cosine to the centroid, so a track is
+    compared with the members of those groups only whose centroid can still win, and with no more of them once one is as close.
     """
     keys = keys or ["video_id"]
 
     def fold(rows):
-        vectors = np.empty((64, 0))
-        owner = np.empty(64, dtype=np.int64)
-        n, sums, centroids = 0, [], np.empty((0, 0))
+        sums, centroids, members, sizes = [], np.empty((0, 0)), [], []
         for r in rows:
             v = _unit(r["embedding"])
-            if n == 0:
-                vectors = np.empty((64, len(v)))
-                centroids = np.empty((0, len(v)))
-            best = -1
-            if n:
-                sims = vectors[:n] @ v
-                member = np.full(len(sums), -np.inf)
-                np.maximum.at(member, owner[:n], sims)
-                score = np.minimum(centroids @ v, member)
-                top = int(np.argmax(score))
-                best = top if score[top] >= cos else -1
+            if not sums:
+                centroids = np.empty((64, len(v)))
+            near = centroids[:len(sums)] @ v
+            may = np.flatnonzero(near >= cos)
+            best, score = -1, cos
+            for g in may[np.argsort(-near[may], kind="stable")].tolist():
+                if near[g] < score:
+                    break
+                member = -np.inf
+                for i in range(0, sizes[g], MEMBERS):
+                    member = max(member, float((members[g][i:min(i + MEMBERS, sizes[g])] @ v).max()))
+                    if member >= near[g]:
+                        break
+                found = min(float(near[g]), member)
+                if found > score or found == score and (best < 0 or g < best):
+                    best, score = g, found
             w = max(r["quality"] if r["quality"] is not None else 0.5, 0.1)
             if best < 0:
                 best = len(sums)
+                if best == len(centroids):
+                    centroids = np.vstack([centroids, np.empty_like(centroids)])
                 sums.append(w * v)
-                centroids = np.vstack([centroids, v])
+                centroids[best] = v
+                members.append(v[None])
+                sizes.append(1)
             else:
                 sums[best] = sums[best] + w * v
                 centroids[best] = _unit(sums[best])
-            if n == len(owner):
-                vectors, owner = np.vstack([vectors, np.empty_like(vectors)]), np.concatenate([owner, np.empty_like(owner)])
-            vectors[n], owner[n] = v, best
-            n += 1
+                if sizes[best] == len(members[best]):
+                    members[best] = np.vstack([members[best], np.empty_like(members[best])])
+                members[best][sizes[best]] = v
+                sizes[best] += 1
             yield {"track_idx": r["track_idx"], "group_seq": best}
 
     slim = tracks.select(*keys, "track_idx", "start_ms", "quality", "embedding")

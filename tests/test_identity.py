@@ -113,3 +113,38 @@ def test_matching_is_maximum(spark, seed):
         usable = [e for e in edges if e[0] <= k]
         best = max(n for n in range(len(usable) + 1) for c in itertools.combinations(usable, n) if len({a for a, _ in c}) == n == len({b for _, b in c}))
         assert got[k] == best
+
+
+def test_groups_of_one_track_are_not_copied_again_and_again(spark, monkeypatch):
+    """Many groups: rows are moved a few times at most, and every choice is that of brute force."""
+    import numpy as np
+
+    from spanlake.operators import identity as D
+
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([rng.standard_normal((900, 24)), np.repeat(rng.standard_normal((8, 24)), 40, 0) + 0.6 * rng.standard_normal((320, 24))])
+    vectors = vectors[rng.permutation(len(vectors))]
+    rows = [{"track_idx": i, "embedding": v.tolist(), "quality": (i * 7 % 11) / 10} for i, v in enumerate(vectors)]
+    folds = []
+    df = spark.createDataFrame([(0, 0, 0, 0.5, [1.0])], "video_id bigint, track_idx bigint, start_ms bigint, quality double, embedding array<double>")
+    whole = D.fold_sorted
+    monkeypatch.setattr(D, "fold_sorted", lambda *a: folds.append(a[3]) or whole(*a))
+    D.cluster_identities(df)
+    moved = []
+    stack = np.vstack
+    monkeypatch.setattr(np, "vstack", lambda parts: moved.append(sum(len(p) for p in parts)) or stack(parts))
+    got = [r["group_seq"] for r in folds[0](iter(rows))]
+    assert sum(moved) <= 8 * len(rows)
+
+    groups, want = [], []
+    for r in rows:
+        v = D._unit(r["embedding"])
+        score = [min(float(D._unit(s) @ v), max(float(m @ v) for m in ms)) for s, ms in groups]
+        best = int(np.argmax(score)) if score and max(score) >= 0.52 else len(groups)
+        w = max(r["quality"], 0.1)
+        if best == len(groups):
+            groups.append((w * v, [v]))
+        else:
+            groups[best] = (groups[best][0] + w * v, [*groups[best][1], v])
+        want.append(best)
+    assert got == want and 100 < len(groups) < len(rows) - 100
