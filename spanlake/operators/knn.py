@@ -69,28 +69,32 @@ def partial_top_k(scores: np.ndarray, groups: np.ndarray, k: int, floor: np.ndar
     """(query row, unit row) of every score that can still be in its group's top k; ties at the edge stay.
 
     ``floor``: a bar for each query row. ``edges``: the best k scores that earlier calls saw, by ``name`` of a group's
-    first row; kept up in place, for as many groups as MAX_CELLS scores allow. A score that is not a number passes every bar.
+    first row; kept up in place, for as many groups as MAX_CELLS scores allow. Groups of ``k`` rows and fewer gather theirs
+    call by call where a call has few groups. A score that is not a number passes every bar.
     """
     order = np.argsort(groups, kind="stable")
     bounds = np.flatnonzero(np.diff(groups[order])) + 1
     room = MAX_CELLS // max(1, scores.shape[0] * k) if edges is not None else 0
+    gather = len(bounds) < room // 4
     q_out, u_out = [], []
     for members in np.split(order, bounds):
         if len(members) == 0:
             continue
         part, edge = scores[:, members], floor
-        key = name(members[0]) if room and (edges or len(members) > k) else None
+        key = name(members[0]) if room and (gather or edges or len(members) > k) else None
         seen = edges.get(key) if room else None
-        if len(members) > k or seen is not None:
+        if len(members) > k or seen is not None or gather:
             best = np.where(np.isnan(part), -np.inf, part)
             best = best if seen is None else np.concatenate([seen, best], axis=1)
-            best = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
+            if best.shape[1] > k:
+                best = np.partition(best, best.shape[1] - k, axis=1)[:, -k:]
             if room:
                 if len(edges) >= room and seen is None:
                     edges.clear()
                 edges[key] = best
-            own = best.min(axis=1)
-            edge = own if edge is None else np.maximum(edge, own)
+            if best.shape[1] == k:
+                own = best.min(axis=1)
+                edge = own if edge is None else np.maximum(edge, own)
         if edge is None:
             q_out.append(np.repeat(np.arange(scores.shape[0]), len(members)))
             u_out.append(np.tile(members, scores.shape[0]))

@@ -29,13 +29,19 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokenize(text))).alias("term"))
 
 
-def corpus_stats(units: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(units: DataFrame, terms: DataFrame, text: str = "text", few: bool = False) -> DataFrame:
     """One pass over ``units``: df of every query term, and on the row of the empty term the number of
-    documents and their total length. No document is shuffled, only (term, count) pairs."""
+    documents and their total length. No document and no term of one is shuffled, only a task's (term, count) pairs.
+
+    ``few``: the terms may travel with the tasks; otherwise all terms are counted before they meet those of the queries.
+    """
     docs = units.select(tokenize(text).alias("t"))
     rows = docs.select(F.size("t").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit("")))).alias("term"))
     wanted = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
-    return rows.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+    if few:
+        rows = rows.join(F.broadcast(wanted), "term", "left_semi")
+    counts = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("dl"))
+    return counts if few else counts.join(wanted, "term", "left_semi")
 
 
 def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("video_id",), keep=("segment_idx",), text: str = "text",
@@ -44,9 +50,9 @@ def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("vide
     by, keep = tuple(by), tuple(keep)
     units = units.select(*by, *keep, text)
     terms = query_terms(queries, text)
-    stats = cut_lineage(corpus_stats(units, terms, text))
     order = [F.desc("score"), *[F.col(c) for c in keep]]
     head = terms.limit(max_task_terms + 1).toArrow()
+    stats = cut_lineage(corpus_stats(units, terms, text, head.num_rows <= max_task_terms))
     ids = head.column("query_id").unique()
     if head.num_rows > max_task_terms or len(head.column("term").unique()) * len(ids) > max_task_cells:
         return top_k(_shuffled(terms, stats, units, by, keep, text, k1, b), ["query_id", *by], order, k)
@@ -68,7 +74,7 @@ def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("vide
     schema = to_arrow_schema(out_type)
     rows_at_once = max(1, BLOCK_CELLS // max(1, len(vocabulary)))
 
-    def score(batch):
+    def score(batch, edges):
         tokens = batch.column("__t")
         n = batch.num_rows
         lengths = np.asarray(tokens.value_lengths().to_pylist(), dtype=np.float64)
@@ -81,16 +87,17 @@ def bm25_search(queries: DataFrame, units: DataFrame, k: int = 100, *, by=("vide
         tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths / max(avgdl, 1e-12))[:, None])
         scores = np.round(tf @ weight, 9).T   # copies of a text must tie on every layout
         groups = _group_ids([batch.column(c) for c in by], n)
-        qi, ui = partial_top_k(scores, groups, k)
+        qi, ui = partial_top_k(scores, groups, k, None, edges, lambda i: tuple(batch.column(c)[int(i)].as_py() for c in by))
         hit = scores[qi, ui] > 0
         qi, ui = qi[hit], ui[hit]
         cols = [ids.take(pa.array(qi)), *[batch.column(c).take(pa.array(ui)) for c in by + keep], pa.array(scores[qi, ui])]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     def run(batches):
+        edges: dict = {}
         for batch in batches:
             for at in range(0, batch.num_rows, rows_at_once):
-                yield score(batch.slice(at, rows_at_once))
+                yield score(batch.slice(at, rows_at_once), edges)
 
     return top_k(u.mapInArrow(run, out_type), ["query_id", *by], order, k)
 

@@ -56,9 +56,9 @@ def indexed_units(units: DataFrame) -> DataFrame:
     return units.withColumn("__head", F.substring("text", 1, 100))
 
 
-def _legs(queries, units, k, unit, index):
+def _legs(queries, units, k, unit, index, shown):
     """Both legs; a query without text or without a vector takes part in one leg only."""
-    shown, units = SHOWN, indexed_units(units)
+    units = indexed_units(units)
     dense = knn_join(queries.where("vec IS NOT NULL"), has_embedding_filter(units), k, query_keys=("query_id",), keep=(unit, *shown), tie=(unit,), metric="ip")
     asked = queries.where(F.trim(F.coalesce("text", F.lit(""))) != "")
     lexical = search_postings(asked, index, k, keep=(unit, *shown)) if index else bm25_search(asked, units, k, keep=(unit, *shown))
@@ -66,28 +66,30 @@ def _legs(queries, units, k, unit, index):
 
 
 def hybrid_search(queries: DataFrame, units: DataFrame, w_dense: float, k: int = 100, limit: int = 100, modality: str = "asr",
-                  unit: str = "segment_idx", normalize: str | None = None, index: str | None = None) -> DataFrame:
+                  unit: str = "segment_idx", normalize: str | None = None, index: str | None = None, detail: bool = True) -> DataFrame:
     """Dense and BM25 legs of ``k`` each, weighted sum, best ``limit`` per (query, video), then time checks.
 
     With one input missing the other leg's plain score stands. The weighted sum is of raw scores
     (``normalize="atan"`` maps each leg to 0..1 first). ``units``: video_id, unit, start_ms, end_ms, text, embedding.
     ``index``: path of a stored index of the same units (see ``indexed_units``); the BM25 leg then reads no text.
+    Without ``detail`` the results have no such column, and no piece of a text is shuffled.
     """
     if normalize not in (None, "atan"):
         raise ValueError("normalize must be None or 'atan'")
-    dense, lexical = _legs(queries, units, k, unit, index)
+    shown = SHOWN if detail else SHOWN[:2]
+    dense, lexical = _legs(queries, units, k, unit, index, shown)
     if normalize:
         squash = F.atan("score") * (2 / 3.141592653589793)
         dense, lexical = dense.withColumn("score", squash), lexical.withColumn("score", squash)
     mode = queries.select("query_id", F.col("vec").isNotNull().alias("__v"), (F.trim(F.coalesce("text", F.lit(""))) != "").alias("__t"))
-    j = hybrid_join(dense, lexical, ["query_id", "video_id", unit], w_dense, ("start_ms", "end_ms", "__head")).join(mode, "query_id")
+    j = hybrid_join(dense, lexical, ["query_id", "video_id", unit], w_dense, shown).join(mode, "query_id")
     j = j.withColumn("score", F.when(~F.col("__t"), F.col("dense")).when(~F.col("__v"), F.col("lexical")).otherwise(F.col("score")))
     top = top_k(j, ["query_id", "video_id"], [F.desc("score"), F.asc(unit)], limit)
     rows = require_time_window(top)
     return rows.select(
         "query_id", "video_id", F.lit(modality).alias("modality"), F.col(unit).alias("unit_id"), ms_to_s("start_ms").alias("start_time"),
         ms_to_s("end_ms").alias("end_time"), "score", F.col("score").alias("raw_score"), F.col("start_ms").alias("best_ms"),
-        F.lit(True).alias("above_threshold"), "decision", snippet(f"{modality}_hybrid", "__head", "score", "hybrid").alias("detail"))
+        F.lit(True).alias("above_threshold"), "decision", *([snippet(f"{modality}_hybrid", "__head", "score", "hybrid").alias("detail")] if detail else []))
 
 
 def _vector_channel(queries, units, modality, unit, threshold, limit, best, score):
@@ -217,7 +219,7 @@ def moment_search(queries: DataFrame, units: dict[str, DataFrame], profile: Sear
     parts = []
     for channel, w in (("asr", p.asr_dense_weight), ("ocr", p.ocr_dense_weight)):
         if channel in units and have & {"text", "text_vec"}:
-            parts.append(hybrid_search(asking(text_q, channel), live(channel), w, p.text_k, channel_limit, channel))
+            parts.append(hybrid_search(asking(text_q, channel), live(channel), w, p.text_k, channel_limit, channel, detail=False))
     if "face" in units and ("face_vec" in have or entities is not None):
         faces = first.select("query_id", F.col("face_vec").alias("vec") if "face_vec" in have else F.lit(None).cast("array<double>").alias("vec"))
         if entities is not None:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import knn as K
+from spanlake.operators import lexical as L
 from spanlake.plans import search as S
 
 Q = "query_id long, query_idx long, vec array<double>"
@@ -87,6 +88,56 @@ def test_what_a_task_has_seen_raises_its_bar(spark, monkeypatch):
     assert sorted(map(str, rows)) == sorted(map(str, K.knn_join(q, u, 10, by=(), keep=("frame_idx",)).collect()))
 
 
+@pytest.mark.parametrize("leg", ["bm25", "knn"])
+def test_small_groups_gather_their_bar(spark, monkeypatch, leg):
+    """Batches that hold fewer rows of a video than k: over many batches the bar of a task rises all the same."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 4, i, " ".join(["needle"] * int(rng.integers(1, 20)) + ["hay"] * int(rng.integers(1, 40))), rng.normal(size=4).tolist()) for i in range(2000)]
+    u = spark.createDataFrame(rows, "video_id long, segment_idx long, text string, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(i, "needle", rng.normal(size=4).tolist()) for i in range(3)], "query_id long, text string, vec array<double>")
+    module = L if leg == "bm25" else K
+    search = (lambda: L.bm25_search(q, u, 10)) if leg == "bm25" else (lambda: K.knn_join(q, u, 10, query_keys=("query_id",), keep=("segment_idx",)))
+    want = sorted(map(str, search().collect()))
+    sent = []
+    own = module.top_k
+    monkeypatch.setattr(module, "top_k", lambda df, *a, **kw: sent.append(df) or own(df, *a, **kw))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert sorted(map(str, search().collect())) == want
+        assert sent[0].count() < 3 * 2000 / 3  # without the bar all pairs
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark):
+    """The terms of a query travel to the texts, or all terms are counted first: no (text, term) row is dealt out."""
+    u = spark.createDataFrame([(i, f"a{i} b b c{i % 3}") for i in range(300)], "segment_idx long, text string")
+    terms = L.query_terms(spark.createDataFrame([(1, "b c1 none")], "query_id long, text string"))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = L.corpus_stats(u, terms, few=True), L.corpus_stats(u, terms)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
+        assert many._jdf.queryExecution().optimizedPlan().toString().startswith("Join LeftSemi")
+        got = [sorted(map(tuple, d.collect())) for d in (few, many)]
+        assert got[0] == got[1] == [("", 300, 1200), ("b", 300, None), ("c1", 100, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
+def test_moments_shuffle_no_text(spark, monkeypatch):
+    """The details of a hit are not part of a moment, so its legs carry no piece of a text."""
+    kept = []
+    own = (S.knn_join, S.bm25_search)
+    monkeypatch.setattr(S, "knn_join", lambda *a, **kw: kept.append(kw["keep"]) or own[0](*a, **kw))
+    monkeypatch.setattr(S, "bm25_search", lambda *a, **kw: kept.append(kw["keep"]) or own[1](*a, **kw))
+    units = spark.createDataFrame([(1, 0, 0, 5000, "alpha beta", [1.0, 0.0])], "video_id long, segment_idx long, start_ms long, end_ms long, text string, embedding array<float>")
+    q = spark.createDataFrame([(1, 0, "alpha", [1.0, 0.0])], "query_id long, query_idx long, text string, text_vec array<double>")
+    assert S.moment_search(q, {"asr": units}).count() == 1
+    assert kept == [("segment_idx", "start_ms", "end_ms")] * 2
+
+
 def test_not_a_number_passes_the_bar():
     scores = np.array([[0.1, np.nan, 0.9, 0.5]])
     q, u = K.partial_top_k(scores, np.zeros(4, dtype=np.int64), 2)
