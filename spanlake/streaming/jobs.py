@@ -55,44 +55,54 @@ def gap_sessions(events: DataFrame, by: list[str], ts: str = "ts", gap: str = "2
             .select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events"))
 
 
-def capped_sessions(intervals: DataFrame, key: str, gap: float, cap: float, lateness: str = "10 seconds") -> DataFrame:
+def capped_sessions(intervals: DataFrame, key: str, gap: float, cap: float, lateness: str = "10 seconds", buckets: int = 1024) -> DataFrame:
     """Speech intervals (key, start, end seconds, ts) merged while the pause is at most ``gap`` and the whole at most ``cap``.
 
     An interval waits in state until the watermark passes its start, so late ones still find their place;
     then the fold runs over the settled ones and a session leaves once nothing can join it.
+
+    A call of the fold costs milliseconds, whatever it reads, so a state holds the keys of one of ``buckets`` hash buckets: the number
+    of calls does not grow with that of the keys. Only keys with an open session or a waiting interval are held.
     """
-    kind = intervals.schema[key].dataType.simpleString()
+    import pickle
+    kind = intervals.schema[key].dataType
 
-    def step(k, batches, state: GroupState):
-        waiting, open_s, open_e, n = state.get if state.exists else ([], None, None, 0)
-        waiting = [tuple(w) for w in waiting]
+    def step(_, batches, state: GroupState):
+        held = pickle.loads(state.get[0]) if state.exists else {}
         for pdf in batches:
-            waiting += list(zip(pdf["start"].tolist(), pdf["end"].tolist()))
+            for name, s, e in zip(pdf["name"].tolist(), pdf["start"].tolist(), pdf["end"].tolist()):
+                held.setdefault(name, ([], None, None, 0))[0].append((s, e))
         mark = state.getCurrentWatermarkMs() / 1000.0
-        out, settled = [], sorted(w for w in waiting if w[0] < mark)
-        waiting = sorted(w for w in waiting if w[0] >= mark)
-        for s, e in settled:
-            if open_s is not None and max(0.0, s - open_e) <= gap and e - open_s <= cap:
-                open_e, n = e, n + 1
-                continue
-            if open_s is not None:
-                out.append((k[0], open_s, open_e, n))
-            open_s, open_e, n = s, e, 1
-        if open_s is not None and open_e + gap < mark:
-            out.append((k[0], open_s, open_e, n))
-            open_s, open_e, n = None, None, 0
-        if waiting or open_s is not None:
-            state.update(([list(w) for w in waiting], open_s, open_e, n))
-            # wake up when the first waiting interval settles, or when the open session can end
-            wake = min([waiting[0][0]] if waiting else [open_e + gap])
+        out, left, wake = [], {}, None
+        for name, (waiting, open_s, open_e, n) in held.items():
+            settled, waiting = sorted(w for w in waiting if w[0] < mark), sorted(w for w in waiting if w[0] >= mark)
+            for s, e in settled:
+                if open_s is not None and max(0.0, s - open_e) <= gap and e - open_s <= cap:
+                    open_e, n = e, n + 1
+                    continue
+                if open_s is not None:
+                    out.append((name, open_s, open_e, n))
+                open_s, open_e, n = s, e, 1
+            if open_s is not None and open_e + gap < mark:
+                out.append((name, open_s, open_e, n))
+                open_s, open_e, n = None, None, 0
+            if waiting or open_s is not None:
+                left[name] = (waiting, open_s, open_e, n)
+                # wake up when the first waiting interval settles, or when the open session can end
+                own = waiting[0][0] if waiting else open_e + gap
+                wake = own if wake is None else min(wake, own)
+        if left:
+            state.update((pickle.dumps(left),))
             state.setTimeoutTimestamp(max(int(wake * 1000) + 1, int(state.getCurrentWatermarkMs()) + 1))
         else:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, "start", "end", "intervals"])
+        if out:
+            yield pd.DataFrame(out, columns=["name", "start", "end", "intervals"])
 
-    return intervals.withWatermark("ts", lateness).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, start double, end double, intervals long", "waiting array<array<double>>, s double, e double, n long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    # the key as text: pandas would turn whole numbers with a null among them into floating ones
+    rows = intervals.withWatermark("ts", lateness).select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("name"), "start", "end", "ts")
+    found = rows.groupBy("bucket").applyInPandasWithState(step, "name string, start double, end double, intervals long", "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("name").cast(kind).alias(key), "start", "end", "intervals")
 
 
 def tracks(detections: DataFrame, key: str, fps: float = 2.0, max_gap: float = 1.5, cos: float = 0.35, lateness: str = "5 seconds") -> DataFrame:

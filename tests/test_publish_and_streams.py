@@ -101,6 +101,26 @@ def test_capped_sessions_stream_equals_batch(spark, tmp_path):
     assert settled <= got <= batch
 
 
+def test_capped_sessions_hold_many_keys_in_a_state(spark, tmp_path):
+    """200 keys, one of them null and one beyond what a double holds, in four states over two batches; rows as of the batch form."""
+    rows = [(None if k == 7 else 2 ** 60 + 1 if k == 8 else k, 100.0 + 30 * g + k % 5 + 3 * i, 101.5 + 30 * g + k % 5 + 3 * i) for k in range(200) for g in range(3) for i in range(1 + (k + g) % 6)]
+    i = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "video_id long, start double, end double, unit_id long")
+    last = spark.createDataFrame([(-1, 1000.0, 1001.0, -1)], i.schema)  # moves the watermark past all others
+    d = i.union(last).withColumn("ts", F.timestamp_micros((F.col("start") * 1_000_000).cast("long"))).drop("unit_id")
+    path = str(tmp_path / "i")
+    for part in (d.where("start < 140"), d.where("start >= 140")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    s = J.capped_sessions(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(path), "video_id", 2.0, 12.0, buckets=4)
+    q = s.writeStream.format("memory").queryName("capped").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    states = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert max(x["numRowsTotal"] for x in states) <= 4
+    got = sorted(map(str, ((r.video_id, r.start, r.end, r.intervals) for r in spark.table("capped").collect())))
+    named = i.withColumn("video_id", F.coalesce("video_id", F.lit(-7)))
+    want = gap_sessions_capped(named, ["video_id"], 2.0, 12.0, "unit_id", 24.0).collect()
+    assert got == sorted(map(str, ((None if r.video_id == -7 else r.video_id, r.start, r.end, r.intervals) for r in want)))
+
+
 def test_tracks_stream_equals_batch(spark, tmp_path):
     v = Views(spark, "/root/testdata/sf0.001")
     d = v.frames.selectExpr("video_id", "vec_id AS det_id", "CAST(1000 + floor(frame_idx / 4) * 0.5 + floor(frame_idx / 40) * 3 AS DOUBLE) AS t", "(vec_id % 100) / 100.0D AS det_score",
