@@ -30,6 +30,24 @@ def crc_split(doc_id: str | Column, mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit(""))) % mod == rest
 
 
+#: Bits that a filter has for each of its ids, and in all (64 MB travel with the tasks at most).
+FILTER_BITS, FILTER_MOST, FILTER_ROW = 16, 1 << 29, 32_768
+
+
+def mark_maybe(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` and a column ``__maybe``, false only where ``column`` has no value of ``ids`` (one column of whole numbers).
+
+    Each id sets a bit at its hash. A hit that is none only costs a row in the join that follows.
+    """
+    bits = min(max(1, ids.count() * FILTER_BITS), FILTER_MOST)
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits))
+    table = ids.dropna().select(place(ids.columns[0]).alias("p")).groupBy(F.expr(f"p div {FILTER_ROW}").alias("__row")).agg(F.bitmap_construct_agg(F.expr(f"p % {FILTER_ROW}")).alias("__bits"))
+    found = rows.withColumn("__p", place(column)).withColumn("__row", F.expr(f"__p div {FILTER_ROW}")).join(F.broadcast(table), "__row", "left")
+    byte = f"cast(conv(hex(substring(__bits, cast(__p % {FILTER_ROW} div 8 + 1 AS int), 1)), 16, 10) AS int)"
+    maybe = F.expr(f"`{column}` IS NOT NULL AND __bits IS NOT NULL AND (shiftright({byte}, cast(__p % 8 AS int)) & 1) = 1")
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], maybe.alias("__maybe"))
+
+
 # --- Arrow -----------------------------------------------------------------
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

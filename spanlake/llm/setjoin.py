@@ -353,6 +353,7 @@ def _answers(k: int, num: int, den: int):
 
 
 def _verified(members: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    texts = C.mark_maybe(texts, "node", members.select("node")).where("__maybe")  # the others' texts are not shuffled
     rows = members.join(texts, "node").select("cluster", "chunk", "node", "text")
     return rows.repartition("cluster", "chunk").sortWithinPartitions("cluster", "chunk").mapInArrow(_answers(k, num, den), "cluster bigint, node bigint, top bigint")
 
@@ -418,5 +419,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     Rows that share an id are one document and stay or go together; documents without words or id stay.
     """
     found = jaccard_components(docs, **how).where("doc_id IS NOT NULL AND n_shingles > 0")
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = cut_lineage(found.where("component_id <> doc_id").select("doc_id").distinct())
+    marked = C.mark_maybe(docs, "doc_id", drop)  # only documents that may go are shuffled
+    return marked.where("NOT __maybe").unionByName(marked.where("__maybe").join(drop, "doc_id", "left_anti")).select(*docs.columns)
