@@ -1,8 +1,8 @@
 """A stored inverted index for BM25: written once, read only for the terms of the queries.
 
 ``docs``: one row for each block of documents, with their keys and lengths as arrays. ``postings``: one row for each (term, block),
-with the places of the block's documents that have the term, their counts, and the block's maxima (largest count, shortest
-document). Postings are partitioned by a bucket of the term and sorted by term inside a file, so a search reads the
+with the places of the block's documents that have the term and their counts (``hits``: two rows of four-byte integers), and the
+block's maxima (largest count, shortest document). Postings are partitioned by a bucket of the term and sorted by term inside a file, so a search reads the
 buckets of its terms and, there, the row groups that can hold them. It never reads a text.
 
 A block has about ``block_docs`` documents, all of one video where a video is large; a video's documents beyond that are dealt into
@@ -16,12 +16,13 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.text import tokenize
+from ..functions.text import joined_tokens, tokenize
 from ..session import cut_lineage
 from .knn import MAX_CELLS, _group_ids, partial_top_k
 from .skew import top_k
@@ -55,11 +56,13 @@ def _blocks(batches, name: str = "block"):
 
 
 #: Written without a key column, so that it can be read with no file there.
-POSTINGS = "term string, block bigint, n bigint, max_tf bigint, min_dl bigint, ords array<int>, tf array<int>, bucket int"
+POSTINGS = "term string, block bigint, n bigint, max_tf bigint, min_dl bigint, hits binary, bucket int"
+#: The bucket in which the rows of documents are written; ``docs`` is made of it.
+DOCS_BUCKET = -1
 
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/docs"), spark.read.schema(POSTINGS).parquet(f"{path}/postings")
+    return spark.read.parquet(f"{path}/docs"), spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("bucket") > DOCS_BUCKET)
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
@@ -68,51 +71,62 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 def _pack(t: pa.Table, keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
     """The block's postings, one row a term, and the row of its documents (an empty term)."""
-    n, tokens = t.num_rows, _one(t.column("__t"))
-    lengths = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    n, tokens = t.num_rows, pc.split_pattern(_one(t.column("__t")), " ")
+    lengths = pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
     key, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
     code, doc = key // n, key % n
     head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-    rows, ends = len(head) + 1, np.append(np.append(head, len(code)), len(code))
-    lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-    own = lambda values: pa.concat_arrays([pa.nulls(rows - 1, pa.list_(values.type)), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)])
+    many = np.diff(np.append(head, len(code)))
+    # a term's places, then their counts
+    at = np.arange(len(code)) + np.repeat(head, many)
+    hits = np.empty(2 * len(code), "<i4")
+    hits[at], hits[at + np.repeat(many, many)] = doc, tf
+    ends = 4 * 2 * np.append(head, [len(code), len(code)])
     tail = lambda values, last: pa.array(np.append(values, last), pa.int64())
+    own = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    of_docs = {"total": pa.array([lengths.sum()]), "dl": own(pa.array(lengths, pa.int32())), **{f"d_{c}": own(_one(t.column(c))) for c in keys}}
+    kind = schema.field("docs").type
     columns = {
-        "block": pa.array(np.repeat(t.column("block")[0].as_py(), rows), pa.int64()),
+        "block": pa.array(np.repeat(t.column("block")[0].as_py(), len(head) + 1), pa.int64()),
         "term": pa.concat_arrays([flat.dictionary.take(pa.array(code[head])).cast(pa.string()), pa.array([""])]),
-        "ords": lists(doc, pa.int32()), "tf": lists(tf, pa.int32()),
-        "n": tail(np.diff(ends[:-1]), n), "max_tf": tail(np.maximum.reduceat(tf, head) if len(head) else [], 0),
-        "min_dl": tail(np.minimum.reduceat(lengths[doc], head) if len(head) else [], 0), "dl": own(pa.array(lengths, pa.int32())), "total": tail(np.zeros(rows - 1, np.int64), lengths.sum()),
-        **{f"d_{c}": own(_one(t.column(c))) for c in keys}}
+        "n": tail(many, n), "max_tf": tail(np.maximum.reduceat(tf, head) if len(head) else [], 0),
+        "min_dl": tail(np.minimum.reduceat(lengths[doc], head) if len(head) else [], 0),
+        "hits": pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hits)]),
+        "docs": pa.concat_arrays([pa.nulls(len(head), kind), pa.StructArray.from_arrays([of_docs[f.name].cast(f.type) for f in kind], fields=list(kind))])}
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
 def write_postings(units: DataFrame, path: str, *, by=("video_id",), keep=("segment_idx",), text: str = "text", buckets: int = BUCKETS, block_docs: int = BLOCK_DOCS) -> None:
-    """Index ``units`` under ``path``. A unit without text is left out; ``by`` and ``keep`` together name a unit."""
+    """Index ``units`` under ``path``. A unit without text is left out; ``by`` and ``keep`` together name a unit.
+
+    Texts are shuffled once, as they are, and become tokens where they are packed; what is packed goes straight to the files.
+    """
     by, keep = list(by), list(keep)
-    rows = units.where(F.col(text).isNotNull())
-    sizes = cut_lineage(rows.groupBy(*by).agg(F.count("*").alias("__n")))
+    sizes = cut_lineage(units.groupBy(*by).agg(F.count("*").alias("__n")))  # they only steer blocks, so no text is read for them
     blocks = max(1, math.ceil((sizes.agg(F.sum("__n")).first()[0] or 0) / block_docs))
     large = sizes.where(F.col("__n") > block_docs).withColumn("__parts", F.ceil(F.col("__n") / block_docs)).drop("__n")
     large = F.broadcast(large) if large.count() <= LARGE_ROWS else large
-    rows = rows.select(*by, *keep, tokenize(text).alias("__t")).join(large, by, "left")
+    rows = units.where(F.col(text).isNotNull()).select(*by, *keep, F.col(text).alias("__t")).join(large, by, "left")
     part = F.pmod(F.xxhash64(*keep), F.coalesce("__parts", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(*by, part), F.lit(blocks)).cast("bigint")).drop("__parts")
-    lists = ", ".join(f"`d_{c}` array<{rows.schema[c].dataType.simpleString()}>" for c in by + keep)
-    ddl = f"block bigint, term string, ords array<int>, tf array<int>, n bigint, max_tf bigint, min_dl bigint, dl array<int>, total bigint, {lists}"
+    lists = ", ".join(f"`d_{c}`: array<{rows.schema[c].dataType.simpleString()}>" for c in by + keep)
+    ddl = f"block bigint, term string, n bigint, max_tf bigint, min_dl bigint, hits binary, docs struct<total: bigint, dl: array<int>, {lists}>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def pack(batches):
         for t in _blocks(batches):
             yield _pack(t, by + keep, schema)
 
-    packed = cut_lineage(rows.repartition("block").sortWithinPartitions("block", *by, *keep).mapInArrow(pack, ddl))
-    docs = packed.where("term = ''").select("block", "n", "total", "dl", *[f"d_{c}" for c in by + keep], F.lit(buckets).alias("buckets"))
-    docs.write.parquet(f"{path}/docs")
-    posted = packed.where("term <> ''").select("term", "block", "n", "max_tf", "min_dl", "ords", "tf", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
+    # a block is packed from rows in the order of their keys, so a task that runs again gives the same places
+    sorted_rows = rows.repartition("block").sortWithinPartitions("block", *by, *keep)
+    packed = sorted_rows.select("block", *by, *keep, joined_tokens("__t").alias("__t")).mapInArrow(pack, ddl)
+    bucket = F.when(F.col("docs").isNotNull(), DOCS_BUCKET).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
     spread = F.pmod("block", F.lit(max(1, blocks // 256)))
-    posted.repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    packed = packed.withColumn("bucket", bucket).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "block")
+    packed.write.partitionBy("bucket").parquet(f"{path}/postings")
+    docs = units.sparkSession.read.schema(f"{ddl}, bucket int").parquet(f"{path}/postings").where(F.col("bucket") == DOCS_BUCKET)
+    docs.select("block", "n", "docs.*", F.lit(buckets).alias("buckets")).write.parquet(f"{path}/docs")
 
 
 def posted_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -135,7 +149,7 @@ class _Scores:
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
 
     def block(self, dl: np.ndarray, groups: np.ndarray, names: list, terms: list, ords: list, tf: list, max_tf: np.ndarray, min_dl: np.ndarray):
-        """(queries, scores): a row for each query that can still gain from the block."""
+        """(queries, scores): a row for each query that can still gain from the block; a score that cannot enter is 0."""
         few = len(names) <= FEW_GROUPS
         live = np.zeros(self.n, bool)
         for t in terms:
@@ -159,10 +173,11 @@ class _Scores:
                 scores[q[:, None], at] += self.idf[t] * self.impact(f, dl[at])
         scores = np.round(scores, 9)  # copies of a text must tie on every layout
         for g, name in enumerate(names if few and len(asked) else ()):
-            have = self.best.pop(name, np.zeros((self.n, self.k)))
-            own = np.concatenate([have[asked], scores[:, groups == g]], axis=1)
+            have, mine = self.best.pop(name, np.zeros((self.n, self.k))), groups == g
+            own = np.concatenate([have[asked], scores[:, mine]], axis=1)
             have[asked] = np.partition(own, own.shape[1] - self.k, axis=1)[:, own.shape[1] - self.k:]
             have[asked] = np.sort(have[asked], axis=1)
+            scores[:, mine] *= scores[:, mine] >= have[asked, :1]  # below k results that the task has seen: no hit
             self.best[name] = have  # the last one used comes last
             while len(self.best) > KEPT_GROUPS:
                 self.best.pop(next(iter(self.best)))
@@ -207,7 +222,7 @@ def search_postings(queries: DataFrame, path: str, k: int = 100, *, by=("video_i
     avgdl, schema, n_queries = total / n_docs, to_arrow_schema(types), len(ids)
 
     both = docs.select("block", F.lit("").alias("term"), "dl", *[f"d_{c}" for c in by + keep]).unionByName(
-        posted.select("block", "term", "ords", "tf", "max_tf", "min_dl"), allowMissingColumns=True)
+        posted.select("block", "term", "hits", "max_tf", "min_dl"), allowMissingColumns=True)
 
     def score(batches):
         state = _Scores(readers, idf, n_queries, avgdl, k, k1, b)
@@ -217,8 +232,7 @@ def search_postings(queries: DataFrame, path: str, k: int = 100, *, by=("video_i
                 continue
             shown = {c: _one(t.column(f"d_{c}"))[0].values for c in by + keep}
             dl = _one(t.column("dl"))[0].values.to_numpy().astype(np.float64)
-            arrays = {c: _one(t.column(c)) for c in ("ords", "tf")}
-            at, tf = ([arrays[c][i].values.to_numpy() for i in range(1, len(names))] for c in ("ords", "tf"))
+            at, tf = zip(*(np.frombuffer(hits.as_buffer(), "<i4").reshape(2, -1) for hits in t.column("hits")[1:]))
             groups = _group_ids([shown[c] for c in by], len(dl))
             kinds, first = np.unique(groups, return_index=True)
             keys = [tuple(shown[c][int(i)].as_py() for c in by) for i in first] if len(kinds) <= FEW_GROUPS else [None] * (FEW_GROUPS + 1)
