@@ -69,12 +69,13 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
 
-def _pack(t: pa.Table, keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
+def _pack(t: pa.Table, block: int, keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
     """The block's postings, one row a term, and the row of its documents (an empty term)."""
     n, tokens = t.num_rows, pc.split_pattern(_one(t.column("__t")), " ")
     lengths = pc.fill_null(tokens.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = tokens.flatten().dictionary_encode()
-    key, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.repeat(np.arange(n), lengths), return_counts=True)
+    kind = np.int32 if n * len(flat.dictionary) < 1 << 31 else np.int64
+    key, tf = np.unique(flat.indices.to_numpy(zero_copy_only=False).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), lengths), return_counts=True)
     code, doc = key // n, key % n
     head = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     many = np.diff(np.append(head, len(code)))
@@ -86,14 +87,14 @@ def _pack(t: pa.Table, keys: list[str], schema: pa.Schema) -> pa.RecordBatch:
     tail = lambda values, last: pa.array(np.append(values, last), pa.int64())
     own = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     of_docs = {"total": pa.array([lengths.sum()]), "dl": own(pa.array(lengths, pa.int32())), **{f"d_{c}": own(_one(t.column(c))) for c in keys}}
-    kind = schema.field("docs").type
+    struct = schema.field("docs").type
     columns = {
-        "block": pa.array(np.repeat(t.column("block")[0].as_py(), len(head) + 1), pa.int64()),
+        "block": pa.array(np.repeat(block, len(head) + 1), pa.int64()),
         "term": pa.concat_arrays([flat.dictionary.take(pa.array(code[head])).cast(pa.string()), pa.array([""])]),
         "n": tail(many, n), "max_tf": tail(np.maximum.reduceat(tf, head) if len(head) else [], 0),
         "min_dl": tail(np.minimum.reduceat(lengths[doc], head) if len(head) else [], 0),
         "hits": pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hits)]),
-        "docs": pa.concat_arrays([pa.nulls(len(head), kind), pa.StructArray.from_arrays([of_docs[f.name].cast(f.type) for f in kind], fields=list(kind))])}
+        "docs": pa.concat_arrays([pa.nulls(len(head), struct), pa.StructArray.from_arrays([of_docs[f.name].cast(f.type) for f in struct], fields=list(struct))])}
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
@@ -116,7 +117,12 @@ def write_postings(units: DataFrame, path: str, *, by=("video_id",), keep=("segm
 
     def pack(batches):
         for t in _blocks(batches):
-            yield _pack(t, by + keep, schema)
+            # several parts may meet in a block: beyond two it is cut, so that memory does not follow chance
+            pieces = math.ceil(t.num_rows / (2 * block_docs))
+            cuts = [t.num_rows * i // pieces for i in range(pieces + 1)]
+            block = t.column("block")[0].as_py()
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                yield _pack(t.slice(a, b - a), block + i * blocks, by + keep, schema)
 
     # a block is packed from rows in the order of their keys, so a task that runs again gives the same places
     sorted_rows = rows.repartition("block").sortWithinPartitions("block", *by, *keep)

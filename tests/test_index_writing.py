@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanlake.catalogue import all_queries, all_sql
 from spanlake.functions.text import joined_tokens, tokenize
 from spanlake.operators import postings as P
+from spanlake.session import shared_dir
 
 DIR = "/root/testdata/sf0.001"
 
@@ -19,6 +20,14 @@ def test_joined_tokens_are_the_tokens(spark):
         assert (r.j.split(" ") if r.j is not None else []) == (r.t or []), r.text
 
 
+def test_no_block_is_larger_than_two_parts(spark):
+    docs = spark.range(4000).select(F.col("id").alias("segment_idx"), (F.col("id") % 3).alias("video_id"), F.concat(F.lit("a b"), F.col("id") % 7).alias("text"))
+    path = f"{shared_dir(spark)}/index-pieces-{np.random.default_rng().integers(1 << 60):x}"
+    P.write_postings(docs, path, block_docs=50)
+    blocks = spark.read.parquet(f"{path}/docs").collect()
+    assert max(r.n for r in blocks) <= 100 and sum(r.n for r in blocks) == 4000 and len({r.block for r in blocks}) == len(blocks)
+
+
 def test_a_task_sends_nothing_below_its_bar():
     r = np.random.default_rng(7)
     state = P._Scores({"a": np.array([0])}, {"a": 1.0}, 1, 10.0, 3, 1.2, 0.75)
