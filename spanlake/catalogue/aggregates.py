@@ -62,8 +62,9 @@ def _(v):
     c = v.candidates.withColumns({
         "day": F.floor(F.col("start_time") / 24), "above_threshold": F.expr("unit_id % 5 <> 0"),
         "best_ms": F.expr("CASE WHEN unit_id % 3 = 0 THEN NULL ELSE unit_id END"),
-        "decision": F.expr("CASE unit_id % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'lexical_hit' WHEN 2 THEN 'absolute_hit' ELSE 'odd' END")})
-    g = A.group_rollup(c, ["query_id", "video_id", "day"])
+        "decision": F.expr("CASE unit_id % 4 WHEN 0 THEN 'weak' WHEN 1 THEN 'lexical_hit' WHEN 2 THEN 'absolute_hit' ELSE 'odd' END"),
+        "file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    g = A.group_rollup(c, ["query_id", "video_id", "day"], order=["file", "row"])  # arg_max takes the first of equal scores
     return g.withColumns({"channels": F.array_join("modalities", "|"), "n": F.size("evidence")})
 
 

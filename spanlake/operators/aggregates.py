@@ -64,10 +64,11 @@ def decision_name(rank: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in (*DECISION_ORDER, "hit")]), rank + 1)
 
 
-def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None, evidence: list[str] | None = None) -> DataFrame:
+def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None, evidence: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
     """One result per group of candidates: bounds, fused score, channels, best moment, decision, evidence.
 
     ``members`` columns: by, modality, unit_id, start_time, end_time, score[, best_ms, above_threshold, decision].
+    Of equal scores the best moment is that of the first row by ``order``, columns of ``members``; by default start, then moment.
     Two aggregations: per (group, channel), then per group.
     """
     have = set(members.columns)
@@ -79,10 +80,11 @@ def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None,
     if "decision" not in have:
         m = m.withColumn("decision", F.lit("hit"))
     ev_cols = evidence or ["modality", "score", "start_time", "end_time", "unit_id"]
-    ranked = F.when(F.col("best_ms").isNotNull(), F.struct(F.col("score"), -F.col("start_time"), -F.col("best_ms")))  # of equals the first
+    ranked = F.when(F.col("best_ms").isNotNull(), F.struct(
+        F.col("score").isNull(), ~F.isnan("score"), -F.col("score"), *[x for c in order or ["start_time"] for x in (F.col(c).isNull(), F.col(c))], F.col("best_ms").alias("ms")))
     g1 = m.groupBy(*by, "modality").agg(
         F.greatest(F.lit(-1.0), F.max("score")).alias("best"), F.min("start_time").alias("s"), F.max("end_time").alias("e"),
-        F.bool_or("above_threshold").alias("a"), F.min(decision_rank()).alias("d"), F.max(ranked).alias("r"),
+        F.bool_or("above_threshold").alias("a"), F.min(decision_rank()).alias("d"), F.min(ranked).alias("r"),
         F.collect_list(F.struct("start_time", "modality", "unit_id", *[c for c in ev_cols if c not in ("start_time", "modality", "unit_id")])).alias("ev"))
     w = weight_of(weights=weights)
     g2 = g1.groupBy(*by).agg(
@@ -90,10 +92,10 @@ def group_rollup(members: DataFrame, by: list[str], weights: dict | None = None,
         (F.sum(w * F.col("best")) / F.sum(w)).alias("score"),
         F.array_sort(F.collect_list("modality")).alias("modalities"),
         F.map_from_entries(F.collect_list(F.struct("modality", "best"))).alias("best_by_modality"),
-        F.bool_or("a").alias("above_threshold"), F.min("d").alias("__d"), F.max("r").alias("__r"),
+        F.bool_or("a").alias("above_threshold"), F.min("d").alias("__d"), F.min("r").alias("__r"),
         F.array_sort(F.flatten(F.collect_list("ev"))).alias("evidence"))
     fallback = F.greatest(F.lit(0), F.bround(F.col("start_time") * 1000).cast("long"))
-    return g2.withColumns({"decision": decision_name(F.col("__d")), "best_ms": F.coalesce(-F.col("__r.col3"), fallback)}).drop("__d", "__r")
+    return g2.withColumns({"decision": decision_name(F.col("__d")), "best_ms": F.coalesce(F.col("__r.ms"), fallback)}).drop("__d", "__r")
 
 
 # --- vectors ----------------------------------------------------------------------------------

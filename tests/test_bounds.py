@@ -133,3 +133,29 @@ def test_python_batches_are_bounded_in_bytes(spark):
         assert spark.conf.get(key) == "1000"
     finally:
         spark.conf.unset(key)
+
+
+def test_group_rollup_and_its_sql_take_the_first_row_of_equal_scores(spark, tmp_path):
+    """The table's first, as arg_max does, though a later row has an earlier start or a smaller id."""
+    import datetime
+
+    import duckdb
+
+    from spanlake.catalogue import all_queries, all_sql
+    at = datetime.datetime(2024, 1, 2, 12)
+    rows = [(i, at + datetime.timedelta(minutes=m), 1, e, 50.0, "") for i, m, e in ((401, 9, "click"), (5, 7, "view"), (9, 3, "click"), (7, 1, "error"), (2, 9, "click"), (10, 5, "view"))]
+    rows += [(i + 400, t, 2, e, v / (2 if i == 401 else 1), p) for i, t, _, e, v, p in rows]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * REPLACE (ts::TIMESTAMP AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(all_sql()["group_rollup"]).fetchall())
+    got = sorted(tuple(r) for r in all_queries()["group_rollup"](spark, str(tmp_path)).collect())
+    assert got == want
+    assert [r[9] for r in got if r[1] == 1] == [401, 2, 7]
+
+
+def test_group_rollup_keeps_null_and_undefined_scores_in_place(spark):
+    """Of moments, one without a score comes last and one whose score is not a number first; a null start is last of equals."""
+    shape = "query_id long, modality string, unit_id long, start_time double, end_time double, score double, best_ms long"
+    rows = [(1, "asr", 1, 1.0, 2.0, None, 1), (1, "asr", 2, 5.0, 6.0, 0.5, 2), (2, "asr", 3, 1.0, 2.0, 0.9, 3), (2, "asr", 4, 5.0, 6.0, float("nan"), 4), (3, "asr", 5, None, 2.0, 0.5, 5), (3, "asr", 6, 5.0, 6.0, 0.5, 6)]
+    assert {x.query_id: x.best_ms for x in group_rollup(spark.createDataFrame(rows, shape), ["query_id"]).collect()} == {1: 2, 2: 4, 3: 6}
