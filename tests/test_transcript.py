@@ -141,3 +141,20 @@ def test_sidecar_and_truth_files(spark, tmp_path):
     t = tmp_path / "truth.jsonl"
     t.write_text('{"groups": [{"semantic_query_id": "q", "query": "x", "category": "c", "records": [{"video_id": "v", "segments": [{"start_sec": 0, "end_sec": 1}, {"start_sec": 5, "end_sec": 6}]}]}]}')
     assert read_ground_truth(spark, str(t)).count() == 2
+
+
+def test_chunk_stats_counts_merged_items_as_its_sql(spark, tmp_path):
+    """Turns without a sentence end share a chunk as far as unit, pause, time and length let them."""
+    import duckdb
+
+    from spanlake.catalogue import all_queries, all_sql
+    pad = lambda n, end="": ("word " * n)[:n - len(end)].rstrip().ljust(n - len(end), "x") + end
+    texts = {1: [pad(100), pad(200), pad(300), pad(150), pad(100), pad(100)], 2: [pad(400), pad(700), pad(100, "."), pad(100)], 3: ["a b", pad(900), "", "short", None, pad(600)],
+             4: [pad(1499 + 300), pad(1499 + 400), pad(1499 + 200)], 5: [" \n\u00a0"], 6: ["straße " * 30, "Été. Élan", pad(600), pad(40)]}
+    rows = [(c, i, "user", x) for c, xs in texts.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in all_queries()["chunk_stats"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(all_sql()["chunk_stats"]).fetchall())
+    assert [r[:1] + r[4:] for r in got] == [(1, 3, 0), (2, 1, 0), (3, 1, 2), (4, 0, 0), (5, 0, 1), (6, 2, 0)]
