@@ -32,6 +32,8 @@ CHUNK = 2_000_000
 #: Bytes of index entries in a shard. A task takes shard after shard; there are TASKS tasks a core of the cluster, whatever the number of shards,
 #: and each gives out a set's link once, as long as its forest has no more than FOREST links.
 SHARD, TASKS, FOREST = 12_000_000, 4, 4_000_000
+#: Entries of the second index that a task holds before it gives them out, packed by shard.
+HOLD = 1_000_000
 #: Expected documents of the sample for common shingles, the parts it is counted in, how many of a part's documents
 #: must hold a shingle and how many in all, and how many shingles are kept.
 COMMON_DOCS, COMMON_PARTS, COMMON_TWICE, COMMON_LEAST, COMMON_MOST = 32_000, 8, 2, 3, 400_000
@@ -112,11 +114,18 @@ def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels, common: np.nda
     Sets that link agree on at least blocks - differ blocks. So blocks of common shingles alone count only for
     sets with that many idle (such or empty) blocks, and empty ones only for sets with that many of them.
     """
+    found = list(_leveled(flat, off, levels, common))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+
+def _leveled(flat: np.ndarray, off: np.ndarray, levels: Levels, common: np.ndarray = np.zeros(0, np.uint64)):
+    """For both levels: the keys, the number of each key's set, and how many more of a set's keys may be left out, if it is by an order of keys that all sets share."""
     plain = np.ones(len(flat), bool)
     if len(common):
         plain = common[np.minimum(np.searchsorted(common, flat), len(common) - 1)] != flat
     sizes = np.diff(off)
-    keys, owners = [], []
     mixed = C.mix(flat ^ np.uint64(0x2545F4914F6CDD1D))
     set_of = np.repeat(np.arange(len(sizes)), sizes)
     for up in (0, 1):
@@ -138,16 +147,14 @@ def block_keys(flat: np.ndarray, off: np.ndarray, levels: Levels, common: np.nda
         told = np.logical_or.reduceat(plain[inside], at)
         idle = blocks - np.bincount(own[told], minlength=len(sizes))
         told |= (idle >= blocks - levels.differ[level])[own]
-        keys.append(C.mix(np.add.reduceat(mixed[inside], at) + C.mix(place))[told])
-        owners.append(own[told])
+        keys, owners = [C.mix(np.add.reduceat(mixed[inside], at) + C.mix(place))[told]], [own[told]]
         empty = blocks - np.bincount(own, minlength=len(sizes))
         for i in np.flatnonzero((blocks > 0) & (empty >= blocks - levels.differ[level])):
             there = np.setdiff1d(np.arange(blocks[i]), blk[own == i].astype(np.int64))
             keys.append(C.mix(C.mix(np.uint64(level[i] * (1 << 40)) + there.astype(np.uint64))))
             owners.append(np.full(len(there), i))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        listed = np.concatenate(owners)
+        yield np.concatenate(keys), listed, np.maximum(np.bincount(listed, minlength=len(sizes)) - levels.differ[level] - 1, 0)
 
 
 def _listed(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,23 +210,40 @@ def _entries(k: int, num: int, den: int, most: int, shards: int, common: np.ndar
                 first, ids, links = _listed(keys, _sums(flat, off).view(np.int64)[owner])
                 order = np.argsort(first)  # entries of a text stay together, which packs well
                 keys, ids = keys[first[order]], ids[order]
-                shard = ((keys >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)
-                order = np.argsort(shard, kind="stable")
-                cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = []
-                for s in range(shards):
-                    mine = order[cut[s]:cut[s + 1]]
-                    if len(mine):
-                        own, named = keys[mine], np.unique(ids[mine], return_inverse=True)
-                        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                                     named[0].tobytes(), named[1].astype(np.uint16 if len(named[0]) < 1 << 16 else np.uint32).tobytes()))
+                rows = _listings(keys, ids, shards)
                 if len(links):
                     rows.append((int(links[0, 0]) % shards, True, links[:, 0].tobytes(), b"", links[:, 1].tobytes(), b""))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], ["shard", "done", "low", "high", "ids", "place"])
+                yield from _batch(rows, pa.int32(), pa.bool_(), *[pa.binary()] * 4, names=["shard", "done", "low", "high", "ids", "place"])
     return run
 
 
+def _batch(rows: list, *types, names: list[str]):
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+
+
+def _dealt(part: np.ndarray, parts: int):
+    """The numbers of parts that have rows, and which rows."""
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    for s in np.flatnonzero(np.diff(cut)):
+        yield int(s), order[cut[s]:cut[s + 1]]
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)
+
+
+def _listings(keys: np.ndarray, ids: np.ndarray, shards: int) -> list[tuple]:
+    """Index entries packed by shard, as ``_linked`` reads them."""
+    rows = []
+    for s, mine in _dealt(_shard(keys, shards), shards):
+        own, named = keys[mine], np.unique(ids[mine], return_inverse=True)
+        rows.append((s, False, (own & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), ((own >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
+                     named[0].tobytes(), named[1].astype(np.uint16 if len(named[0]) < 1 << 16 else np.uint32).tobytes()))
+    return rows
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links of every set but the smallest of each component to that smallest one."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -290,6 +314,109 @@ def _linked(most: int):
     return run
 
 
+# --- clusters too large to compare -----------------------------------------
+
+#: Columns of the second index: block keys, their sets, twice the number of keys that may be left out (plus one on the upper level), lengths of lists.
+KINDS = {"key": np.uint64, "id": np.int64, "spare": np.int32, "n": np.int32}
+
+
+def _held(parts: int, part_of, names: list[str], pieces):
+    """Arrays of entries, held until they are HOLD long, as one row for each part."""
+    held, size = [], 0
+
+    def rows():
+        columns = [np.concatenate(x).astype(KINDS[n]) for n, x in zip(names, zip(*held))]
+        out = [(s, *[c[mine].tobytes() for c in columns]) for s, mine in _dealt(part_of(columns), parts)]
+        yield from _batch(out, pa.int32(), *[pa.binary()] * len(names), names=["part", *names])
+
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size > HOLD:
+            yield from rows()
+            held, size = [], 0
+    if size:
+        yield from rows()
+
+
+def _parts(batches, names: list[str]):
+    """The arrays of one part after the other, from batches sorted by part."""
+    at, held = None, []
+    for batch in batches:
+        for s, *row in zip(*(batch.column(n).to_pylist() for n in ["part", *names])):
+            if s != at and held:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held = []
+            at = s
+            held.append([np.frombuffer(x, KINDS[n]) for n, x in zip(names, row)])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _whole_index(k: int, num: int, den: int, most: int, shards: int):
+    """All blocks of all sets."""
+    def run(batches):
+        levels = Levels(num, den, most)
+
+        def pieces():
+            for batch in batches:
+                for part in C.slices(batch, "text"):
+                    flat, off = shingle_sets(*C.text_bytes(part.column("text")), k)
+                    ids = _sums(flat, off).view(np.int64)
+                    for up, (keys, owner, spare) in enumerate(_leveled(flat, off, levels)):
+                        yield keys, ids[owner], spare[owner] * 2 + up
+
+        yield from _held(shards, lambda c: _shard(c[0], shards), ["key", "id", "spare"], pieces())
+    return run
+
+
+def _lengths(shards: int):
+    """Blocks that several sets have, with their number, by set."""
+    def run(batches):
+        def pieces():
+            for key, of, spare in _parts(batches, ["key", "id", "spare"]):
+                order = np.lexsort((of, key))
+                key, of, spare = key[order], of[order], spare[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))
+                key, of, spare = key[new], of[new], spare[new]
+                at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                n = np.repeat(np.diff(np.append(at, len(key))), np.diff(np.append(at, len(key))))
+                if (n > 1).any():
+                    yield key[n > 1], of[n > 1], spare[n > 1], n[n > 1]
+
+        yield from _held(shards, lambda c: C.mix(c[1].view(np.uint64)) % np.uint64(shards), ["key", "id", "spare", "n"], pieces())
+    return run
+
+
+def _rarest(shards: int):
+    """Index entries less those of each set's longest lists, as many as it may leave out."""
+    def run(batches):
+        for key, of, spare, n in _parts(batches, ["key", "id", "spare", "n"]):
+            order = np.lexsort((key, -n, spare, of))
+            key, of, spare = key[order], of[order], spare[order]
+            at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (spare[1:] != spare[:-1])))
+            rank = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
+            kept = rank >= spare // 2
+            yield from _batch(_listings(key[kept], of[kept], shards), pa.int32(), pa.bool_(), *[pa.binary()] * 4, names=["shard", "done", "low", "high", "ids", "place"])
+    return run
+
+
+def _rare_lists(texts: DataFrame, k: int, num: int, den: int, most: int, shards: int, tasks: int) -> DataFrame:
+    """Links (a, b) of sets by their rarest blocks.
+
+    Sets that link agree on blocks - differ blocks at least, so each may leave out one less than that, if all leave out
+    the most frequent first: of the blocks two sets agree on, the rarest is left to both. What is left out are the
+    blocks of shared passages, by which sets hang together that have little else in common.
+    """
+    def dealt(rows, by):
+        return rows.repartition(tasks, by).sortWithinPartitions(by)
+
+    index = texts.mapInArrow(_whole_index(k, num, den, most, shards), "part int, key binary, id binary, spare binary")
+    shared = dealt(index, "part").mapInArrow(_lengths(shards), "part int, key binary, id binary, spare binary, n binary")
+    rare = dealt(shared, "part").mapInArrow(_rarest(shards), "shard int, done boolean, low binary, high binary, ids binary, place binary")
+    return dealt(rare, "shard").mapInArrow(_linked(FOREST), "a bigint, b bigint").distinct()
+
+
 # --- answers ---------------------------------------------------------------
 
 def link_sets(flat: np.ndarray, off: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -381,13 +508,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     tasks = min(shards, TASKS * docs.sparkSession.sparkContext.defaultParallelism)
     lists = entries.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_linked(FOREST), "a bigint, b bigint").distinct()
     to = owners.groupBy("s1").agg(F.min("node").alias("node"))
-    pairs = (lists.join(to.select(F.col("s1").alias("a"), F.col("node").alias("x")), "a")
-             .join(to.select(F.col("s1").alias("b"), F.col("node").alias("y")), "b").where("x <> y").select("x", "y"))
-    clusters = connected_components(pairs, "x", "y").withColumnRenamed("component", "cluster")
-
-    sized = clusters.join(owners.groupBy("node").agg(F.max("n_shingles").alias("n")), "node")
-    dealt = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
-    sized = cut_lineage(sized.join(dealt, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+    sizes = owners.groupBy("node").agg(F.max("n_shingles").alias("n"))
+
+    def sized_clusters(lists, nodes=None):
+        pairs = (lists.join(to.select(F.col("s1").alias("a"), F.col("node").alias("x")), "a")
+                 .join(to.select(F.col("s1").alias("b"), F.col("node").alias("y")), "b").where("x <> y").select("x", "y"))
+        if nodes is not None:
+            pairs = pairs.join(nodes.select(F.col("node").alias("x")), "x", "left_semi").join(nodes.select(F.col("node").alias("y")), "y", "left_semi")
+        sized = connected_components(pairs, "x", "y").withColumnRenamed("component", "cluster").join(sizes, "node")
+        dealt = sized.groupBy("cluster").agg(F.ceil(F.sum("n") / chunk).alias("chunks"))
+        return cut_lineage(sized.join(dealt, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))))
+
+    sized = sized_clusters(lists)
+    wide = sized.where("chunks > 1")
+    held = wide.agg(F.sum("n")).first()[0]
+    if held:  # these are split by their sets' rarest blocks
+        shards = max(1, -(-int(held * 3 * levels.blocks[-1] / levels.lower[-1]) * 20 // SHARD))
+        tasks = min(shards, TASKS * docs.sparkSession.sparkContext.defaultParallelism)
+        lists = _rare_lists(C.mark_maybe(d, "doc_id", wide.select("node")).where("__maybe").select("text"), k, num, den, most, shards, tasks)
+        sized = sized.where("chunks = 1").unionByName(sized_clusters(lists, wide))
     texts = d.select(F.col("doc_id").alias("node"), "text")
     pivots = sized.where("node = cluster AND chunks > 1").select("cluster", "node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"))
     members = sized.where("NOT (node = cluster AND chunks > 1)").select("cluster", "node", "chunk").union(pivots.select("cluster", "node", "chunk"))

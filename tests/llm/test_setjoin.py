@@ -194,3 +194,43 @@ def test_only_documents_that_may_go_are_shuffled(spark):
     got = C.mark_maybe(rows, "doc_id", ids)
     assert got.columns == ["doc_id", "text", "__maybe"] and got.count() == 4_501 and got.where("__maybe IS NULL").count() == 0
     assert C.mark_maybe(rows, "doc_id", ids.limit(0)).where("__maybe").count() == 0
+
+
+def passages(seed, sets=240, pool=30):
+    """Documents of words of their own and passages of a pool, some with near copies; by passages almost all hang together."""
+    r = random.Random(seed)
+    shared = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(pool)]
+    docs = []
+    for i in range(sets):
+        w = [f"d{i}x{j}" for j in range(r.choice([120, 200, 400]))]
+        for p in r.sample(shared, 3):
+            w.insert(r.randrange(len(w)), p)
+        w = " ".join(w).split()
+        docs.append((len(docs), " ".join(w)))
+        for _ in range(r.choice([0, 0, 0, 1, 3])):
+            c = list(w)
+            for _ in range(r.choice([1, 3, 6, 9])):
+                c[r.randrange(len(c))] = f"c{r.randrange(10 ** 6)}"
+            docs.append((len(docs), " ".join(c)))
+    return docs
+
+
+def test_clusters_held_together_by_passages_are_split_before_they_are_compared(spark, monkeypatch):
+    """Whether or not the sample knows the passages: as many texts are compared as there are, not chunks times chunks of them."""
+    monkeypatch.setattr(J, "common_shingles", lambda *_: np.zeros(0, np.uint64))
+    compared, verified = [], J._verified
+    monkeypatch.setattr(J, "_verified", lambda members, *how: compared.append(members.count()) or verified(members, *how))
+    docs = passages(5)
+    rows = J.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), 5, 8, 10, chunk=4000).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute(docs, 5, 8, 10)
+    assert sum(compared) <= len(docs)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rarest_blocks_lose_no_link(spark, seed):
+    """Sets whose blocks are mostly shared, and rows that come twice."""
+    docs = corpus(seed) + [(d + 1000, t) for d, t in passages(seed, 40, 4)]
+    df = spark.createDataFrame(docs + docs[::3], "doc_id long, text string").repartition(4)
+    for k, num, den in ((5, 8, 10), (3, 90, 100), (2, 5, 10)):
+        rows = J.jaccard_components(df, k, num, den, chunk=300).collect()
+        assert {r.doc_id: r.component_id for r in rows} == brute(docs, k, num, den)
