@@ -14,7 +14,8 @@ A list links its members with its smallest id, and a task keeps of the links of
 joined this way form candidate clusters, in which
 answers are derived incrementally: one set's overlaps with all others are counted, its partners share its
 component without further counting, and for each partner only those sets are looked at that its distance to
-the first set leaves possible (triangle inequality). Copies of one set are one set.
+the first set leaves possible (triangle inequality). Copies of one set are one set. The sets of a cluster too large for
+one task are first listed again by their rarest blocks, so that passages do not hold together what has little else in common.
 """
 from __future__ import annotations
 
